@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, sharding
 
 QUERIES = {
+    "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
 }
 ORACLES = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
 }
