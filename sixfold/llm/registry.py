@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, sharding
+from . import decontaminate, exact_dedup, packing, sharding, simhash
 
 QUERIES = {
+    "op2_simhash": simhash.op2_simhash,
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
