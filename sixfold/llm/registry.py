@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, sharding, simhash
+from . import decontaminate, exact_dedup, packing, quality, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_simhash": simhash.op2_simhash,
+    "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
