@@ -21,17 +21,20 @@ from .common import column, table, tokenizer_path
 
 LENGTH = 1024
 END = (0).to_bytes(4, "little")
-#: Chunks of text whose ids a task remembers, in each of two generations.
-REMEMBERED = 200_000
+#: Words of text whose ids a Python worker remembers.
+REMEMBERED = 800_000
 #: White space other than the space and the line feed; texts with it are tokenized as a whole.
 ODD_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+#: Characters of one string that new words are joined to.
+JOINED = 4000
 
 
 class Ids:
-    """Token ids of texts as little-endian 32-bit bytes, with a bounded memory of chunks.
+    """Token ids of texts as little-endian 32-bit bytes, with a bounded memory of words.
 
     The byte-level vocabulary splits a text before each single space between two other characters, whatever surrounds
-    it, so the chunks between such spaces are tokenized alone and the frequent ones only once.
+    it. So the pieces between such spaces have ids of their own: frequent ones are remembered, new ones are joined to
+    strings of a few thousand characters, and a string's ids fall to its pieces by their offsets.
     """
 
     def __init__(self, path: str):
@@ -39,40 +42,61 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}  # pieces between two others, without the space before them
+        self.outer: dict[str, bytes] = {}  # first and last pieces, with it
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        if "  " in text or " \n" in text or "\n " in text or any(c in text for c in ODD_SPACE):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+    def _learn(self, pieces: set[str]) -> None:
+        block, size, blocks = [], 0, []
+        for x in pieces:
+            block.append(x)
+            size += len(x) + 1
+            if size > JOINED:
+                blocks.append(block)
+                block, size = [], 0
+        blocks += [block] * bool(block)
+        texts = ["".join([" " + x for x in b]) for b in blocks]
+        for b, coded in zip(blocks, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
+            begins = np.cumsum([0, *(len(x) + 1 for x in b)])
+            at = np.searchsorted([o[0] for o in coded.offsets], begins).tolist()
+            ids = np.array(coded.ids, "<u4").tobytes()
+            for x, lo, hi in zip(b, at, at[1:]):
+                self.inner[x] = ids[4 * lo : 4 * hi]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(x) for x in texts]
-        got: dict[str, bytes] = {}
-        missing = []
-        new, old = self.new, self.old
-        for x in {c for cs in cut for c in cs}:
-            ids = new.get(x)
-            if ids is None:
-                ids = old.get(x)
-                if ids is None:
-                    missing.append(x)
-                    continue
-                new[x] = ids
-            got[x] = ids
-        for x, ids in zip(missing, self.encode(missing)):
-            got[x] = ids
-            if len(x) <= 64:
-                new[x] = ids
-        if len(new) > REMEMBERED:
-            self.new, self.old = {}, new
-        return [b"".join([got[c] for c in cs]) for cs in cut]
+        if len(self.inner) > REMEMBERED:
+            self.inner.clear()
+        if len(self.outer) > REMEMBERED // 8:
+            self.outer.clear()
+        out: list = [None] * len(texts)
+        cut, whole, known, missing = {}, [], self.inner.get, set()
+        for i, x in enumerate(texts):
+            if "  " in x or " \n" in x or "\n " in x or any(c in x for c in ODD_SPACE):
+                whole.append(i)
+                continue
+            pieces = x.split(" ")
+            ends = [pieces[0]] if len(pieces) == 1 else [pieces[0], " " + pieces[-1]]
+            pieces = pieces[1:-1]
+            got = list(map(known, pieces))
+            if None in got:
+                missing.update([p for p, ids in zip(pieces, got) if ids is None])
+            cut[i] = ends, pieces, got
+        self._learn(missing)
+        ends = list({e for x, _, _ in cut.values() for e in x} - self.outer.keys())
+        self.outer.update(zip(ends, self.whole(ends)))
+        for i, (ends, pieces, got) in cut.items():
+            if None in got:
+                got = list(map(known, pieces))
+            out[i] = b"".join([self.outer[ends[0]], *got, *[self.outer[e] for e in ends[1:]]])
+        for i, ids in zip(whole, self.whole([texts[i] for i in whole])):
+            out[i] = ids
+        return out
+
+
+#: By tokenizer file; a Python worker keeps what it has learned from one task to the next.
+_WORKER: dict[str, Ids] = {}
 
 
 class Levels:
@@ -108,7 +132,9 @@ def _tail_cuts(total: int, length: int) -> list[int]:
 
 def packer(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, levels = Ids(path), Levels(length)
+        if path not in _WORKER:
+            _WORKER[path] = Ids(path)
+        ids_of, levels = _WORKER[path], Levels(length)
         serial = (TaskContext.get().partitionId()) << 36
         held: dict[int, list[tuple]] = {}  # the pieces of open windows, with their ids
         rows: list[tuple] = []
