@@ -59,7 +59,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 HOT_SHARE = 1 / 2000
 
 
-def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def with_group(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str) -> DataFrame:
     """rows left-joined with groups (one row a key, `size` = how many rows have that key), safe for hot keys.
 
     The groups above HOT_SHARE of all rows number 1 / HOT_SHARE at most, whatever the data, and are broadcast; every
@@ -67,7 +67,7 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataF
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
     least = max(1000, math.ceil(total * HOT_SHARE))
-    others = [c for c in groups.columns if c != key]
+    others = [c for c in groups.columns if c not in ([key] if isinstance(key, str) else key)]
     hot = groups.where(F.col(size) >= least).withColumn("_hot", F.lit(True))
     marked = rows.join(F.broadcast(hot), key, "left")
     near = marked.where("_hot").drop("_hot")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, packing, quality, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, langid, packing, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_sharding": sharding.op4_sharding,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_language": langid.op8_language,
     "op10_packing": packing.op10_packing,
