@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, packing, quality, sharding, simhash, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, langid, licenses, packing, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_language": langid.op8_language,
+    "op9_licenses": licenses.op9_licenses,
     "op10_packing": packing.op10_packing,
 }
 ORACLES = {
