@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import cube, graph  # noqa: F401
+from . import borders, cube, graph, search  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
