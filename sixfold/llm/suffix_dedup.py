@@ -25,8 +25,8 @@ from .common import column, shuffle_partitions, stored, table, utf8, with_group
 SPAN, GRAM, FIRST = 400, 100, 50
 #: Bytes of contexts that a task refines at once, and contexts beyond which a bucket is dealt out window by window.
 TASK_BYTES, LARGE = 3_000_000, 4000
-#: Documents with spans to read or remove that may be broadcast; beyond, the join is shuffled.
-BROADCAST_DOCS = 400_000
+#: Spans to read or remove that may be broadcast (40 bytes each at most); beyond, the join is shuffled.
+BROADCAST_SPANS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(400).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -229,8 +229,9 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_DOCS else df
+def _sized(df: DataFrame, spans: str) -> DataFrame:
+    n = df.agg(F.sum(F.size(spans))).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_SPANS else df
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -252,7 +253,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     wanted = contexts.where("mixed").groupBy(F.col("at.doc").alias("doc"), F.col("at.print").alias("print")).agg(F.collect_list(want).alias("wanted"))
     wanted = stored(wanted, "span-wanted")
     size, large = wanted.agg(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda a, x: a + x["windows"] + span)), F.max(F.exists("wanted", lambda x: x["large"]))).first()
-    read = docs.join(_sized(wanted), ["doc", "print"]).mapInArrow(_read(span), "doc long, print long, bucket long, n long, start long, bytes binary, large boolean")
+    read = docs.join(_sized(wanted, "wanted"), ["doc", "print"]).mapInArrow(_read(span), "doc long, print long, bucket long, n long, start long, bytes binary, large boolean")
     parts = max(shuffle_partitions(spark), math.ceil((size or 0) / TASK_BYTES))
     if large:
         read = stored(read, "span-bytes")
@@ -275,7 +276,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataF
     """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"), F.col("text").cast("string").alias("text"))
-    spans = _sized(repeated_spans(docs.select("doc", "print", "text"), span, gram))
+    spans = _sized(repeated_spans(docs.select("doc", "print", "text"), span, gram), "spans")
     return docs.join(spans, ["doc", "print"], "left").select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
