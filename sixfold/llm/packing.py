@@ -22,7 +22,7 @@ from .common import column, table, tokenizer_path
 LENGTH = 1024
 END = (0).to_bytes(4, "little")
 #: Words of text whose ids a Python worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: White space other than the space and the line feed; texts with it are tokenized as a whole.
 ODD_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Characters of one string that new words are joined to.
