@@ -140,7 +140,7 @@ class Labeller:
 
     def _places(self, words: list[str]) -> list[int]:
         known = self.known
-        for w in set(words) - known.keys():
+        for w in [w for w in set(words) if w not in known]:
             self.table[len(known)] = self.field.emission(w)
             known[w] = len(known)
         return [known[w] for w in words]

@@ -84,7 +84,7 @@ class Ids:
                 missing.update([p for p, ids in zip(pieces, got) if ids is None])
             cut[i] = ends, pieces, got
         self._learn(missing)
-        ends = list({e for x, _, _ in cut.values() for e in x} - self.outer.keys())
+        ends = [e for e in {e for x, _, _ in cut.values() for e in x} if e not in self.outer]
         self.outer.update(zip(ends, self.whole(ends)))
         for i, (ends, pieces, got) in cut.items():
             if None in got:
