@@ -45,28 +45,46 @@ class LabelModel:
     """Latent class y with P(vote | y), and P(vote | parent's vote, y) for voters that the tree joins to another."""
 
     def __init__(self, votes: np.ndarray, start: np.ndarray, steps: int = 40, least_information: float = 2e-3):
-        self.parent = np.full(votes.shape[1], -1)
-        q = self._expect(votes, start, steps)
+        # A voter that only repeats another would count twice in the first round, and the pair could pass for the class.
+        self.parent = self._repeats(votes)
+        q, _ = self._expect(votes, start, steps)
         self.parent = self._tree(votes, q, least_information)
-        self.posterior = self._expect(votes, q, steps)
+        self.posterior, self.likelihood = self._expect(votes, q, steps)
 
-    def _expect(self, votes: np.ndarray, q: np.ndarray, steps: int) -> np.ndarray:
+    @staticmethod
+    def _repeats(votes: np.ndarray) -> np.ndarray:
+        """As parent, an earlier voter that tells nearly all of a voter's votes, or -1."""
+        n, m = votes.shape
+        parent = np.full(m, -1)
+        for i in range(m):
+            for j in range(i):
+                p = np.bincount(votes[:, i] * 3 + votes[:, j], minlength=9).reshape(3, 3) / max(n, 1) + 1e-12
+                a, b = p.sum(axis=1), p.sum(axis=0)
+                shared = float((p * np.log(p / np.outer(a, b))).sum())
+                most = max(float(-(a * np.log(a)).sum()), float(-(b * np.log(b)).sum()))
+                if parent[i] < 0 and most > 1e-6 and shared > 0.95 * most:
+                    parent[i] = j
+        return parent
+
+    def _expect(self, votes: np.ndarray, q: np.ndarray, steps: int) -> tuple[np.ndarray, float]:
+        """The posterior of the class, and the mean log likelihood of a document's votes."""
         n, m = votes.shape
         above = np.where(self.parent >= 0, votes[:, self.parent], 0) if n else votes
-        for _ in range(steps):
-            log = np.log([max(1e-6, 1 - q.mean()), max(1e-6, q.mean())])
-            both = np.tile(log, (n, 1))
+        likelihood = 0.0
+        for _ in range(steps if n else 0):
+            both = np.tile(np.log([max(1e-6, 1 - q.mean()), max(1e-6, q.mean())]), (n, 1))
             for j in range(m):
                 cell = above[:, j] * 3 + votes[:, j]
                 for y, weight in enumerate((1 - q, q)):
                     table = np.bincount(cell, weight, minlength=9).reshape(3, 3) + 0.1
                     both[:, y] += np.log(table / table.sum(axis=1, keepdims=True)).ravel()[cell]
+            likelihood = float(np.logaddexp(both[:, 0], both[:, 1]).mean())
             new = sigmoid(both[:, 1] - both[:, 0])
-            moved = np.abs(new - q).max() if n else 0
+            moved = np.abs(new - q).max()
             q = new
             if moved < 1e-6:
                 break
-        return q
+        return q, likelihood
 
     @staticmethod
     def _tree(votes: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
