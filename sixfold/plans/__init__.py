@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from . import borders, cube, graph, search, text  # noqa: F401
+from . import borders, cube, graph, more, search, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
