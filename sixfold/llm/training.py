@@ -25,10 +25,21 @@ def held_out(parts: int, part: int, doc_id: str = "doc_id") -> Column:
     return F.coalesce(fold(doc_id, parts) == part, F.lit(False))
 
 
+def hash_sample(df: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """The `limit` rows whose hash of the keys is smallest.
+
+    Rows far above the limit's share of all hashes are left out first, so that what the tasks send to be sorted is
+    about twice the limit however many tasks there are.
+    """
+    rows, place = df.count(), F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    share = min(1.0, 2 * (limit + 100) / max(1, rows))
+    return df.withColumn("_place", place).where(F.col("_place") <= int(share * (1 << 40))).orderBy("_place", *keys).limit(limit).drop("_place")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, limit: int = SAMPLE) -> DataFrame:
-    """text and label of at most `limit` labelled documents, the first in the order of a hash of their ids."""
+    """doc_id, text and label of at most `limit` labelled documents, the first in the order of a hash of their ids."""
     chosen = labels.where(use & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).alias("label"))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    chosen = hash_sample(chosen, limit, "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
 
 

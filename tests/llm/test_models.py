@@ -118,3 +118,13 @@ def test_folds(spark, parts, part):
 
     got = spark.range(200).withColumnRenamed("id", "doc_id").select("doc_id", training.held_out(parts, part).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % parts == part) for r in got)
+
+
+def test_hash_sample(spark):
+    """The same rows as sorting all of them."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000, numPartitions=5).withColumnRenamed("id", "doc_id")
+    want = [r.doc_id for r in df.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id").limit(500).collect()]
+    assert [r.doc_id for r in training.hash_sample(df, 500, "doc_id").collect()] == want
+    assert training.hash_sample(df.limit(7), 500, "doc_id").count() == 7 and training.hash_sample(df.limit(0), 5, "doc_id").count() == 0
