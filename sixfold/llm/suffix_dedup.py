@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import column, shuffle_partitions, stored, table, utf8, with_group
 
 SPAN, GRAM, FIRST = 400, 100, 50
-#: Bytes of contexts that a task refines at once, and contexts beyond which a bucket is dealt out window by window.
-TASK_BYTES, LARGE = 3_000_000, 4000
+#: Bytes of contexts dealt to a task, and refined at once; contexts beyond which a bucket is dealt out window by window.
+TASK_BYTES, REFINED_BYTES, LARGE = 3_000_000, 600_000, 1500
 #: Spans to read or remove that may be broadcast (40 bytes each at most); beyond, the join is shuffled.
 BROADCAST_SPANS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -173,7 +173,7 @@ def _refine(span: int):
         size = 0
         for b in batches:  # sorted by bucket
             for r in b.to_pylist():
-                if size > TASK_BYTES and r["bucket"] != held[-1]["bucket"]:
+                if size > REFINED_BYTES and r["bucket"] != held[-1]["bucket"]:
                     yield batch(spans(held))
                     held, size = [], 0
                 held.append(r)
