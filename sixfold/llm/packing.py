@@ -21,8 +21,8 @@ from .common import column, table, tokenizer_path
 
 LENGTH = 1024
 END = (0).to_bytes(4, "little")
-#: Words of text whose ids a Python worker remembers.
-REMEMBERED = 300_000
+#: Words of text whose ids a Python worker remembers, in each of two generations.
+REMEMBERED = 200_000
 #: White space other than the space and the line feed; texts with it are tokenized as a whole.
 ODD_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 #: Characters of one string that new words are joined to.
@@ -34,7 +34,7 @@ class Ids:
 
     The byte-level vocabulary splits a text before each single space between two other characters, whatever surrounds
     it. So the pieces between such spaces have ids of their own: frequent ones are remembered, new ones are joined to
-    strings of a few thousand characters, and a string's ids fall to its pieces by their offsets.
+    strings of a few thousand characters, and a string's ids fall to its pieces at the tokens that begin with a space.
     """
 
     def __init__(self, path: str):
@@ -42,7 +42,11 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for x, i in vocabulary.items() if x.startswith("Ġ")]] = True
         self.inner: dict[str, bytes] = {}  # pieces between two others, without the space before them
+        self.older: dict[str, bytes] = {}  # the generation before, of which what is used moves on
         self.outer: dict[str, bytes] = {}  # first and last pieces, with it
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -58,16 +62,18 @@ class Ids:
                 block, size = [], 0
         blocks += [block] * bool(block)
         texts = ["".join([" " + x for x in b]) for b in blocks]
-        for b, coded in zip(blocks, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            begins = np.cumsum([0, *(len(x) + 1 for x in b)])
-            at = np.searchsorted([o[0] for o in coded.offsets], begins).tolist()
-            ids = np.array(coded.ids, "<u4").tobytes()
-            for x, lo, hi in zip(b, at, at[1:]):
-                self.inner[x] = ids[4 * lo : 4 * hi]
+        for b, coded in zip(blocks, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(coded.ids, "<u4")
+            at = [*np.flatnonzero(self.begins[ids]).tolist(), len(ids)]
+            raw = ids.tobytes()
+            if len(at) != len(b) + 1:
+                self.inner.update(zip(b, self.whole([" " + x for x in b])))
+            else:
+                self.inner.update(zip(b, [raw[4 * lo : 4 * hi] for lo, hi in zip(at, at[1:])]))
 
     def of(self, texts: list[str]) -> list[bytes]:
         if len(self.inner) > REMEMBERED:
-            self.inner.clear()
+            self.inner, self.older = {}, self.inner
         if len(self.outer) > REMEMBERED // 8:
             self.outer.clear()
         out: list = [None] * len(texts)
@@ -80,14 +86,16 @@ class Ids:
             ends = [pieces[0]] if len(pieces) == 1 else [pieces[0], " " + pieces[-1]]
             pieces = pieces[1:-1]
             got = list(map(known, pieces))
-            if None in got:
+            if not all(got):  # ids are never empty; faster than looking for None
                 missing.update([p for p, ids in zip(pieces, got) if ids is None])
             cut[i] = ends, pieces, got
-        self._learn(missing)
+        used = [(x, ids) for x in missing if (ids := self.older.get(x)) is not None]
+        self.inner.update(used)
+        self._learn(missing.difference(x for x, _ in used))
         ends = [e for e in {e for x, _, _ in cut.values() for e in x} if e not in self.outer]
         self.outer.update(zip(ends, self.whole(ends)))
         for i, (ends, pieces, got) in cut.items():
-            if None in got:
+            if not all(got):
                 got = list(map(known, pieces))
             out[i] = b"".join([self.outer[ends[0]], *got, *[self.outer[e] for e in ends[1:]]])
         for i, ids in zip(whole, self.whole([texts[i] for i in whole])):
