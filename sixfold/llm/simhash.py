@@ -9,7 +9,7 @@ other segment, then quarters), which bounds every bucket by 2^11 members at the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -122,7 +122,7 @@ def _links(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_p = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         last = object()
-        for batch in (*batches, last):
+        for batch in chain(batches, [last]):
             if batch is not last:
                 k, p = (np.concatenate([x, column(batch, c).to_numpy().astype(x.dtype)]) for x, c in ((held_k, "key"), (held_p, "fp")))
                 whole = int(np.searchsorted(k, k[-1])) if len(k) else 0  # the last bucket may go on
