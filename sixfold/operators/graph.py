@@ -146,20 +146,47 @@ def neighbor_pairs(edges: DataFrame) -> DataFrame:
     return both_ways(edges).where("id <> other").select("id", "other").distinct()
 
 
-def ego_clusters(edges: DataFrame, most: int = 8, least: int = 3) -> DataFrame:
-    """node, members (sorted), n: each node and its neighbours; beyond `most`, those that share most neighbours with it.
+def common_neighbors(pairs: DataFrame) -> DataFrame:
+    """id, other, common: how many neighbours the ends of each pair share, where they share any; pairs: both directions.
 
-    Common neighbours are counted by joining paths of two edges that a third one closes; the smaller id goes first among equals.
+    Every triangle is listed once, from its corner of the least degree: edges point to the larger degree, so that even a
+    node with very many neighbours has few outward ones, and no node's neighbours are all paired.
     """
+    degree = pairs.groupBy("id").agg(F.count("*").alias("d"))
+    ranked = pairs.join(degree, "id").join(degree.select(F.col("id").alias("other"), F.col("d").alias("e")), "other")
+    out = cut(ranked.where("struct(d, id) < struct(e, other)").select(F.col("id").alias("u"), F.col("other").alias("v"), F.struct(F.col("e").alias("d"), F.col("other").alias("id")).alias("r")))
+    wedges = out.join(out.select("u", F.col("v").alias("w"), F.col("r").alias("s")), "u").where("r < s").select("u", "v", "w")
+    triangles = wedges.join(out.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi")
+    sides = [F.struct(F.col(x).alias("id"), F.col(y).alias("other")) for x in "uvw" for y in "uvw" if x != y]
+    return triangles.select(F.explode(F.array(*sides)).alias("e")).groupBy("e.id", "e.other").agg(F.count("*").alias("common"))
+
+
+def ego_clusters(edges: DataFrame, most: int = 8, least: int = 3) -> DataFrame:
+    """node, members (sorted), n: each node and its neighbours; beyond `most`, those that share most neighbours with it,
+    the smaller id first among equals."""
     pairs = cut(neighbor_pairs(edges))
-    two = pairs.select("id", F.col("other").alias("mid")).join(pairs.select(F.col("id").alias("mid"), "other"), "mid")
-    common = two.join(pairs, ["id", "other"]).groupBy("id", "other").agg(F.count("*").alias("common"))
-    ranked = pairs.join(common, ["id", "other"], "left").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.coalesce("common", F.lit(0)).desc(), "other")))
+    ranked = pairs.join(common_neighbors(pairs), ["id", "other"], "left").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.coalesce("common", F.lit(0)).desc(), "other")))
     kept = ranked.where(F.col("r") < most).groupBy("id").agg(F.collect_list("other").alias("near"))
     members = F.array_sort(F.concat(F.array("id"), "near"))
     return kept.select(F.col("id").alias("node"), members.alias("members"), F.size(members).alias("n")).where(F.col("n") >= least)
 
 
+def overlapping(clusters: DataFrame, overlap: float) -> DataFrame:
+    """first, second: clusters (node, members, n) that share more than `overlap` of the larger, first before second.
+
+    Of each cluster only the rarest members are join keys: so many that two clusters with this overlap share one of them.
+    """
+    rarity = clusters.select(F.explode("members").alias("m")).groupBy("m").agg(F.count("*").alias("f"))
+    each = clusters.select("node", "n", F.explode("members").alias("m")).join(rarity, "m")
+    ranked = each.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("f", "m")))
+    keys = ranked.where(F.col("r") <= F.col("n") - F.floor(F.col("n") * overlap)).select("node", "m")
+    two = keys.withColumnRenamed("node", "first").join(keys.withColumnRenamed("node", "second"), "m").where("first < second").select("first", "second").distinct()
+    side = lambda x: clusters.select(F.col("node").alias(x), F.col("members").alias(f"of_{x}"))
+    both = two.join(side("first"), "first").join(side("second"), "second")
+    shared = F.size(F.array_intersect("of_first", "of_second")) / F.greatest(F.size("of_first"), F.size("of_second"))
+    return both.where(shared > overlap).select("first", "second")
+
+
 def cluster_name(n: Column) -> Column:
     name = F.concat(F.lit("poly_"), n.cast("string"), F.lit("_cluster"))
     for size, text in CLUSTER_NAMES.items():
@@ -173,10 +200,7 @@ def hyper_edges(edges: DataFrame, overlap: float = 0.8) -> DataFrame:
     Rounds of: a cluster stays once every earlier overlapping one is gone, and goes once one of them stays.
     """
     egos = cut(ego_clusters(edges))
-    each = egos.select("node", "n", F.explode("members").alias("m"))
-    a, b = each.alias("a"), each.alias("b")
-    shared = a.join(b, (F.col("a.m") == F.col("b.m")) & (F.col("a.node") < F.col("b.node"))).groupBy(F.col("a.node").alias("first"), F.col("b.node").alias("second"), F.col("a.n").alias("n"), F.col("b.n").alias("k")).count()
-    clash = cut(shared.where(F.col("count") / F.greatest("n", "k") > overlap).select("first", "second"))
+    clash = cut(overlapping(egos, overlap))
     state = egos.select("node", F.lit(None).cast("boolean").alias("kept"))
     while True:
         blocked = clash.join(state.select(F.col("node").alias("first"), "kept"), "first").groupBy(F.col("second").alias("node")).agg(F.max(F.coalesce("kept", F.lit(False))).alias("loses"), F.max(F.col("kept").isNull()).alias("waits"))
