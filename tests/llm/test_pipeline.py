@@ -1,8 +1,12 @@
 """The pipeline's stages against plain versions, each on its own input."""
 
+import random
 import zlib
 
+import pytest
+
 from corpus_pipeline import STAGES, run
+from sixfold.llm import near_copies
 from sixfold.llm.registry import ORACLES
 from sixfold.llm.simhash import fingerprint
 
@@ -63,3 +67,60 @@ def test_repeated_rows(spark, docs, sf):
     """Of rows repeated with one id and text, the exact stage keeps one."""
     kept = [r.doc_id for r in dict(STAGES)["exact"](spark, docs, sf).collect()]
     assert kept.count(500) == 1
+
+
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def brute_near(rows):
+    """The places of rows that have the least id of their component under a 5-word Jaccard similarity of 0.8."""
+    sets, root = [five_words(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 9 * len(a & b) >= 4 * (len(a) + len(b)) and root[i] != root[j]:
+                root = [root[j] if x == root[i] else x for x in root]
+    return {min((k for k in range(len(rows)) if root[k] == r), key=lambda k: rows[k][0]) for r in set(root)}
+
+
+@pytest.mark.parametrize("part,often", [(500, 4), (2, 10**6)])
+def test_near_similarity(spark, sf, part, often, monkeypatch):
+    """Pairs around 0.8, a chain, a crowd and a shared line, against brute-force Jaccard; small parts deal every bucket."""
+    monkeypatch.setattr(near_copies, "PART", part)
+    monkeypatch.setattr(near_copies, "OFTEN", often)
+    rng = random.Random(5)
+    prose = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    line, rows = prose(30), []
+    for _ in range(12):
+        base = prose(rng.randrange(40, 250))
+        rows.append(base)
+        for cut in (0.88, 0.9, 0.95):
+            rows.append(base[: int(len(base) * cut)] + prose(len(base) - int(len(base) * cut)))
+        rows.append([x if rng.random() > 0.02 else "x" for x in base])
+    chain = prose(200)
+    for _ in range(6):
+        chain = chain[15:] + prose(15)
+        rows.append(chain)
+    crowd = prose(120)
+    rows += [[x if rng.random() > 0.015 else f"y{rng.randrange(9)}" for x in crowd] for _ in range(40)]
+    rows += [line + prose(rng.randrange(2, 60)) for _ in range(40)] + [[], ["one"], ["One"]]
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in dict(STAGES)["near"](spark, docs, sf).collect())
+    assert got == sorted(brute_near(rows)) and len(got) < len(rows) - 40
+
+
+def test_near_on_tables(spark, sf):
+    """The near stage on the given table, quality filter not applied, and the stage after it on what is left."""
+    docs = dict(STAGES)["exact"](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    kept = dict(STAGES)["near"](spark, docs, sf)
+    want = {rows[k] for k in brute_near(rows)}
+    assert {(r.doc_id, r.text) for r in kept.collect()} == want and len(want) < len(rows)
+    bench = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    wins = {tuple(w[i : i + 10]) for w in map(words, bench) for i in range(len(w) - 9)}
+    clean = {i for i, t in want if not any(tuple(words(t)[k : k + 10]) in wins for k in range(len(words(t))))}
+    assert {r.doc_id for r in dict(STAGES)["decontaminate"](spark, kept, sf).collect()} == clean
