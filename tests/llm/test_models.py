@@ -112,6 +112,21 @@ def test_licenses(spark, nothing):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_notices_without_cue(spark):
+    """Notices that hold no cue are found though the sample holds them too, also where a third of all lines are one."""
+    notices = {
+        "All rights reserved.": "proprietary",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction.": "mit",
+        "Released into the public domain.": "cc0",
+    }
+    plain = "The river is long and the work of a person is free of any charge"
+    rows = [(i, f"{plain} {i}\nAll rights reserved.\nA copy of line {i} was sent to the city") for i in range(60)]
+    rows += [(100 + i, f"Before {i}\n{t}\nafter") for i, t in enumerate(notices)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): r.family for r in licenses.scan(docs, licenses.fit_licenses(docs)).collect()}
+    assert got == {(i, 1): "proprietary" for i in range(60)} | {(100 + i, 1): f for i, f in enumerate(notices.values())}
+
+
 @pytest.mark.parametrize("parts,part", [(3, 1), (4, 2)])
 def test_folds(spark, parts, part):
     import zlib
