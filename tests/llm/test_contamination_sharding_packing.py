@@ -102,15 +102,30 @@ def test_packing(docs, clashing, nothing, texts):
 
 
 def test_chunked_ids():
-    """Remembered pieces give the ids of the whole text."""
+    """The ids are those of the tokenizers library, for every code point too."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
     t.encode_special_tokens = True
     odd = ["a b", " a b ", "a  b", "x\n y", "x \ny", "x\n\ny z\n", "it's John's 'll", "1,000.50 € — “q” ", "é ß ñ w", "", " ", "<|endoftext|> z", "tab\there you", "emoji 😀😀 ok"]
+    odd += [f"a{c}b {c}1{c}{c} .{c}. {c} {c}\n {c}{c}" for c in map(chr, range(0x11000)) if not 0xD800 <= ord(c) < 0xE000]
+    odd += ["a" * 50_000, " " * 50_000, "1." * 30_000, "  a" * 20_000]
     own = Ids(tokenizer_path())
-    for _ in range(2):
-        assert own.of(odd) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(odd, add_special_tokens=False)]
+    assert own.of(odd) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(odd, add_special_tokens=False)]
+
+
+def test_open_windows_go_on(spark):
+    """Windows that small partitions leave open are packed together: few sequences are short of full, none overlap."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 900, rng.integers(1, 400)))) for i in range(600)]
+    found = pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(40)).collect()
+    fill = Counter()
+    for r in found:
+        fill[r.sequence_id] += r.length
+    short = [n for n in fill.values() if n < LENGTH]
+    assert all(n & (n - 1) == 0 for n in short) and len(short) <= 10 * 2
+    whole = Counter(r.doc_id for r in found)
+    assert sum(n == 1 for n in whole.values()) > 0.5 * len(rows)  # most pieces stay whole instead of being cut in sequence
 
 
 def test_levels():
