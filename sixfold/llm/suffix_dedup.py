@@ -1,10 +1,13 @@
 """Removal of long repeated byte strings by bucket-pointer refinement.
 
-Every window of SPAN bytes falls to the bucket of its smallest GRAM-byte hash, so equal windows share a bucket, and a
-run of consecutive windows of one bucket is one row. Runs with the same bytes are one context; a context that occurs
-twice is repeated throughout. Only buckets with several different contexts are looked into: a task refines the windows
-of its buckets from FIRST-byte buckets, sorting by the bucket identifiers at a place and further on, over and over with
-the identifiers just made, to buckets of SPAN bytes.
+Every window of `span` bytes falls to the bucket of its smallest q-gram hash, so equal windows share a bucket, and a run of
+consecutive windows of one bucket is one row. Runs with the same bytes are one context, of which two copies at most go on.
+A task refines the windows of its buckets from FIRST-byte buckets, sorting by the bucket identifiers at a place and further
+on, over and over with the identifiers just made, to buckets of `span` bytes, and compares the bytes of what it has put
+together. What it finds for a context holds for all its copies. A bucket of very many contexts is dealt out to the buckets
+of longer q-grams first, again and again until it is small enough.
+
+Strings of PASSAGE bytes are looked for in whole texts; the longer ones that are removed can only lie where these are.
 """
 
 from __future__ import annotations
@@ -17,15 +20,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import column, shuffle_partitions, stored, table, utf8, with_group
 
-SPAN, GRAM, FIRST = 400, 100, 50
-#: Bytes of contexts dealt to a task, and refined at once; contexts beyond which a bucket is dealt out window by window.
-TASK_BYTES, REFINED_BYTES, LARGE = 3_000_000, 600_000, 1500
-#: Spans to read or remove that may be broadcast (40 bytes each at most); beyond, the join is shuffled.
+#: Bytes of a string that is removed; of the shorter one that is only reported (about 50 words); of the first q-grams for
+#: either; of the buckets that refinement begins with.
+SPAN, PASSAGE, GRAM, SHORT_GRAM, FIRST = 400, 250, 150, 50, 50
+#: Bytes of contexts dealt to a task, and refined at once; contexts beyond which a bucket is dealt out by longer q-grams.
+TASK_BYTES, REFINED_BYTES, LARGE = 3_000_000, 600_000, 1000
+#: Spans to read or remove, and buckets, that may be broadcast (40 bytes each at most); beyond, the join is shuffled.
 BROADCAST_SPANS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -68,9 +72,11 @@ def _extreme(x: np.ndarray, n: int, of) -> np.ndarray:
 
 
 def runs(raw: bytes, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """bucket, start, windows, context and several of each run of windows; several: its bucket's gram may recur in it."""
+    """bucket, start, windows, context (two hashes) and several of each run of windows; several: its bucket's gram may recur in it."""
+    import xxhash
+
     if len(raw) < span:
-        return (np.zeros(0, np.uint64),) * 5
+        return (np.zeros(0, np.uint64),) * 6
     hashes, width = Hashes(np.frombuffer(raw, np.uint8)), span - gram + 1
     grams = hashes.all(gram)
     least = _extreme(grams, width, np.minimum)
@@ -87,10 +93,21 @@ def runs(raw: bytes, span: int, gram: int) -> tuple[np.ndarray, ...]:
     values, counts = np.unique(anchors, return_counts=True)
     bucket = least[start]
     several = np.isin(bucket, values[counts > 1])
-    return bucket, start, length, hashes.between(start, start + length + span - 1), several
+    ends = start + length + span - 1
+    again = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(start.tolist(), ends.tolist())), np.uint64, len(start))
+    return bucket, start, length, hashes.between(start, ends), again, several
+
+
+KEY = ["bucket", "c1", "c2"]
+RUNS = "doc long, print long, bucket long, c1 long, c2 long, start int, windows int, several boolean"
+
+
+def _fields(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
-RUNS = "doc long, print long, bucket long, context long, start int, windows int, several boolean"
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint64).view(np.int64)
 
 
 def _runs(span: int, gram: int):
@@ -100,53 +117,79 @@ def _runs(span: int, gram: int):
                 part = b.slice(lo, 512)
                 found = [runs(x or b"", span, gram) for x in utf8(column(part, "text"))]
                 repeat = np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found])
-                bucket, start, length, context, several = (np.concatenate(x) for x in zip(*found))
-                keys = [column(part, c).to_numpy()[repeat] for c in ("doc", "print")]
-                values = [*keys, bucket.astype(np.uint64).view(np.int64), context.astype(np.uint64).view(np.int64), start.astype(np.int32), length.astype(np.int32), several.astype(bool)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=[x.split()[0] for x in RUNS.split(", ")])
+                bucket, start, length, c1, c2, several = (np.concatenate(x) for x in zip(*found))
+                doc, print_, base = (column(part, c).to_numpy()[repeat] for c in ("doc", "print", "base"))
+                values = [doc, print_, _signed(bucket), _signed(c1), _signed(c2), (base + start.astype(np.int64)).astype(np.int32), length.astype(np.int32), several.astype(bool)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=_fields(RUNS))
 
     return run
 
 
-def repeated_windows(pieces: list[bytes], span: int = SPAN, first: int = FIRST) -> list[np.ndarray]:
-    """For each piece, whether the window at each place occurs at another place of these pieces."""
-    sizes = np.array([len(x) for x in pieces])
-    raw = np.frombuffer(b"".join(pieces), np.uint8)
-    end = np.repeat(np.cumsum(sizes), sizes)
-    room = end - np.arange(len(raw))  # bytes from here to the piece's end
-    # The initial buckets, of `first` bytes; 0 for a place alone in its bucket, which no refinement can bring back.
-    places = np.flatnonzero(room >= first)
-    pointer = np.zeros(len(raw) + 1, np.int64)
+def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, span: int) -> bool:
+    """Whether the strings of span bytes at each a (ascending) and b are the same; where both go on by one, one byte tells."""
+    if not len(a):
+        return True
+    head = np.concatenate([[True], (np.diff(a) != 1) | (np.diff(b) != 1)])
+    if (raw[a[~head] + span - 1] != raw[b[~head] + span - 1]).any():
+        return False
+    a, b, within = a[head], b[head], np.arange(span)
+    return all((raw[a[lo : lo + 2048, None] + within] == raw[b[lo : lo + 2048, None] + within]).all() for lo in range(0, len(a), 2048))
+
 
-    def bucket(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _refined(raw: np.ndarray, room: np.ndarray, span: int, first: int) -> np.ndarray | None:
+    """The places whose string of span bytes is at another place too; None if the bytes don't bear the buckets out."""
+    pointer = np.zeros(len(raw) + 1, np.int64)  # 0 for a place alone in its bucket, which no refinement can bring back
+    wide = len(raw).bit_length()
+
+    def bucket(keys: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
         """Sorts the places by key; pointers of buckets of two or more, from 1."""
-        order = np.argsort(keys, kind="stable")
-        ranked = keys[order]
+        if bits + wide <= 64:  # keys and places in one number sort faster; initial hashes are shortened for it
+            both = np.sort(keys.astype(np.uint64) << np.uint64(wide) | np.arange(len(at), dtype=np.uint64))
+            order, ranked = (both & np.uint64((1 << wide) - 1)).astype(np.int64), both >> np.uint64(wide)
+        else:
+            order = np.argsort(keys)
+            ranked = keys[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
         numbers = np.cumsum(new)
-        counts = np.bincount(numbers, minlength=1)
+        alive = np.bincount(numbers, minlength=1)[numbers] > 1
         pointer[:] = 0
-        alive = counts[numbers] > 1
-        pointer[at[order[alive]]] = numbers[alive]
+        pointer[at[order[alive]]] = np.cumsum(new & alive)[alive]
         return at[order[alive]]
 
-    alive = bucket(Hashes(raw).all(first)[places], places)
-    length = first
+    alive = np.flatnonzero(room >= first)
+    alive, length = bucket(Hashes(raw).all(first)[alive] >> np.uint64(wide), alive, 64 - wide), first
     while length < span and len(alive):
         step = min(length, span - length)
-        alive = np.sort(alive[(room[alive] >= length + step)])
-        later = pointer[np.minimum(alive + step, len(raw))]
+        alive = np.sort(alive[room[alive] >= length + step])
+        later = pointer[alive + step]
         alive, later = alive[later > 0], later[later > 0]
-        alive = bucket(pointer[alive] * (len(raw) + 1) + later, alive)
+        alive = bucket(pointer[alive] << wide | later, alive, 2 * wide)
         length += step
-    marks = np.zeros(len(raw), bool)
-    if length >= span:
-        marks[alive] = True
-    starts = np.cumsum(sizes) - sizes
-    return [marks[a : a + max(0, n - span + 1)] for a, n in zip(starts, sizes)]
+    alive = np.sort(alive)
+    ids, at = np.unique(pointer[alive], return_index=True)  # the first place of each bucket stands for it
+    stands = alive[at][np.searchsorted(ids, pointer[alive])]
+    other = alive != stands
+    return alive if _equal(raw, alive[other], stands[other], span) else None
+
 
+def _by_digest(raw: np.ndarray, room: np.ndarray, span: int) -> np.ndarray:
+    """The same by a long digest of each string, for the case that hashes of different strings have met."""
+    at: dict[bytes, list[int]] = {}
+    for p in np.flatnonzero(room >= span).tolist():
+        at.setdefault(hashlib.blake2b(raw[p : p + span].tobytes(), digest_size=20).digest(), []).append(p)
+    return np.array([p for x in at.values() if len(x) > 1 for p in x], np.int64)
 
-SPANS = "doc long, print long, start long, end long"
+
+def repeated_windows(pieces: list[bytes], span: int = SPAN, first: int = FIRST) -> list[np.ndarray]:
+    """For each piece, whether the window at each place occurs at another place of these pieces."""
+    sizes = np.array([len(x) for x in pieces])
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    ends = np.cumsum(sizes)
+    room = np.repeat(ends, sizes) - np.arange(len(raw))  # bytes from here to the piece's end
+    alive = _refined(raw, room, span, first)
+    marks = np.zeros(len(raw), bool)
+    marks[_by_digest(raw, room, span) if alive is None else alive] = True
+    return [marks[e - n : e - n + max(0, n - span + 1)] for e, n in zip(ends, sizes)]
 
 
 def _stretches(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,129 +198,181 @@ def _stretches(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - 1
 
 
+BYTES = "doc long, print long, bucket long, c1 long, c2 long, n long, start long, bytes binary, other boolean, hot boolean"
+REFINED = "doc long, print long, bucket long, c1 long, c2 long, n long, start long, end long"
+
+
 def _refine(span: int):
-    """Contexts of whole buckets in; the spans that their repeated windows cover out, for contexts that occur once."""
+    """The contexts of whole buckets in, their repeated spans out; of contexts with copies, relative to their start."""
 
-    def spans(rows: list[dict]) -> list[tuple]:
+    def spans(rows: list[dict]) -> pa.RecordBatch:
         out = []
-        for r, marks in zip(rows, repeated_windows([r["bytes"] for r in rows], span)):
-            if r["n"] == 1:
-                out += [(r["doc"], r["print"], r["start"] + int(a), r["start"] + int(b) + span) for a, b in zip(*_stretches(marks))]
-        return out
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 4)], names=["doc", "print", "start", "end"])
+        for r, marks in zip(rows, repeated_windows([r["bytes"] for r in rows], span) if rows else []):
+            if not r["other"]:
+                base = r["start"] if r["n"] == 1 else 0
+                out += [(*[r[c] for c in _fields(REFINED)[:6]], base + int(a), base + int(b) + span) for a, b in zip(*_stretches(marks))]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 8)], names=_fields(REFINED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         size = 0
         for b in batches:  # sorted by bucket
-            for r in b.to_pylist():
-                if size > REFINED_BYTES and r["bucket"] != held[-1]["bucket"]:
-                    yield batch(spans(held))
-                    held, size = [], 0
-                held.append(r)
-                size += len(r["bytes"])
-        yield batch(spans(held) if held else [])
+            for lo in range(0, b.num_rows, 1024):
+                for r in b.slice(lo, 1024).to_pylist():
+                    if size > REFINED_BYTES and r["bucket"] != held[-1]["bucket"]:
+                        yield spans(held)
+                        held, size = [], 0
+                    held.append(r)
+                    size += len(r["bytes"])
+        yield spans(held)
 
     return run
 
 
 def _read(span: int):
+    """The bytes of the wanted contexts of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64()] * 7 + [pa.binary(), pa.bool_(), pa.bool_()]
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 rows = []
-                keys = [column(part, c).to_pylist() for c in ("doc", "print", "wanted")]
-                for text, doc, print_, wanted in zip(utf8(column(part, "text")), *keys):
+                keys = [column(part, c).to_pylist() for c in ("doc", "print", "base", "wanted")]
+                for text, doc, print_, base, wanted in zip(utf8(column(part, "text")), *keys):
                     for w in wanted:
-                        rows.append((doc, print_, w["bucket"], w["n"], w["start"], text[w["start"] : w["start"] + w["windows"] + span - 1], w["large"]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=["doc", "print", "bucket", "n", "start", "bytes", "large"])
+                        at = w["start"] - base
+                        if at >= 0 and at + w["windows"] + span - 1 <= len(text):
+                            rows.append((doc, print_, *[w[c] for c in KEY], w["n"], w["start"], text[at : at + w["windows"] + span - 1], w["other"], w["hot"]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, kinds)], names=_fields(BYTES))
 
     return run
 
 
-def _window_hashes(span: int):
+def _sized(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_SPANS else df
+
+
+def _of_text(spans: DataFrame) -> DataFrame:
+    return spans.groupBy("doc", "print").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+
+
+def _found(pieces: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame | None]:
+    """doc, print, start and end of what is found in the buckets of these q-grams, and the pieces of buckets too large."""
+    spark, one = pieces.sparkSession, F.struct("doc", "print", "start", "windows")
+    rows = stored(pieces.mapInArrow(_runs(span, gram), RUNS), "span-runs")
+    # Most buckets have one window or a few in a row, and go before anything else is shuffled.
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("total"), F.max("several").alias("several")).where("total > 1 or several")
+    buckets = stored(buckets.select("bucket", "total"), "span-buckets")
+    if buckets.count() <= BROADCAST_SPANS:
+        rows = rows.join(F.broadcast(buckets.select("bucket")), "bucket", "left_semi").drop("several")
+    else:
+        rows = with_group(rows, buckets, "bucket", "total").where("total is not null").drop("several", "total")
+    rows = stored(rows, "span-rows")
+    contexts = stored(rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(one).alias("first"), F.max(one).alias("last")), "span-contexts")
+    sizes = contexts.groupBy("bucket").agg(F.count("*").alias("different")).where(F.col("different") > (LARGE if gram < span else 1 << 40))
+    hot = stored(sizes, "span-hot")  # of more than LARGE contexts each, so few against all contexts
+    some = not hot.isEmpty()
+    contexts = with_group(contexts, hot, "bucket", "different") if some else contexts.withColumn("different", F.lit(None).cast("long"))
+    # Two copies of a context that has more than one are read, else its only one; of large buckets one.
+    large = F.col("different").isNotNull()
+    copies = F.when((F.col("n") > 1) & ~large, F.array(F.struct("first.*", F.lit(False).alias("other")), F.struct("last.*", F.lit(True).alias("other")))).otherwise(F.array(F.struct("first.*", F.lit(False).alias("other"))))
+    each = contexts.select(*KEY, "n", large.alias("hot"), F.explode(copies).alias("at"))
+    want = F.struct(*KEY, "n", F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), F.col("at.other").alias("other"), "hot")
+    wanted = stored(each.groupBy(F.col("at.doc").alias("doc"), F.col("at.print").alias("print")).agg(F.collect_list(want).alias("wanted")), "span-wanted")
+    count, size = wanted.agg(F.sum(F.size("wanted")), F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda a, x: a + x["windows"] + span))).first()
+    read = pieces.join(_sized(wanted, count or 0), ["doc", "print"]).mapInArrow(_read(span), BYTES)
+    if some:
+        read = stored(read, "span-bytes")
+    parts = max(shuffle_partitions(spark), math.ceil((size or 0) / TASK_BYTES))
+    refined = stored(read.where("not hot").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine(span), REFINED), "span-refined")
+    single = refined.where("n = 1").select("doc", "print", "start", "end")
+    copied = refined.where("n > 1").groupBy(*KEY).agg(F.max("n").alias("n"), F.collect_list(F.struct("start", "end")).alias("of"))
+    if some:  # the copies of a context are whole
+        end = F.col("first.windows") + span - 1
+        copied = copied.unionByName(contexts.where("different is not null and n > 1").select(*KEY, "n", F.array(F.struct(F.lit(0).cast("long").alias("start"), end.cast("long").alias("end"))).alias("of")))
+    copied = stored(copied, "span-copied")
+    copied = with_group(rows, copied, KEY, "n").where("of is not null").select("doc", "print", F.col("start").cast("long").alias("base"), F.explode("of").alias("x"))
+    found = single.unionByName(copied.select("doc", "print", (F.col("base") + F.col("x.start")).alias("start"), (F.col("base") + F.col("x.end")).alias("end")))
+    if not some:
+        return found, None
+    return found, read.where("hot").select("doc", "print", F.col("start").alias("base"), F.col("bytes").alias("text"))
+
+
+def repeated_spans(pieces: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """doc, print and spans (start, end; sorted) of every text with a string of span bytes that is elsewhere too.
+
+    pieces: doc, print, base and text: a text or parts of it, where in it they begin. Parts of a text may overlap by less
+    than span bytes.
+    """
+    found = None
+    while pieces is not None:
+        more, pieces = _found(pieces, span, gram)
+        found = more if found is None else found.unionByName(more)
+        gram += -(-(span - gram) // 2)
+    return stored(_of_text(found), "spans")
+
+
+def _merged(spans: list[dict]) -> list[list[int]]:
+    """Overlapping and touching spans, sorted by start, as one."""
+    out: list[list[int]] = []
+    for x in spans or []:
+        if out and x["start"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], x["end"])
+        else:
+            out.append([x["start"], x["end"]])
+    return out
+
+
+def _parts(span: int):
+    """The parts of texts that spans cover without a break over at least `span` bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                h = Hashes(np.frombuffer(r["bytes"], np.uint8)).all(span).view(np.int64)
-                n = len(h)
-                values = [np.full(n, r["doc"]), np.full(n, r["print"]), np.full(n, r["n"]), r["start"] + np.arange(n), h]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in values], names=["doc", "print", "n", "start", "h"])
+            for lo in range(0, b.num_rows, 256):
+                part, rows = b.slice(lo, 256), []
+                keys = [column(part, c).to_pylist() for c in ("doc", "print", "spans")]
+                for text, doc, print_, spans in zip(utf8(column(part, "text")), *keys):
+                    rows += [(doc, print_, x, text[x:y]) for x, y in _merged(spans) if y - x >= span]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, [pa.int64()] * 3 + [pa.binary()])], names=["doc", "print", "base", "text"])
 
     return run
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for doc, raw, spans in zip(column(b, "doc_id").to_pylist(), utf8(column(b, "text")), column(b, "spans").to_pylist()):
-            raw, at, kept, removed, count = raw or b"", 0, [], 0, 0
-            for s in sorted((x["start"], x["end"]) for x in spans or []):
-                if s[0] > at or not count:
-                    kept.append(raw[at : s[0]])
-                    count += 1
-                    at = s[0]
-                removed += max(0, s[1] - at)
-                at = max(at, s[1])
-            kept = b"".join([*kept, raw[at:]])
-            rows.append((doc, len(raw), removed, count, hashlib.sha256(kept).hexdigest(), kept))
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-
-def _sized(df: DataFrame, spans: str) -> DataFrame:
-    n = df.agg(F.sum(F.size(spans))).first()[0] or 0
-    return F.broadcast(df) if n <= BROADCAST_SPANS else df
-
-
-def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc, print and spans (start, end) of every document with a repeated window; docs: doc, print and text."""
-    spark, key = docs.sparkSession, ["bucket", "context"]
-    rows = stored(docs.mapInArrow(_runs(span, gram), RUNS), "span-runs")
-    one = F.struct("doc", "print", "start", "windows")
-    contexts = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(one).alias("at"), F.max("several").alias("several"))
-    of_bucket = W.partitionBy("bucket")
-    contexts = contexts.select("*", F.count("*").over(of_bucket).alias("different"), F.max("several").over(of_bucket).alias("recurs"))
-    mixed = (F.col("different") > 1) | F.col("recurs")
-    contexts = stored(contexts.where(mixed | (F.col("n") > 1)).select(*key, "n", "at", mixed.alias("mixed"), "different"), "span-contexts")
-    # Contexts that occur twice: all their windows.
-    often = contexts.where("n > 1").select(*key, "n")
-    end = F.col("start") + F.col("windows") + span - 1
-    whole = with_group(rows, often, key, "n").where("n is not null").select("doc", "print", F.col("start").cast("long").alias("start"), end.cast("long").alias("end"))
-    # Buckets of several contexts: one copy of each is read and refined.
-    want = F.struct("bucket", "n", F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), (F.col("different") > LARGE).alias("large"))
-    wanted = contexts.where("mixed").groupBy(F.col("at.doc").alias("doc"), F.col("at.print").alias("print")).agg(F.collect_list(want).alias("wanted"))
-    wanted = stored(wanted, "span-wanted")
-    size, large = wanted.agg(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda a, x: a + x["windows"] + span)), F.max(F.exists("wanted", lambda x: x["large"]))).first()
-    read = docs.join(_sized(wanted, "wanted"), ["doc", "print"]).mapInArrow(_read(span), "doc long, print long, bucket long, n long, start long, bytes binary, large boolean")
-    parts = max(shuffle_partitions(spark), math.ceil((size or 0) / TASK_BYTES))
-    if large:
-        read = stored(read, "span-bytes")
-    part = read.where("not large").drop("large").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine(span), SPANS)
-    found = whole.unionByName(part)
-    if large:  # by the hash of each window, which no bucket holds together
-        hashes = stored(read.where("large").mapInArrow(_window_hashes(span), "doc long, print long, n long, start long, h long"), "span-windows")
-        twice = hashes.groupBy("h").agg(F.count("*").alias("places")).where("places > 1")
-        again = with_group(hashes.where("n = 1"), twice, "h", "places").where("places is not null")
-        found = found.unionByName(again.select("doc", "print", "start", (F.col("start") + span).alias("end")))
-    return stored(found.groupBy("doc", "print").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-
-
-def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
-
-    A byte goes if a string of `span` bytes that covers it also starts anywhere else in the input. Null and shorter texts
-    have no such string. Repeated rows are other places, so their strings go from each; a null doc_id is a document like
-    any other. No rows give no rows. Columns other than doc_id and text are ignored.
+        for lo in range(0, b.num_rows, 512):
+            part, rows = b.slice(lo, 512), []
+            keys = [column(part, c).to_pylist() for c in ("doc_id", "spans", "repeats")]
+            for raw, doc, spans, repeats in zip(utf8(column(part, "text")), *keys):
+                raw, at, kept, removed, spans = raw or b"", 0, [], 0, _merged(spans)
+                for x, y in spans:
+                    kept.append(raw[at:x])
+                    removed, at = removed + y - x, y
+                kept = b"".join([*kept, raw[at:]])
+                rows.append((doc, len(raw), removed, len(spans), hashlib.sha256(kept).hexdigest(), repeats, kept))
+            kinds = [pa.int64()] * 4 + [pa.string(), pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats", "kept"])
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, passage: int = PASSAGE, short: int = SHORT_GRAM) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats, kept (the remaining bytes).
+
+    A byte goes if a string of `span` bytes that covers it also starts anywhere else in the input; repeats tells whether
+    any string of `passage` bytes does, which may be less than what is removed. Null and shorter texts have no such string.
+    Repeated rows are other places, so their strings go from each; a null doc_id is a document like any other. No rows
+    give no rows. Columns other than doc_id and text are ignored.
     """
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"), F.col("text").cast("string").alias("text"))
-    spans = _sized(repeated_spans(docs.select("doc", "print", "text"), span, gram), "spans")
-    return docs.join(spans, ["doc", "print"], "left").select("doc_id", "text", "spans").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    n_spans = lambda df: df.agg(F.sum(F.size("spans"))).first()[0] or 0
+    passages = repeated_spans(docs.select("doc", "print", F.lit(0).cast("long").alias("base"), F.col("text").cast("binary").alias("text")), passage, short)
+    parts = docs.select("doc", "print", "text").join(_sized(passages, n_spans(passages)), ["doc", "print"]).mapInArrow(_parts(span), "doc long, print long, base long, text binary")
+    spans = repeated_spans(stored(parts, "span-parts"), span, gram)
+    both = passages.select("doc", "print", F.lit(True).alias("repeats")).join(spans, ["doc", "print"], "left")
+    both = stored(both, "span-both")
+    rows = docs.join(_sized(both, n_spans(both) + both.count()), ["doc", "print"], "left").select("doc_id", "text", "spans", F.coalesce("repeats", F.lit(False)).alias("repeats"))
+    return rows.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean, kept binary")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

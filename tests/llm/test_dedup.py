@@ -1,6 +1,7 @@
 """Exact and near duplicates and repeated strings against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -92,9 +93,9 @@ def test_components(spark):
     assert {got[i] for i in range(201)} == {0} and {got[1000 + i] for i in range(1, 300)} == {1000}
 
 
-def brute_spans(texts, span):
+def brute_spans(texts, span, passage=250):
     raw = [(t or "").encode() for _, t in texts]
-    seen = Counter(b[i : i + span] for b in raw for i in range(len(b) - span + 1))
+    seen, short = (Counter(b[i : i + n] for b in raw for i in range(len(b) - n + 1)) for n in (span, passage))
     out = []
     for (i, _), b in zip(texts, raw):
         mark = bytearray(len(b))
@@ -102,15 +103,41 @@ def brute_spans(texts, span):
             if seen[b[at : at + span]] > 1:
                 mark[at : at + span] = b"\1" * span
         kept = bytes(x for x, m in zip(b, mark) if not m)
-        out.append((i, len(b), sum(mark), sum(1 for k in range(len(mark)) if mark[k] and not (k and mark[k - 1])), hashlib.sha256(kept).hexdigest()))
+        repeats = any(short[b[at : at + passage]] > 1 for at in range(len(b) - passage + 1))
+        out.append((i, len(b), sum(mark), sum(1 for k in range(len(mark)) if mark[k] and not (k and mark[k - 1])), hashlib.sha256(kept).hexdigest(), repeats))
     return Counter(out)
 
 
 @pytest.mark.parametrize("large,broadcast", [(4000, 10**6), (1, 0)])
 def test_repeats(docs, clashing, nothing, texts, large, broadcast, monkeypatch):
+    """With one context a bucket at most, everything goes through longer and longer q-grams."""
     monkeypatch.setattr(sd, "LARGE", large)
     monkeypatch.setattr(sd, "BROADCAST_SPANS", broadcast)
     want = brute_spans(texts, 400)
     for frame in (docs, clashing)[: 2 if large > 1 else 1]:
         assert Counter(tuple(r) for r in sd.remove_repeats(frame).drop("kept").collect()) == want
     assert sd.remove_repeats(nothing).count() == 0
+
+
+@pytest.mark.parametrize("large", [4000, 5])
+def test_shared_passages(spark, large, monkeypatch):
+    """Passages of 150 to 900 bytes in many surroundings, one of them in all documents, and periodic texts."""
+    monkeypatch.setattr(sd, "LARGE", large)
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"{rng.randrange(10**6):x}" for _ in range(n))
+    common, passages = prose(90), [prose(n)[: 60 * n] for n in (25, 40, 50, 60, 75, 150)]
+    rows = [(i, f"{prose(30)} {rng.choice(passages)} {prose(rng.randrange(5, 40))} {common[: rng.choice([260, 430, 600])]} {prose(9)}") for i in range(60)]
+    rows += [(100, "ab" * 900), (101, "x" * 1200), (102, "ba" * 300 + prose(20)), (103, "one line of text\n" * 70), (104, "another one line of text\n" * 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(tuple(r) for r in sd.remove_repeats(frame).drop("kept").collect()) == brute_spans(rows, 400)
+
+
+def test_hashes_that_meet(monkeypatch):
+    """Bytes are compared: initial buckets that hold different strings don't change what is found."""
+    rng = random.Random(4)
+    piece = bytes(rng.randrange(97, 123) for _ in range(3000))
+    pieces = [piece[:900], piece[200:1400], piece[1500:], piece[:300] + piece[2000:2500]]
+    want = [x.tolist() for x in sd.repeated_windows(pieces, 400)]
+    assert any(map(any, want))
+    monkeypatch.setattr(sd.Hashes, "all", lambda self, n: np.zeros(max(0, len(self.sums) - n), np.uint64))
+    assert [x.tolist() for x in sd.repeated_windows(pieces, 400)] == want
