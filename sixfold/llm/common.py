@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,10 +35,12 @@ def let(value: Column, body) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one of its own only where none is configured (tests)."""
+    """The cluster's shared folder; a folder of its own only in a local session where none is configured (tests)."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="sixfold-checkpoint-")
         sc.setCheckpointDir(configured)
     return configured
@@ -51,6 +54,38 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of the shared folder that are deleted when the computation is over; its result must be stored outside."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{checkpoint_dir(spark)}/sixfold/scratch-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def stored(self, df: DataFrame, tag: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.path}/{self.count}-{tag}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *tags: str) -> None:
+        """Deletes the tables that were stored under these tags so far, or all of them."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = path.getFileSystem(conf)
+        if not tags:
+            files.delete(path, True)
+        elif files.exists(path):
+            for x in files.listStatus(path):
+                if x.getPath().getName().partition("-")[2] in tags:
+                    files.delete(x.getPath(), True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

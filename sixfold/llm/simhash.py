@@ -163,11 +163,11 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return found.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stored=stored) -> DataFrame:
     """node and component (the least node that it reaches) of every node of the edges (a, b), by alternating stars.
 
     Large stars hang a node's larger neighbours on its least one, small stars its smaller ones, until nothing changes.
-    Every round is a written table.
+    Every round is a table that stored() writes.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     state = None

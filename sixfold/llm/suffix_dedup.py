@@ -2,7 +2,7 @@
 
 Every window of `span` bytes falls to the bucket of its smallest q-gram hash, so equal windows share a bucket, and a run of
 consecutive windows of one bucket is one row. Runs with the same bytes are one context, of which two copies at most go on.
-A task refines the windows of its buckets from FIRST-byte buckets, sorting by the bucket identifiers at a place and further
+A task refines the windows of its buckets from buckets of a quarter of the length, sorting by the bucket identifiers at a place and further
 on, over and over with the identifiers just made, to buckets of `span` bytes, and compares the bytes of what it has put
 together. What it finds for a context holds for all its copies. A bucket of very many contexts is dealt out to the buckets
 of longer q-grams first, again and again until it is small enough.
@@ -16,21 +16,23 @@ import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, shuffle_partitions, stored, table, utf8, with_group
+from .common import Scratch, column, shuffle_partitions, stored, table, utf8, with_group
 
 #: Bytes of a string that is removed; of the shorter one that is only reported (about 50 words); of the first q-grams for
-#: either; of the buckets that refinement begins with.
-SPAN, PASSAGE, GRAM, SHORT_GRAM, FIRST = 400, 250, 150, 50, 50
+#: either.
+SPAN, PASSAGE, GRAM, SHORT_GRAM = 400, 250, 150, 50
 #: Bytes of contexts dealt to a task, and refined at once; contexts beyond which a bucket is dealt out by longer q-grams.
-TASK_BYTES, REFINED_BYTES, LARGE = 3_000_000, 600_000, 1000
+TASK_BYTES, REFINED_BYTES, LARGE = 4_000_000, 600_000, 4000
 #: Spans to read or remove, and buckets, that may be broadcast (40 bytes each at most); beyond, the join is shuffled.
-BROADCAST_SPANS = 2_000_000
+BROADCAST_SPANS = 1_500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(400).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -140,36 +142,42 @@ def _refined(raw: np.ndarray, room: np.ndarray, span: int, first: int) -> np.nda
     """The places whose string of span bytes is at another place too; None if the bytes don't bear the buckets out."""
     pointer = np.zeros(len(raw) + 1, np.int64)  # 0 for a place alone in its bucket, which no refinement can bring back
     wide = len(raw).bit_length()
-
-    def bucket(keys: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
-        """Sorts the places by key; pointers of buckets of two or more, from 1."""
-        if bits + wide <= 64:  # keys and places in one number sort faster; initial hashes are shortened for it
-            both = np.sort(keys.astype(np.uint64) << np.uint64(wide) | np.arange(len(at), dtype=np.uint64))
-            order, ranked = (both & np.uint64((1 << wide) - 1)).astype(np.int64), both >> np.uint64(wide)
+    low = np.uint64((1 << wide) - 1)
+
+    def bucket(keys: np.ndarray, at: np.ndarray, bits: int) -> None:
+        """Sorts the places by key, both in one number if they fit; pointers of buckets of two or more, from 1."""
+        if not len(at):
+            pointer[:] = 0
+            return
+        if bits + wide <= 64:
+            both = np.sort(keys << np.uint64(wide) | np.arange(len(at), dtype=np.uint64))
+            ranked, order = both >> np.uint64(wide), (both & low).astype(np.int64)
         else:
             order = np.argsort(keys)
             ranked = keys[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
-        numbers = np.cumsum(new)
-        alive = np.bincount(numbers, minlength=1)[numbers] > 1
+        same = np.concatenate([[False], ranked[1:] == ranked[:-1], [False]])
+        alive, new = same[1:] | same[:-1], ~same[:-1]
         pointer[:] = 0
-        pointer[at[order[alive]]] = np.cumsum(new & alive)[alive]
-        return at[order[alive]]
+        pointer[at[order[alive]]] = np.cumsum(new[alive])
 
-    alive = np.flatnonzero(room >= first)
-    alive, length = bucket(Hashes(raw).all(first)[alive] >> np.uint64(wide), alive, 64 - wide), first
-    while length < span and len(alive):
+    at = np.flatnonzero(room >= first)
+    bucket(Hashes(raw).all(first)[at] & np.uint64((1 << (64 - wide)) - 1), at, 64 - wide)
+    length = first
+    while length < span:
         step = min(length, span - length)
-        alive = np.sort(alive[room[alive] >= length + step])
-        later = pointer[alive + step]
-        alive, later = alive[later > 0], later[later > 0]
-        alive = bucket(pointer[alive] << wide | later, alive, 2 * wide)
+        at = np.flatnonzero(pointer)
+        at = at[room[at] >= length + step]
+        later = pointer[at + step]
+        at, later = at[later > 0], later[later > 0]
+        bits = int(later.max(initial=0)).bit_length()
+        bucket((pointer[at] << bits | later).astype(np.uint64), at, wide + bits)
         length += step
-    alive = np.sort(alive)
-    ids, at = np.unique(pointer[alive], return_index=True)  # the first place of each bucket stands for it
-    stands = alive[at][np.searchsorted(ids, pointer[alive])]
-    other = alive != stands
-    return alive if _equal(raw, alive[other], stands[other], span) else None
+    alive = np.flatnonzero(pointer)
+    of = pointer[alive]
+    stands = np.zeros(len(alive) + 1, np.int64)
+    stands[of[::-1]] = alive[::-1]  # the first place of each bucket stands for it
+    other = alive != stands[of]
+    return alive if _equal(raw, alive[other], stands[of][other], span) else None
 
 
 def _by_digest(raw: np.ndarray, room: np.ndarray, span: int) -> np.ndarray:
@@ -180,51 +188,60 @@ def _by_digest(raw: np.ndarray, room: np.ndarray, span: int) -> np.ndarray:
     return np.array([p for x in at.values() if len(x) > 1 for p in x], np.int64)
 
 
-def repeated_windows(pieces: list[bytes], span: int = SPAN, first: int = FIRST) -> list[np.ndarray]:
-    """For each piece, whether the window at each place occurs at another place of these pieces."""
-    sizes = np.array([len(x) for x in pieces])
-    raw = np.frombuffer(b"".join(pieces), np.uint8)
+def repeated_windows(raw: np.ndarray, sizes: np.ndarray, span: int = SPAN, first: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """piece, start and end of every stretch of bytes, within pieces of these sizes, that windows cover which are at another
+    place of any piece too."""
     ends = np.cumsum(sizes)
     room = np.repeat(ends, sizes) - np.arange(len(raw))  # bytes from here to the piece's end
-    alive = _refined(raw, room, span, first)
-    marks = np.zeros(len(raw), bool)
-    marks[_by_digest(raw, room, span) if alive is None else alive] = True
-    return [marks[e - n : e - n + max(0, n - span + 1)] for e, n in zip(ends, sizes)]
+    alive = _refined(raw, room, span, first or -(-span // 4))
+    marks = np.zeros(len(raw) + 2, np.int8)
+    marks[1 + (_by_digest(raw, room, span) if alive is None else alive)] = 1
+    edge = np.diff(marks)  # no window begins in a piece's last bytes, so stretches don't cross pieces
+    start, last = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - 1
+    piece = np.searchsorted(ends, start, side="right")
+    begin = ends[piece] - sizes[piece]
+    return piece, start - begin, last + span - begin
 
 
-def _stretches(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and last places of the true stretches."""
-    edge = np.diff(np.concatenate([[0], marks.astype(np.int8), [0]]))
-    return np.flatnonzero(edge > 0), np.flatnonzero(edge < 0) - 1
+#: place: a context's start in its text, its windows and flags (copies exist, it is the second copy, its bucket is large).
+BYTES = "doc long, print long, context long, bucket long, place long, bytes binary"
+REFINED = "doc long, print long, context long, copied boolean, start long, end long"
+COPIED, SECOND, HOT = 1, 2, 4
 
 
-BYTES = "doc long, print long, bucket long, c1 long, c2 long, n long, start long, bytes binary, other boolean, hot boolean"
-REFINED = "doc long, print long, bucket long, c1 long, c2 long, n long, start long, end long"
+def _place(start: Column, windows: Column, flags: Column) -> Column:
+    return F.shiftleft(start.cast("long"), 24).bitwiseOR(F.shiftleft(windows.cast("long"), 3)).bitwiseOR(flags.cast("long"))
 
 
 def _refine(span: int):
     """The contexts of whole buckets in, their repeated spans out; of contexts with copies, relative to their start."""
 
-    def spans(rows: list[dict]) -> pa.RecordBatch:
-        out = []
-        for r, marks in zip(rows, repeated_windows([r["bytes"] for r in rows], span) if rows else []):
-            if not r["other"]:
-                base = r["start"] if r["n"] == 1 else 0
-                out += [(*[r[c] for c in _fields(REFINED)[:6]], base + int(a), base + int(b) + span) for a, b in zip(*_stretches(marks))]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out) if out else [[]] * 8)], names=_fields(REFINED))
+    def spans(part: pa.Table) -> pa.RecordBatch:
+        text = part.column("bytes").combine_chunks()
+        text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+        offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+        raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        piece, start, end = repeated_windows(raw, np.diff(offsets).astype(np.int64), span)
+        place = part.column("place").to_numpy()[piece]
+        own, copied = place & SECOND == 0, place & COPIED > 0
+        base = np.where(copied, 0, place >> 24)
+        values = [*[part.column(c).to_numpy()[piece] for c in ("doc", "print", "context")], copied, base + start, base + end]
+        return pa.RecordBatch.from_arrays([pa.array(x[own]) for x in values], names=_fields(REFINED))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        size = 0
+        held: pa.Table | None = None
         for b in batches:  # sorted by bucket
-            for lo in range(0, b.num_rows, 1024):
-                for r in b.slice(lo, 1024).to_pylist():
-                    if size > REFINED_BYTES and r["bucket"] != held[-1]["bucket"]:
-                        yield spans(held)
-                        held, size = [], 0
-                    held.append(r)
-                    size += len(r["bytes"])
-        yield spans(held)
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            bucket = held.column("bucket").to_numpy()
+            size = np.cumsum(pc.binary_length(held.column("bytes")).to_numpy())
+            cuts, begin = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, 0
+            for lo, hi in zip(cuts, cuts[1:]):  # up to the next cut it would be too much
+                if size[hi - 1] - (size[begin - 1] if begin else 0) > REFINED_BYTES:
+                    yield spans(held.slice(begin, lo - begin))
+                    begin = lo
+            held = held.slice(begin)
+        if held is not None and len(held):
+            yield spans(held)
 
     return run
 
@@ -233,18 +250,21 @@ def _read(span: int):
     """The bytes of the wanted contexts of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 7 + [pa.binary(), pa.bool_(), pa.bool_()]
+        kinds = [pa.int64()] * 5 + [pa.binary()]
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 rows = []
-                keys = [column(part, c).to_pylist() for c in ("doc", "print", "base", "wanted")]
-                for text, doc, print_, base, wanted in zip(utf8(column(part, "text")), *keys):
-                    for w in wanted:
-                        at = w["start"] - base
-                        if at >= 0 and at + w["windows"] + span - 1 <= len(text):
-                            rows.append((doc, print_, *[w[c] for c in KEY], w["n"], w["start"], text[at : at + w["windows"] + span - 1], w["other"], w["hot"]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, kinds)], names=_fields(BYTES))
+                keys = [column(part, c).to_pylist() for c in ("doc", "print", "base")]
+                wanted = column(part, "wanted")
+                fields = zip(*[wanted.flatten().field(c).to_pylist() for c in ("context", "bucket", "place")])
+                counts = np.diff(wanted.offsets.to_numpy())
+                for text, doc, print_, base, n in zip(utf8(column(part, "text")), *keys, counts.tolist()):
+                    for context, bucket, place in islice(fields, n):
+                        at, size = (place >> 24) - base, (place >> 3 & 0x1FFFFF) + span - 1
+                        if at >= 0 and at + size <= len(text):
+                            rows.append((doc, print_, context, bucket, place, text[at : at + size]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=_fields(BYTES))
 
     return run
 
@@ -257,46 +277,52 @@ def _of_text(spans: DataFrame) -> DataFrame:
     return spans.groupBy("doc", "print").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
-def _found(pieces: DataFrame, span: int, gram: int) -> tuple[DataFrame, DataFrame | None]:
+def _found(pieces: DataFrame, span: int, gram: int, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """doc, print, start and end of what is found in the buckets of these q-grams, and the pieces of buckets too large."""
     spark, one = pieces.sparkSession, F.struct("doc", "print", "start", "windows")
-    rows = stored(pieces.mapInArrow(_runs(span, gram), RUNS), "span-runs")
+    rows = scratch.stored(pieces.mapInArrow(_runs(span, gram), RUNS), "runs")
     # Most buckets have one window or a few in a row, and go before anything else is shuffled.
     buckets = rows.groupBy("bucket").agg(F.count("*").alias("total"), F.max("several").alias("several")).where("total > 1 or several")
-    buckets = stored(buckets.select("bucket", "total"), "span-buckets")
+    buckets = scratch.stored(buckets.select("bucket", "total"), "buckets")
     if buckets.count() <= BROADCAST_SPANS:
         rows = rows.join(F.broadcast(buckets.select("bucket")), "bucket", "left_semi").drop("several")
     else:
         rows = with_group(rows, buckets, "bucket", "total").where("total is not null").drop("several", "total")
-    rows = stored(rows, "span-rows")
-    contexts = stored(rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(one).alias("first"), F.max(one).alias("last")), "span-contexts")
+    rows = scratch.stored(rows, "rows")
+    scratch.drop("runs", "buckets")
+    contexts = rows.groupBy(*KEY).agg(F.count("*").alias("n"), F.min(one).alias("first"), F.max(one).alias("last"))
+    contexts = scratch.stored(contexts.withColumn("context", F.monotonically_increasing_id()), "contexts")
     sizes = contexts.groupBy("bucket").agg(F.count("*").alias("different")).where(F.col("different") > (LARGE if gram < span else 1 << 40))
-    hot = stored(sizes, "span-hot")  # of more than LARGE contexts each, so few against all contexts
+    hot = scratch.stored(sizes, "hot")  # of more than LARGE contexts each, so few against all contexts
     some = not hot.isEmpty()
     contexts = with_group(contexts, hot, "bucket", "different") if some else contexts.withColumn("different", F.lit(None).cast("long"))
     # Two copies of a context that has more than one are read, else its only one; of large buckets one.
-    large = F.col("different").isNotNull()
-    copies = F.when((F.col("n") > 1) & ~large, F.array(F.struct("first.*", F.lit(False).alias("other")), F.struct("last.*", F.lit(True).alias("other")))).otherwise(F.array(F.struct("first.*", F.lit(False).alias("other"))))
-    each = contexts.select(*KEY, "n", large.alias("hot"), F.explode(copies).alias("at"))
-    want = F.struct(*KEY, "n", F.col("at.start").alias("start"), F.col("at.windows").alias("windows"), F.col("at.other").alias("other"), "hot")
-    wanted = stored(each.groupBy(F.col("at.doc").alias("doc"), F.col("at.print").alias("print")).agg(F.collect_list(want).alias("wanted")), "span-wanted")
-    count, size = wanted.agg(F.sum(F.size("wanted")), F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda a, x: a + x["windows"] + span))).first()
+    large, flag = F.col("different").isNotNull(), lambda c, bit: F.when(c, bit).otherwise(0)
+    flags = flag(F.col("n") > 1, COPIED) + flag(large, HOT)
+    copies = F.array(F.struct("first.*", flags.alias("flags")))
+    copies = F.when((F.col("n") > 1) & ~large, F.concat(copies, F.array(F.struct("last.*", (flags + SECOND).alias("flags"))))).otherwise(copies)
+    each = contexts.select("context", "bucket", F.explode(copies).alias("at"))
+    want = F.struct("context", "bucket", _place(F.col("at.start"), F.col("at.windows"), F.col("at.flags")).alias("place"))
+    wanted = scratch.stored(each.groupBy(F.col("at.doc").alias("doc"), F.col("at.print").alias("print")).agg(F.collect_list(want).alias("wanted")), "wanted")
+    count, size = wanted.agg(F.sum(F.size("wanted")), F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda a, x: a + F.shiftright(x["place"], 3).bitwiseAND(0x1FFFFF) + span))).first()
     read = pieces.join(_sized(wanted, count or 0), ["doc", "print"]).mapInArrow(_read(span), BYTES)
+    is_hot = F.col("place").bitwiseAND(HOT) > 0
     if some:
-        read = stored(read, "span-bytes")
+        read = scratch.stored(read, "bytes")
     parts = max(shuffle_partitions(spark), math.ceil((size or 0) / TASK_BYTES))
-    refined = stored(read.where("not hot").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine(span), REFINED), "span-refined")
-    single = refined.where("n = 1").select("doc", "print", "start", "end")
-    copied = refined.where("n > 1").groupBy(*KEY).agg(F.max("n").alias("n"), F.collect_list(F.struct("start", "end")).alias("of"))
+    refined = scratch.stored(read.where(~is_hot).repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_refine(span), REFINED), "refined")
+    single = refined.where("not copied").select("doc", "print", "start", "end")
+    copied = refined.where("copied").groupBy("context").agg(F.collect_list(F.struct("start", "end")).alias("of"))
+    copied = contexts.where("n > 1 and different is null").join(copied, "context").select(*KEY, "n", "of")
     if some:  # the copies of a context are whole
         end = F.col("first.windows") + span - 1
-        copied = copied.unionByName(contexts.where("different is not null and n > 1").select(*KEY, "n", F.array(F.struct(F.lit(0).cast("long").alias("start"), end.cast("long").alias("end"))).alias("of")))
-    copied = stored(copied, "span-copied")
+        copied = copied.unionByName(contexts.where("n > 1 and different is not null").select(*KEY, "n", F.array(F.struct(F.lit(0).cast("long").alias("start"), end.cast("long").alias("end"))).alias("of")))
+    copied = scratch.stored(copied, "copied")
     copied = with_group(rows, copied, KEY, "n").where("of is not null").select("doc", "print", F.col("start").cast("long").alias("base"), F.explode("of").alias("x"))
     found = single.unionByName(copied.select("doc", "print", (F.col("base") + F.col("x.start")).alias("start"), (F.col("base") + F.col("x.end")).alias("end")))
     if not some:
         return found, None
-    return found, read.where("hot").select("doc", "print", F.col("start").alias("base"), F.col("bytes").alias("text"))
+    return found, read.where(is_hot).select("doc", "print", F.shiftright("place", 24).alias("base"), F.col("bytes").alias("text"))
 
 
 def repeated_spans(pieces: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -306,11 +332,12 @@ def repeated_spans(pieces: DataFrame, span: int = SPAN, gram: int = GRAM) -> Dat
     than span bytes.
     """
     found = None
-    while pieces is not None:
-        more, pieces = _found(pieces, span, gram)
-        found = more if found is None else found.unionByName(more)
-        gram += -(-(span - gram) // 2)
-    return stored(_of_text(found), "spans")
+    with Scratch(pieces.sparkSession) as scratch:
+        while pieces is not None:
+            more, pieces = _found(pieces, span, gram, scratch)
+            found = more if found is None else found.unionByName(more)
+            gram += -(-(span - gram) // 2)
+        return stored(_of_text(found), "spans")
 
 
 def _merged(spans: list[dict]) -> list[list[int]]:
