@@ -72,6 +72,37 @@ def shape(points: Column) -> Column:
     return named.otherwise("polygon")
 
 
+def hull(points: Column) -> Column:
+    """The corners of the convex hull, counter-clockwise from the smallest point, none of them between two others; two or
+    fewer distinct points as they are, sorted. Every point is held against all others: for the few points of a cluster."""
+
+    def turn(p: Column, q: Column, r: Column) -> Column:
+        return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+
+    def ahead(p: Column, q: Column, r: Column) -> Column:
+        """r is left of the way from p to q, or on it and not behind p."""
+        along = (q["x"] - p["x"]) * (r["x"] - p["x"]) + (q["y"] - p["y"]) * (r["y"] - p["y"])
+        return (r == p) | (turn(p, q, r) > 0) | ((turn(p, q, r) == 0) & (along > 0))
+
+    def corners(ps: Column) -> Column:
+        kept = F.filter(ps, lambda p: F.exists(ps, lambda q: (q != p) & F.forall(ps, lambda r: ahead(p, q, r))))
+
+        def around(c: Column) -> Column:
+            """By direction from the middle; the smallest point, which sorted first, goes to the front again."""
+            turned = F.array_sort(F.transform(kept, lambda p: F.struct(F.atan2(p["y"] - c["y"], p["x"] - c["x"]).alias("a"), p.alias("p"))))
+            ring = F.transform(turned, lambda t: t["p"])
+            return let(F.array_position(ring, F.array_min(ring)).cast("int"), lambda k: F.concat(F.slice(ring, k, F.size(ring)), F.slice(ring, 1, k - 1)))
+
+        return F.when(F.size(kept) < 3, kept).otherwise(let(centroid(kept), around))
+
+    return let(F.array_sort(F.array_distinct(points)), lambda ps: F.when(F.size(ps) <= 2, ps).otherwise(corners(ps)))
+
+
+def tangram(corners: Column) -> Column:
+    """shape, area and angle of a hull that is moved to its middle and scaled to radius 1, and its vertices."""
+    return let(normalized(corners), lambda n: F.struct(shape(n).alias("shape"), area(n).alias("area"), main_angle(n).alias("angle"), F.size(n).alias("vertices")))
+
+
 def normalized(points: Column) -> Column:
     """Moved to its centroid and divided by its largest radius (by 1 if that is 0)."""
 
@@ -83,9 +114,14 @@ def normalized(points: Column) -> Column:
 
 
 def main_angle(points: Column) -> Column:
-    xy = total(F.transform(points, lambda p: p["x"] * p["y"]))
-    xx = total(F.transform(points, lambda p: p["x"] * p["x"]))
-    return F.atan2(2 * xy, xx) / 2
+    """Half the direction of (sum of squares of x, twice the sum of products), both about the centroid."""
+
+    def of(c: Column) -> Column:
+        xy = total(F.transform(points, lambda p: (p["x"] - c["x"]) * (p["y"] - c["y"])))
+        xx = total(F.transform(points, lambda p: (p["x"] - c["x"]) * (p["x"] - c["x"])))
+        return F.atan2(2 * xy, xx) / 2
+
+    return let(centroid(points), of)
 
 
 # Curves
@@ -305,3 +341,92 @@ def heptagram(lengths: Column) -> Column:
 def symmetry(lengths: Column) -> Column:
     n = F.size(lengths)
     return let(total(lengths) / n, lambda m: 1 / (1 + 10 * (total(F.transform(lengths, lambda x: (x - m) * (x - m))) / n)))
+
+
+def heptagram_vector(rays: Column) -> Column:
+    """Seven lengths, seven curves, seven heights."""
+    part = lambda k: F.transform(rays, lambda r: r[k])
+    return F.concat(part("length"), part("curve"), part("z"))
+
+
+def heptagram_ends(rays: Column) -> Column:
+    """The tip of each ray in space."""
+    return F.transform(rays, lambda r: F.struct((r["length"] * F.cos(r["angle"])).alias("x"), (r["length"] * F.sin(r["angle"])).alias("y"), r["z"].alias("z")))
+
+
+COMPASS = ["N", "NE", "E", "SE", "S", "SW", "W", "NW"]
+#: The axes in the order in which they win among equals.
+COMPASS_AXES = [("N", "S"), ("E", "W"), ("NE", "SW"), ("NW", "SE")]
+
+
+def octagram(lengths: Column, elevations: Column | None = None) -> Column:
+    """Eight rays from their lengths (missing: one half) and elevations (missing or 0: by the length): length, angle, elevation."""
+    lifts = elevations if elevations is not None else F.array_repeat(F.lit(0.0), 8)
+
+    def ray(i: Column) -> Column:
+        length = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.get(lengths, i), F.lit(0.5))))
+        given = F.coalesce(F.get(lifts, i), F.lit(0.0))
+        lift = F.when(given == 0, (length - 0.5) * (math.pi / 4)).otherwise(given)
+        return F.struct(length.alias("length"), (i * (2 * math.pi / 8)).alias("angle"), lift.alias("elevation"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), ray)
+
+
+def octagram_lengths(rays: Column) -> Column:
+    return F.transform(rays, lambda r: r["length"])
+
+
+def octagram_vector(rays: Column) -> Column:
+    return F.concat(octagram_lengths(rays), F.transform(rays, lambda r: r["elevation"]))
+
+
+def octagram_skeleton(rays: Column) -> Column:
+    """sphere if the lengths are alike, shell or cone if the rays are steep, tower if north is far longer than south, else fractal."""
+
+    def of(l: Column) -> Column:
+        mean = total(l) / 8
+        varied = let(mean, lambda m: total(F.transform(l, lambda x: (x - m) * (x - m))) / 8)
+        steep = total(F.transform(rays, lambda r: F.abs(r["elevation"]))) / 8
+        rises = F.size(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get(rays, i)["elevation"] > F.get(rays, F.pmod(i - 1, F.lit(8)))["elevation"]))
+        tall = F.get(l, F.lit(0)) > F.get(l, F.lit(4)) * 1.5
+        return F.when(varied < 0.02, "sphere").when(steep > 0.4, F.when(rises > 4, "shell").otherwise("cone")).when(tall, "tower").otherwise("fractal")
+
+    return let(octagram_lengths(rays), of)
+
+
+def octagram_axis(rays: Column) -> Column:
+    """The two opposite directions with the largest sum of lengths, the first of equals."""
+    sums = F.array(*[F.struct((F.get(rays, F.lit(COMPASS.index(a)))["length"] + F.get(rays, F.lit(COMPASS.index(b)))["length"]).alias("sum"), F.lit(-k).alias("k"), F.lit(f"{a}-{b}").alias("axis")) for k, (a, b) in enumerate(COMPASS_AXES)])
+    return F.array_max(sums)["axis"]
+
+
+def octagram_flat(rays: Column) -> Column:
+    return F.forall(rays, lambda r: F.abs(r["elevation"]) < 0.1)
+
+
+def octagram_vertices(rays: Column) -> Column:
+    """The middle and the tip of each ray in space."""
+    origin = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+
+    def tip(r: Column) -> Column:
+        flat = r["length"] * F.cos(r["elevation"])
+        return F.struct((flat * F.cos(r["angle"])).alias("x"), (flat * F.sin(r["angle"])).alias("y"), (r["length"] * F.sin(r["elevation"])).alias("z"))
+
+    return F.concat(F.array(origin), F.transform(rays, tip))
+
+
+#: Edges of the skeleton between those vertices: the middle to every tip, and around.
+OCTAGRAM_EDGES = [(0, i) for i in range(1, 9)] + [(i, i % 8 + 1) for i in range(1, 9)]
+
+
+def shell_octagram(turns: float = 1.5) -> list[tuple[float, float]]:
+    """(length, elevation) of a spiral: lengths grow with powers of the golden ratio, elevations follow a sine."""
+    ratio = (1 + math.sqrt(5)) / 2
+    return [(min(1.0, 0.3 + 0.7 * ratio ** (i / 8 * turns - turns)), math.pi / 4 * math.sin(math.pi * i / 4)) for i in range(8)]
+
+
+def tower_octagram() -> list[tuple[float, float]]:
+    """(length, elevation) of a tower. Fixed values; a level of 0 is lifted by its length like any ray."""
+    lengths = [0.9, 0.6, 0.7, 0.5, 0.8, 0.4, 0.6, 0.5]
+    lifts = [math.pi / 3, math.pi / 6, 0.0, -math.pi / 6, -math.pi / 3, -math.pi / 4, 0.0, math.pi / 4]
+    return [(x, e or (x - 0.5) * math.pi / 4) for x, e in zip(lengths, lifts)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry, q6
@@ -42,3 +43,25 @@ def similar(borders: DataFrame) -> DataFrame:
     two = borders.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("ifs").alias("other"), F.lit(1).alias("k"))
     both = one.join(two, "k").where("struct(a, b) <> struct(c, d)")
     return both.select("a", "b", "c", "d", geometry.similarity(F.col("ifs"), F.col("other")).alias("similarity"))
+
+
+def fuzzy(borders: DataFrame, above: float = 1.5) -> DataFrame:
+    """a, b of the borders whose box dimension is above the limit."""
+    return borders.where(geometry.box_dimension(F.col("curve")) > above).select("a", "b")
+
+
+def sharp(borders: DataFrame, below: float = 1.2) -> DataFrame:
+    return borders.where(geometry.box_dimension(F.col("curve")) < below).select("a", "b")
+
+
+def ranked(pairs: DataFrame, top: int = 5) -> DataFrame:
+    """The `top` borders (c, d) most similar to each border (a, b), with their rank."""
+    out = pairs.withColumn("rank", F.row_number().over(W.partitionBy("a", "b").orderBy(F.desc("similarity"), "c", "d")))
+    return out.where(F.col("rank") <= top)
+
+
+def search(asked: DataFrame, pairs: DataFrame, top: int = 5) -> DataFrame:
+    """p, q, c, d, similarity, rank: the borders most similar to the border of communities p and q, in either order; none
+    for communities without one."""
+    both = asked.select("p", "q", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    return both.join(ranked(pairs, top), ["a", "b"]).select("p", "q", "c", "d", "similarity", "rank")

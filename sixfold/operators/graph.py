@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,11 +20,13 @@ PULL = 1.5
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in a table of the shared checkpoint folder, or of a temporary one where none is set."""
+    """Ends the lineage in a table of the shared checkpoint folder; a local session without one gets a temporary folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sixfold-")
         sc.setCheckpointDir(base)
     path = os.path.join(base, f"graph-{uuid.uuid4().hex}")
@@ -99,6 +102,12 @@ def edge_rays(intra: DataFrame) -> DataFrame:
     )
 
 
+def community_rays(member: DataFrame, intra: DataFrame) -> DataFrame:
+    """community and its seven rays, for every community that has a node; all one half without inner edges."""
+    every = member.select("community").distinct().join(edge_rays(intra), "community", "left")
+    return every.select("community", *[F.coalesce(r, F.lit(0.5)).alias(r) for r in RAYS])
+
+
 def octagram(code: Column) -> Column:
     """Eight ray lengths (N, NE, E, SE, S, SW, W, NW) from the bits of a code; all one half without one."""
     b = [F.shiftright(code, i).bitwiseAND(1).cast("double") for i in range(6)]

@@ -10,6 +10,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import q6, vectors
+from .nearest import cosine_topk
+
+#: Words that name a domain in a question, in the order in which domains are tried, and the archetypes that go with it.
+BOOST_WORDS = {
+    "technology": ["алгоритм", "нейросет", "компил", "программ", "код", "систем"],
+    "science": ["физик", "математ", "термо", "теори", "закон", "наук"],
+    "biology": ["клетк", "днк", "ген", "организм", "экосис", "биол"],
+    "urbanism": ["метро", "транспорт", "инфраструктур", "город", "улиц"],
+}
+BOOST_ARCHETYPES = {"technology": ["ADCO", "ADEO", "MDCO"], "science": ["ASCO", "ASEO", "ADEO"], "biology": ["MDEF", "MSCF", "MSEO"], "urbanism": ["MDCF", "MSCO", "MDCO"]}
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
@@ -77,39 +87,120 @@ def semantic_neighbors(seeds: DataFrame, nodes: DataFrame, top: int = 6) -> Data
     return ranked.where(F.col("rank") <= top).select("seed", "rank", "id")
 
 
-def candidates(queries: DataFrame, nodes: DataFrame, lsh: vectors.Projections, radius: int) -> DataFrame:
-    """query, id, score, distance of the nodes whose code lies in the union of the query's balls; queries: query, v."""
-    balls = queries.select("query", "v", F.explode(lsh.union_ball(F.col("v"), radius)).alias("hex_id"))
-    found = balls.join(nodes.select("id", "hex_id", "embedding"), "hex_id")
-    score = (vectors.cosine(F.col("v"), F.col("embedding")) + 1) / 2
-    return found.select("query", "id", score.alias("score"), F.array_min(lsh.distances(F.col("v"), F.col("embedding"))).cast("double").alias("distance"))
+def _balls(queries: DataFrame, lsh: vectors.Projections, radius: int) -> DataFrame:
+    """queries with ball: the codes of the union of the query's balls."""
+    return queries.withColumn("ball", lsh.union_ball(F.col("v"), radius))
+
 
+def stage1_counts(queries: DataFrame, nodes: DataFrame, lsh: vectors.Projections, radius: int) -> DataFrame:
+    """query, n: how many nodes have a code in the union of the query's balls, from a table of 64 counts."""
+    per_code = nodes.groupBy("hex_id").agg(F.count("*").alias("k"))
+    asked = _balls(queries, lsh, radius).select("query", F.explode("ball").alias("hex_id"))
+    return asked.join(F.broadcast(per_code), "hex_id").groupBy("query").agg(F.sum("k").alias("n"))
 
-def community_candidates(queries: DataFrame, communities: DataFrame, lsh: vectors.Projections, radius: int) -> DataFrame:
-    """query, community, score, distance: cosine with the code's bits, blended with distance and coverage.
 
-    queries: query, v; communities: community, hex_id. Communities found through neighbours aren't among them.
+def node_candidates(queries: DataFrame, nodes: DataFrame, lsh: vectors.Projections, radius: int, most: int) -> DataFrame:
+    """query, id, score of the `most` best nodes with a code in the union of the query's balls, by cosine.
+
+    A query's codes are a mask of 64 bits, and query blocks meet node batches, which keep their best: neither the codes,
+    64 hot keys at any size, nor the pairs are shuffled.
+    """
+    bits = F.aggregate("ball", F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h)))
+    asked = _balls(queries, lsh, radius).select(F.col("query").alias("id"), vectors.normalize(F.col("v")).alias("v"), bits.alias("mask"))
+    known = nodes.select("id", vectors.normalize(F.col("embedding")).alias("v"), F.col("hex_id").alias("code"))
+    best = cosine_topk(asked, known, most, with_self=True, masked=True)
+    return best.select(F.col("id").alias("query"), F.col("other").alias("id"), F.col("similarity").alias("score"))
+
+
+def boost(text: Column, archetype: Column, words: dict[str, list[str]] = BOOST_WORDS, archetypes: dict[str, list[str]] = BOOST_ARCHETYPES) -> Column:
+    """0.15 if the first domain whose words the text holds goes with the archetype, else 0."""
+    q = F.lower(F.coalesce(text, F.lit("")))
+    out = F.lit(0.0)
+    for domain, its in reversed(words.items()):
+        named = F.lit(False)
+        for w in its:
+            named = named | F.contains(q, F.lit(w))
+        out = F.when(named, F.when(archetype.isin(archetypes[domain]), 0.15).otherwise(0.0)).otherwise(out)
+    return out
+
+
+def community_candidates(queries: DataFrame, communities: DataFrame, lsh: vectors.Projections, radius: int, borders: DataFrame | None = None) -> DataFrame:
+    """query, community, score, distance: cosine with the community's signature, blended with distance and coverage.
+
+    queries: query, v, and text if archetypes count; communities: community, hex_id, and dominant_archetype then. borders
+    (a, b): neighbours of what the balls hold are candidates too, with a coverage of 0.1.
     """
-    balls = queries.select("query", "v", F.explode(lsh.union_ball(F.col("v"), radius)).alias("hex_id"))
-    found = balls.join(communities.select("community", "hex_id"), "hex_id")
+    few = communities.select("community", "hex_id", *[c for c in ("dominant_archetype", "ifs") if c in communities.columns])
+    asked = _balls(queries, lsh, radius).select("query", F.explode("ball").alias("hex_id"))
+    found = asked.join(F.broadcast(few.select("community", "hex_id")), "hex_id").select("query", "community", F.lit(False).alias("beside"))
+    if borders is not None:
+        both = borders.select("a", "b").unionByName(borders.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+        beside = found.join(F.broadcast(both), F.col("community") == F.col("a")).select("query", F.col("b").alias("community"), F.lit(True).alias("beside"))
+        found = found.unionByName(beside).groupBy("query", "community").agg(F.min("beside").alias("beside"))
+    found = found.join(F.broadcast(few), "community").join(queries, "query")
     bits = F.transform(q6.bits(F.col("hex_id")), lambda b: b.cast("double"))
     cosine = (vectors.cosine(vectors.padded(F.col("v")), bits) + 1) / 2
+    extra = boost(F.col("text"), F.col("dominant_archetype")) if "text" in queries.columns and "dominant_archetype" in few.columns else F.lit(0.0)
     steps = q6.hamming(q6.embed(F.col("v")), F.col("hex_id"))
-    nearness = (1 - steps / F.lit(7.0)) * 0.7 + lsh.coverage(F.col("v"), F.col("hex_id"), radius) * 0.3
-    return found.select("query", "community", (F.least(F.lit(1.0), cosine) * 0.6 + nearness * 0.4).alias("score"), steps.cast("double").alias("distance"))
+    cover = F.when(F.col("beside"), 0.1).otherwise(lsh.coverage(F.col("v"), F.col("hex_id"), radius))
+    nearness = (1 - steps / F.lit(7.0)) * 0.7 + cover * 0.3
+    return found.select("query", "community", (F.least(F.lit(1.0), cosine + extra) * 0.6 + nearness * 0.4).alias("score"), steps.cast("double").alias("distance"))
 
 
-def ann(queries: DataFrame, nodes: DataFrame, communities: DataFrame, clusters: DataFrame, k: int = 10, radius: int = 2, projections: int = 3) -> DataFrame:
+def ann(queries: DataFrame, nodes: DataFrame, communities: DataFrame, clusters: DataFrame, borders: DataFrame | None = None, k: int = 10, radius: int = 2, projections: int = 3) -> DataFrame:
     """query, rank, kind, item, score: nodes and communities of stage one, the 2k best of them, with the clusters that
-    hold such nodes, and of all these the k best. Communities go before nodes before clusters among equals."""
+    hold such nodes, and of all these the k best. Communities go before nodes before clusters among equals.
+
+    If queries have ifs (coefficients of a border) and communities too, the communities among the 2k best are scored
+    again with how near these are.
+    """
     lsh = vectors.Projections(projections)
     kind = lambda df, item, n: df.select("query", F.lit(n).alias("kind"), F.col(item).cast("long").alias("item"), F.round("score", 6).alias("score"))
-    first = kind(community_candidates(queries, communities, lsh, radius), "community", 0).unionByName(kind(candidates(queries, nodes, lsh, radius), "id", 1))
+    best = node_candidates(queries, nodes, lsh, radius, 2 * k)
+    first = kind(community_candidates(queries, communities, lsh, radius, borders), "community", 0).unionByName(kind(best, "id", 1))
     order: list[Column] = [F.desc("score"), F.col("kind"), F.col("item")]
     by_query = W.partitionBy("query").orderBy(*order)
     top = first.withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= 2 * k).drop("r")
+    if "ifs" in queries.columns and "ifs" in communities.columns:
+        theirs = F.broadcast(communities.select(F.lit(0).alias("kind"), F.col("community").cast("long").alias("item"), F.col("ifs").alias("own")))
+        top = top.join(theirs, ["kind", "item"], "left").join(queries.select("query", "ifs"), "query")
+        again = 0.7 * F.col("score") + 0.3 / (1 + 2 * vectors.distance(F.col("own"), F.col("ifs")))
+        top = top.select("query", "kind", "item", F.when(F.col("own").isNull() | F.col("ifs").isNull(), F.col("score")).otherwise(F.round(again, 6)).alias("score"))
     member = clusters.select(F.col("node").cast("long").alias("cluster"), "n", F.explode("members").alias("item"))
     held = top.where("kind = 1").join(member, "item").groupBy("query", "cluster", "n").agg(F.sum("score").alias("total"), F.count("*").alias("k"))
     held = held.select("query", F.lit(2).alias("kind"), F.col("cluster").alias("item"), F.round(F.col("total") / F.col("n") * (0.7 + 0.3 * F.col("k") / F.col("n")), 6).alias("score"))
     final = top.unionByName(held).withColumn("rank", F.row_number().over(by_query))
     return final.where(F.col("rank") <= k).select("query", "rank", "kind", "item", "score")
+
+
+def by_label(labels: DataFrame, nodes: DataFrame, dim: int = 6) -> DataFrame:
+    """query, v: for each searched text (query, text) the embedding of the first node whose label holds it, whatever the
+    case, else zeros."""
+    first = label_matches(labels, nodes).groupBy("query").agg(F.min_by("embedding", "id").alias("v"))
+    return labels.select("query").join(first, "query", "left").select("query", F.coalesce("v", F.array_repeat(F.lit(0.0), dim)).alias("v"))
+
+
+#: Characters of the pieces by which texts and labels find each other.
+PIECE = 3
+
+
+def _piece(k: int):
+    return lambda i: F.substring(F.col("l"), i, F.lit(k))
+
+
+def label_matches(labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """query, id, label, embedding of the nodes whose label holds the text, whatever the case; labels: query, text.
+
+    A text's first PIECE characters, or all of a shorter one, are looked up among the pieces of that length of the labels,
+    and what meets is compared.
+    """
+    asked = labels.select("query", F.lower("text").alias("part"))
+    own = nodes.select("id", "label", "embedding", F.lower("label").alias("l"))
+    found = None
+    for k in range(1, PIECE + 1):
+        starts = F.when(F.length("l") >= k, F.sequence(F.lit(1), F.greatest(F.length("l") - k + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        pieces = own.select("*", F.explode(F.array_distinct(F.transform(starts, _piece(k)))).alias("piece"))
+        size = F.length("part") == k if k < PIECE else F.length("part") >= k
+        some = pieces.join(asked.where(size).withColumn("piece", F.substring("part", 1, k)), "piece").where(F.contains("l", "part")).select("query", "id", "label", "embedding")
+        found = some if found is None else found.unionByName(some)
+    return found

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.tables import ARCHETYPES, PRIORITIES
+from ..sources.tables import ARCHETYPES, KEYWORDS, PRIORITIES
 
 STRIP = r"^[.,!?;:()\"«»]+|[.,!?;:()\"«»]+$"
 #: An entity's archetype by its type, where no keyword tells it.
@@ -81,13 +81,19 @@ def chunks(docs: DataFrame, size: int = 512, overlap: int = 64) -> DataFrame:
 
 def entities(text: Column, most: int = 5) -> Column:
     """The first distinct capitalized words of more than three characters, else of words of more than four."""
-    words = F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda w: w != "")
     strip = lambda w: F.regexp_replace(w, STRIP, "")
-    first = lambda w: F.substring(w, 1, 1)
-    capital = F.filter(words, lambda w: (F.length(w) > 3) & first(w).rlike(r"^\p{Lu}"))
-    long = F.filter(words, lambda w: F.length(w) > 4)
-    named = F.slice(F.array_distinct(F.transform(capital, strip)), 1, most)
-    return F.when(F.size(named) > 0, named).otherwise(F.slice(F.array_distinct(F.transform(long, strip)), 1, most))
+
+    def of(words: Column) -> Column:
+        capital = F.filter(words, lambda w: (F.length(w) > 3) & F.substring(w, 1, 1).rlike(r"^\p{Lu}"))
+
+        def chosen(some: Column) -> Column:
+            return F.slice(F.array_distinct(F.transform(some, strip)), 1, most)
+
+        some = F.when(F.size(capital) > 0, capital).otherwise(F.filter(words, lambda w: F.length(w) > 4))
+        return chosen(some)
+
+    # The words are bound once: an expression would otherwise be split again for each use.
+    return F.transform(F.array(F.split(F.trim(text), r"(?U)\s+")), of)[0]
 
 
 def extracted(texts: DataFrame, key: list[str]) -> DataFrame:
@@ -119,8 +125,11 @@ EXTRACTION = "entities array<struct<id:string,label:string,type:string>>, relati
 
 
 def parsed(text: Column) -> Column:
-    """The outermost braces of an answer as entities and relations; null where they aren't JSON."""
-    return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), EXTRACTION)
+    """The outermost braces of an answer as entities and relations, empty lists where there are none or they aren't JSON."""
+    found = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), EXTRACTION)
+    kinds = EXTRACTION.replace("entities ", "").split(", relations ")
+    lists = [F.coalesce(found[c], F.array().cast(k)).alias(c) for c, k in zip(("entities", "relations"), kinds)]
+    return F.when(text.isNotNull(), F.struct(*lists)).otherwise(F.struct(*[F.array().cast(k).alias(c) for c, k in zip(("entities", "relations"), kinds)]))
 
 
 def type_archetype(kind: Column) -> Column:
@@ -130,6 +139,29 @@ def type_archetype(kind: Column) -> Column:
     return out
 
 
+def by_keyword(word: Column) -> Column:
+    """The codes of the archetypes that have a keyword which holds the word, in their order; all of them for an empty one."""
+    w = F.lower(word)
+    codes = [F.when(F.contains(F.lit("\n".join(KEYWORDS[c])), w), F.lit(c)) for c in ARCHETYPES]
+    return F.filter(F.array(*codes), lambda c: c.isNotNull())
+
+
+def guessed_archetype(label: Column, kind: Column) -> Column:
+    """The first archetype with a keyword that holds the label, else that of the entity's type."""
+    return F.coalesce(F.get(by_keyword(label), F.lit(0)), type_archetype(kind))
+
+
+def language(question: Column) -> Column:
+    return F.when(question.rlike("[а-яА-Я]"), "ru").otherwise("en")
+
+
+def named(question: Column) -> Column:
+    """The words after the first that begin with a capital letter, else the first two words."""
+    words = F.filter(F.split(question, r"(?U)\s+"), lambda w: w != "")
+    later = F.filter(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w: F.substring(w, 1, 1).rlike(r"^\p{Lu}"))
+    return F.when(F.size(later) > 0, later).otherwise(F.slice(words, 1, 2))
+
+
 def topic(question: Column) -> Column:
     """The question without its closing marks and the words that ask; all of it if nothing else is left."""
     words = F.filter(F.split(F.regexp_replace(question, r"[?!.]+$", ""), r"(?U)\s+"), lambda w: w != "")
@@ -154,12 +186,12 @@ def relevance(domain_: Column, hits: Column, code: str) -> Column:
     return F.least(F.lit(1.0), base + F.least(F.lit(0.5), hits * 0.1) + PRIORITIES[code] / 5 * 0.2)
 
 
-def archetype_scores(questions: DataFrame, keywords: dict[str, list[str]] | None = None, words: dict[str, list[str]] = DOMAIN_WORDS) -> DataFrame:
+def archetype_scores(questions: DataFrame, keywords: dict[str, list[str]] = KEYWORDS, words: dict[str, list[str]] = DOMAIN_WORDS) -> DataFrame:
     """questions with domain, topic and scores: an array of (ord, code, priority, score). keywords: those of each archetype."""
     q = F.lower(F.col("text"))
 
     def hits(code: str) -> Column:
-        return sum((F.contains(q, F.lit(w.lower())).cast("int") for w in (keywords or {}).get(code, [])), F.lit(0))
+        return sum((F.contains(q, F.lit(w.lower())).cast("int") for w in keywords.get(code, [])), F.lit(0))
 
     out = questions.withColumn("domain", domain(F.col("text"), words)).withColumn("topic", topic(F.col("text")))
 
@@ -176,4 +208,28 @@ def expanded(scored: DataFrame, key: str) -> DataFrame:
     more = F.array(*[F.struct(F.lit("HEPT").alias("archetype"), F.lit(3).alias("priority"), F.lit("number").alias("kind"), F.lit(f"Rate the {d} of {{topic}}.").alias("text")) for d in DIMENSIONS])
     each = scored.select(key, "topic", F.posexplode(F.concat(own, more)).alias("i", "q"))
     number = F.lpad((F.col("i") + 1).cast("string"), 3, "0")
-    return each.select(key, F.concat(F.when(F.col("q.archetype") == "HEPT", "H").otherwise("Q"), number).alias("id"), "q.archetype", "q.priority", "q.kind", F.replace("q.text", F.lit("{topic}"), F.col("topic")).alias("text"))
+    return each.select(key, F.concat(F.when(F.col("q.archetype") == "HEPT", "H").otherwise("Q"), number).alias("id"), "q.archetype", "q.priority", "q.kind", F.replace("q.text", F.lit("{topic}"), F.col("topic")).alias("text"), "topic")
+
+
+def by_archetype(questions: DataFrame, code: str) -> DataFrame:
+    return questions.where(F.col("archetype") == code)
+
+
+def by_priority(questions: DataFrame, least: int = 3) -> DataFrame:
+    return questions.where(F.col("priority") >= least)
+
+
+def tree_json(questions: DataFrame, key: str) -> DataFrame:
+    """key and json: the questions of a topic (key, topic, id, text, archetype, priority) in their order, as one document."""
+    each = F.struct("id", "text", "archetype", "priority")
+    tree = questions.groupBy(key, "topic").agg(F.array_sort(F.collect_list(F.struct(F.substring("id", 2, 9).cast("int").alias("n"), each.alias("q")))).alias("qs"))
+    return tree.select(key, F.to_json(F.struct("topic", F.size("qs").alias("total"), F.transform("qs", lambda x: x["q"]).alias("questions"))).alias("json"))
+
+
+def tree_markdown(questions: DataFrame, key: str) -> DataFrame:
+    """key and markdown: a heading for the topic, one for each archetype by name, and the questions with their priority."""
+    line = F.concat(F.lit("- ["), F.col("priority").cast("string"), F.lit("★] "), F.col("text"))
+    own = questions.groupBy(key, "topic", "archetype").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    part = F.concat(F.lit("## "), F.col("archetype"), F.lit("\n\n"), F.col("lines"))
+    parts = own.groupBy(key, "topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("archetype", part.alias("p")))), lambda x: x["p"]), "\n\n").alias("parts"))
+    return parts.select(key, F.concat(F.lit("# "), "topic", F.lit("\n\n"), "parts").alias("markdown"))

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import q6, vectors
-from ..sources.tables import ARCHETYPES, nodes, read
+from ..sources.tables import ARCHETYPES, following, nodes, read
 from .registry import query
 
 CENTERS = q6.packing(1)[:8]
@@ -31,6 +30,13 @@ def q6_hash(spark, sf_dir):
     return coded(spark, sf_dir).select("id", "hex_id")
 
 
+@query(f"with {SQL_NODES}, s as (select id, hex_id, {SQL_CENTER}[hex_id + 1] as center from nodes) select id, hex_id, cast(center as integer) as center, cast(bit_count(xor(hex_id, center)) as integer) as radius from s")
+def q6_signature(spark, sf_dir):
+    """Every node's code, the nearest center and how far it is."""
+    center = q6.cell(F.col("hex_id"), CENTERS)
+    return coded(spark, sf_dir).select("id", "hex_id", center.alias("center"), q6.hamming(F.col("hex_id"), center).alias("radius"))
+
+
 @query(f"""with {SQL_NODES},
 c as (select unnest({list(CENTERS)!r}) as center, unnest(range(0, {len(CENTERS)})) as ord),
 m as (select n.id, n.archetype, arg_min(cast(c.center as integer), cast(bit_count(xor(n.hex_id, cast(c.center as integer))) as integer) * 100 + c.ord) as center from nodes n, c group by n.id, n.archetype),
@@ -67,7 +73,9 @@ SQL_PAIRS = f"{SQL_NODES}, pairs as (select id, hex_id as a, lead(hex_id) over (
 
 
 def _pairs(spark, sf_dir):
-    return coded(spark, sf_dir).select("id", F.col("hex_id").alias("a"), F.lead("hex_id").over(W.partitionBy("topic").orderBy("id")).alias("b")).where("b is not null")
+    n = coded(spark, sf_dir).select("id", "topic", "hex_id")
+    pairs = following(n.select("id", "topic"), (1,)).join(n.select("id", F.col("hex_id").alias("a")), "id")
+    return pairs.join(n.select(F.col("id").alias("other"), F.col("hex_id").alias("b")), "other").select("id", "a", "b")
 
 
 @query(f"with {SQL_PAIRS} select id, list_filter(range(0, 64), lambda h: bit_count(xor(cast(h as integer), a)) + bit_count(xor(cast(h as integer), b)) = bit_count(xor(a, b)))::integer[] as between_ids, cast(bit_count(xor(a, b)) as integer) as distance from pairs where b is not null")
@@ -205,3 +213,28 @@ def lsh_recall(spark, sf_dir):
     both = top.join(codes, "id").join(codes.select(F.col("id").alias("other"), F.col("codes").alias("theirs")), "other")
     near = F.exists(F.zip_with("codes", "theirs", q6.hamming), lambda d: d <= 1)
     return both.groupBy("id").agg(F.sum(near.cast("int")).alias("found"), F.count("*").alias("wanted"))
+
+
+SWEEP = (1, 2, 3, 5)
+_K5 = vectors.Projections(max(SWEEP))
+_TURN5 = "[" + ", ".join("[" + ", ".join(" + ".join(f"v[{j + 1}] * ({x!r})" for j, x in enumerate(row)) for row in m) + "]" for m in _K5.matrices) + "]"
+
+
+@query(f"""with {SQL_NODES}, lsh as (select id, hex_id, v, [{_CODE} for t in {_TURN5}] as codes from nodes), q as (select * from lsh where id % 100 = 0),
+s as (select q.id, n.id as other, n.hex_id, list_cosine_similarity(q.v, n.v) as s from q, lsh n where q.id <> n.id),
+t as (select * from (select *, row_number() over (partition by id order by round(s, 5) desc, other) as r from s) where r <= 10),
+b as (select k, id, list_filter(range(0, 64), lambda h: len(list_filter(codes[1:k], lambda c: bit_count(xor(c, cast(h as integer))) <= 1)) > 0) as ball from q, (select unnest({list(SWEEP)}) as k))
+select cast(b.k as integer) as k, round(avg(case when list_contains(ball, t.hex_id) then 1.0 else 0 end), 6) as recall, round(sum(len(ball)) / count(*), 6) as ball_size, round(100 * sum(len(ball)) / count(*) / 64, 6) as coverage from b join t on t.id = b.id group by b.k""")
+def lsh_recall_sweep(spark, sf_dir):
+    """For one, two, three and five projections: how many of the ten nearest vectors have a code in the union of a query's
+    balls of radius one, how many codes these hold, and that as a share of all codes in percent."""
+    from ..operators.nearest import cosine_topk
+
+    c = coded(spark, sf_dir).select("id", "hex_id", "embedding")
+    unit = c.select("id", vectors.normalize(F.col("embedding")).alias("v"))
+    top = cosine_topk(unit.where("id % 100 = 0"), unit, 10).select("id", "other").join(c.select(F.col("id").alias("other"), "hex_id"), "other")
+    balls = F.array(*[F.struct(F.lit(k).alias("k"), vectors.Projections(k).union_ball(F.col("embedding"), 1).alias("ball")) for k in SWEEP])
+    each = c.where("id % 100 = 0").select("id", F.explode(balls).alias("b")).join(top, "id")
+    size = F.avg(F.size("b.ball"))
+    found = each.groupBy("b.k").agg(F.avg(F.array_contains("b.ball", F.col("hex_id")).cast("double")).alias("recall"), size.alias("size"))
+    return found.select("k", F.round("recall", 6).alias("recall"), F.round("size", 6).alias("ball_size"), F.round(F.col("size") * 100 / 64, 6).alias("coverage"))

@@ -51,9 +51,12 @@ def dominant_archetype(spark, sf_dir):
     return g.dominant(members(spark, sf_dir), coded(spark, sf_dir))
 
 
-@query(f"""with {SQL_GRAPH} select community, round(least(1, avg(weight)), 6) as strength, round(avg(case when directed then 1.0 else 0 end), 6) as direction, 0.5::double as temporal, round(least(1, avg(weight)), 6) as confidence, round(least(1.0, count(*) / 20), 6) as scale, round(least(1, max(weight)), 6) as context, 0.7::double as source from intra group by 1""")
+@query(f"""with {SQL_GRAPH}, k as (select community, avg(weight) as mean, avg(case when directed then 1.0 else 0 end) as ways, count(*) as n, max(weight) as high from intra group by 1), c as (select distinct community from member)
+select community, round(case when n is null then 0.5 else least(1, mean) end, 6) as strength, round(coalesce(ways, 0.5), 6) as direction, 0.5::double as temporal, round(case when n is null then 0.5 else least(1, mean) end, 6) as confidence, round(case when n is null then 0.5 else least(1.0, n / 20) end, 6) as scale, round(case when n is null then 0.5 else least(1, high) end, 6) as context, case when n is null then 0.5 else 0.7 end::double as source from c left join k using (community)""")
 def community_heptagram(spark, sf_dir):
-    rays = g.edge_rays(g.intra_edges(edges(spark, sf_dir), members(spark, sf_dir)))
+    """The seven rays of every community; one without inner edges has rays of one half."""
+    m = members(spark, sf_dir)
+    rays = g.community_rays(m, g.intra_edges(edges(spark, sf_dir), m))
     return rays.select("community", *[F.round(r, 6).alias(r) for r in g.RAYS])
 
 
@@ -109,7 +112,15 @@ def lp_communities(spark, sf_dir):
     return g.label_propagation(edges(spark, sf_dir), members(spark, sf_dir))
 
 
-@query()
+#: Clusters in the order of their nodes; each stays if none that stayed before shares more than 0.8 of the larger with it.
+_HYPER = f"""{_EGO}, eo as materialized (select *, row_number() over (order by node) as o from ego),
+cl as materialized (select b.o, list(a.node) as earlier from eo a join eo b on a.o < b.o and len(list_intersect(a.members, b.members)) > 0.8 * greatest(a.n, b.n) group by 1),
+eq as materialized (select eo.*, coalesce(earlier, []) as earlier from eo left join cl using (o)),
+kp(o, kept) as (select cast(0 as bigint), cast([] as bigint[]) union all select eq.o, case when len(list_intersect(earlier, kept)) > 0 then kept else list_append(kept, node) end from kp join eq on eq.o = kp.o + 1),
+hyper as (select node, members, n from ego where list_contains((select kept from kp order by o desc limit 1), node))"""
+
+
+@query(f"with recursive {SQL_GRAPH}, {_HYPER} select node, members, {_NAME} as label from hyper")
 def hyper_edges(spark, sf_dir):
     return g.hyper_edges(edges(spark, sf_dir))
 

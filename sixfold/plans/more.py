@@ -4,22 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geometry, vectors
+from ..functions import vectors
 from ..operators import graph as g
-from ..operators import projection, vocabulary
+from ..operators import build, search, vocabulary
 from ..sources.tables import edges, nodes, read
 from .cube import SQL_NODES, coded
-from .graph import _EGO, SQL_GRAPH, members
+from .graph import _EGO, SQL_GRAPH
 from .registry import query
 
 
-@query()
-def pca2d(spark, sf_dir):
-    """Every node on the two main axes of its community."""
-    p = projection.plane(coded(spark, sf_dir), members(spark, sf_dir))
-    return p.select("id", "community", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
-
-
 _BUCKET = "case when c >= 0.85 then 'identical' when c >= 0.65 then 'close' when c >= 0.40 then 'related' when c >= 0.10 then 'weak' else 'far' end"
 
 
@@ -34,22 +27,18 @@ def compare_embeddings(spark, sf_dir):
     return both.select("id", "other", cosine.alias("cosine")).withColumn("bucket", bucket)
 
 
-@query(f"""with {SQL_GRAPH}, {_EGO}, mm as (select node, n, unnest(members) as m from ego),
-he as (select a.node, a.n, e.source, e.target, e.weight from mm a join edges e on e.source = a.m join mm b on b.node = a.node and b.m = e.target)
-select node, round(avg(weight), 6) as strength, round(1 - (max(weight) - min(weight)), 6) as confidence, round(least(1.0, any_value(n) / 10), 6) as scale, round(max(weight), 6) as context, round(avg(1 - 0.0) - var_pop(weight), 6) as source, count(*) as n_edges from he group by node""")
+_CLAMPED = "round(coalesce(greatest(0, least(1, {0})), 0.5), 6) as {1}"
+_RAYS = ", ".join(_CLAMPED.format(x, r) for x, r in (("mean", "strength"), ("oneway", "direction"), ("spread", "temporal"), ("1 - (high - low)", "confidence"), ("n_edges / 10", "scale"), ("high", "context"), ("mean * (1 - spread)", "source")))
+
+
+@query(f"""with {SQL_GRAPH}, {_EGO}, mm as (select node, unnest(members) as m from ego),
+he as (select a.node, e.weight, case when r.weight is null or abs(r.weight - e.weight) > 0.1 then 1.0 else 0 end as way from mm a join edges e on e.source = a.m join mm b on b.node = a.node and b.m = e.target left join edges r on r.source = e.target and r.target = e.source),
+st as (select node, count(*) as n_edges, avg(weight) as mean, avg(way) as oneway, var_pop(weight) as spread, max(weight) as high, min(weight) as low from he group by 1)
+select node, coalesce(n_edges, 0) as n_edges, {_RAYS} from ego left join st using (node)""")
 def cluster_heptagram(spark, sf_dir):
     """Rays of every ego cluster from the weights of its inner edges."""
-    m = g.cut(g.ego_clusters(edges(spark, sf_dir))).select("node", "n", F.explode("members").alias("m"))
-    e = m.withColumnRenamed("m", "source").join(edges(spark, sf_dir), "source")
-    inner = e.join(m.select("node", F.col("m").alias("target")), ["node", "target"])
-    return inner.groupBy("node").agg(
-        F.round(F.avg("weight"), 6).alias("strength"),
-        F.round(1 - (F.max("weight") - F.min("weight")), 6).alias("confidence"),
-        F.round(F.least(F.lit(1.0), F.first("n") / 10), 6).alias("scale"),
-        F.round(F.max("weight"), 6).alias("context"),
-        F.round(1 - F.var_pop("weight"), 6).alias("source"),
-        F.count("*").alias("n_edges"),
-    )
+    clusters = g.cut(g.ego_clusters(edges(spark, sf_dir)))
+    return build.cluster_rays(clusters, edges(spark, sf_dir)).select("node", "n_edges", *[F.round(r, 6).alias(r) for r in g.RAYS])
 
 
 _TOK = "regexp_extract_all(lower(text), '[а-яёa-z0-9]+')"
@@ -74,28 +63,23 @@ def embed_vocabulary(spark, sf_dir):
     return e.select("item_id", "hits", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
-@query(f"with {SQL_NODES} select id, list_concat([cast((hex_id >> i) & 1 as double) for i in range(0, 6)], list_transform(v[1:3], lambda x: round(x, 6))) as signature, 1 - (hex_id & 1) as south from nodes")
+@query(f"with {SQL_NODES} select id, list_concat([cast((hex_id >> i) & 1 as double) for i in range(0, 6)], list_transform(v, lambda x: round(x, 6))) as signature, 1 - (hex_id & 1) as south from nodes")
 def node_signature(spark, sf_dir):
     n = coded(spark, sf_dir)
     bits = F.array(*[F.shiftright("hex_id", i).bitwiseAND(1).cast("double") for i in range(6)])
-    return n.select("id", F.concat(bits, F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x, 6))).alias("signature"), (1 - F.col("hex_id").bitwiseAND(1)).alias("south"))
+    return n.select("id", F.concat(bits, F.transform("embedding", lambda x: F.round(x, 6))).alias("signature"), (1 - F.col("hex_id").bitwiseAND(1)).alias("south"))
 
 
 @query(f"with {SQL_GRAPH} select b.item_id, n.id, n.label from benchmark b join nodes n on contains(lower(n.label), lower('v' || (b.item_id * 7)))")
 def label_search(spark, sf_dir):
-    """Nodes whose label holds a query's text: the labels' substrings are the join keys, so no pair is compared twice."""
-    q = read(spark, sf_dir, "benchmark").select("item_id", F.lower(F.concat(F.lit("v"), (F.col("item_id") * 7).cast("string"))).alias("part"))
-    n = nodes(spark, sf_dir).select("id", "label", F.lower("label").alias("l"))
-    starts = F.sequence(F.lit(1), F.length("l"))
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length("l") - i + 1), lambda k: F.substring(F.col("l"), i, k))))
-    return n.select("id", "label", F.explode(F.array_distinct(parts)).alias("part")).join(q, "part").select("item_id", "id", "label")
-
-
-@query()
-def octagram_distance(spark, sf_dir):
-    """Distances between the octagrams of each node and the next of its topic."""
-    from pyspark.sql import Window as W
-
-    n = coded(spark, sf_dir).select("id", "topic", g.octagram(F.col("hex_id")).alias("a"))
-    both = n.withColumn("b", F.lead("a").over(W.partitionBy("topic").orderBy("id"))).where("b is not null")
-    return both.select("id", vectors.distance(F.col("a"), F.col("b")).alias("distance"), geometry.symmetry(F.col("a")).alias("symmetry"))
+    """Nodes whose label holds a query's text."""
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.concat(F.lit("V"), (F.col("item_id") * 7).cast("string")).alias("text"))
+    return search.label_matches(q, nodes(spark, sf_dir)).select(F.col("query").alias("item_id"), "id", "label")
+
+
+@query(f"with {SQL_GRAPH}, f as (select b.item_id, min(n.id) as id from benchmark b join nodes n on contains(lower(n.label), lower('v' || (b.item_id * 7))) group by 1) select item_id, list_transform(coalesce(n.v[1:6], [0.0, 0, 0, 0, 0, 0]), lambda x: round(x, 6)) as v from benchmark left join f using (item_id) left join nodes n on n.id = f.id")
+def search_by_label(spark, sf_dir):
+    """The vector that a search for a label starts from: the first six numbers of the first node that it finds."""
+    q = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.concat(F.lit("V"), (F.col("item_id") * 7).cast("string")).alias("text"))
+    v = search.by_label(q, nodes(spark, sf_dir))
+    return v.select(F.col("query").alias("item_id"), F.transform(F.slice("v", 1, 6), lambda x: F.round(x, 6)).alias("v"))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import q6
+from ..functions.vectors import Projections
+from ..operators import borders as b
 from ..operators import graph as g
 from ..operators import search as s
-from ..sources.tables import edges
-from .borders import communities
+from ..sources.tables import edges, read
+from .borders import SQL_CURVES, communities
 from .cube import _CODE, _TURN, SQL_NODES, coded
-from .graph import _DOMINANT, _EGO, _MEANS, SQL_GRAPH, members
+from .graph import _DOMINANT, _EGO, _HYPER, _MEANS, SQL_GRAPH, members
 from .registry import query
 
 
@@ -58,58 +58,60 @@ def semantic_neighbors(spark, sf_dir):
     return s.semantic_neighbors(seeds(spark, sf_dir), coded(spark, sf_dir))
 
 
-@query(f"with {SQL_GRAPH} select community, count(*) as n from member group by 1 having count(*) between 3 and 60")
+@query(f"with recursive {SQL_GRAPH}, {_HYPER} select node, n from hyper where n between 3 and 8")
 def cluster_by_size(spark, sf_dir):
-    return members(spark, sf_dir).groupBy("community").agg(F.count("*").alias("n")).where("n between 3 and 60")
+    """Hyper-edges of three to eight nodes."""
+    return g.hyper_edges(edges(spark, sf_dir)).select("node", F.size("members").alias("n")).where("n between 3 and 8")
 
 
-@query(f"with {SQL_GRAPH} select distinct community, archetype from member join nodes on id = node_id where archetype like 'M%'")
+@query(f"with {SQL_GRAPH}, k as (select community, count(*) as n from member join nodes on id = node_id where archetype = 'MSCF' group by 1) select * from k")
 def cluster_by_archetype(spark, sf_dir):
-    """Communities with any node of a material archetype."""
-    n = coded(spark, sf_dir).where("archetype like 'M%'").select(F.col("id").alias("node_id"), "archetype")
-    return members(spark, sf_dir).join(n, "node_id").select("community", "archetype").distinct()
+    """Communities that hold any node of one archetype, and how many."""
+    n = coded(spark, sf_dir).where("archetype = 'MSCF'").select(F.col("id").alias("node_id"))
+    return members(spark, sf_dir).join(n, "node_id").groupBy("community").agg(F.count("*").alias("n"))
 
 
-@query()
-def cluster_by_shape(spark, sf_dir):
-    from .borders import shapes
-
-    return shapes(spark, sf_dir).where(F.col("shape").isin("triangle", "rectangle")).select("node", "shape", "n")
-
-
-@query(f"""with {SQL_GRAPH}, {_MEANS}, {_DOMINANT}, sv as (select community, list_concat([cast((hex_id >> i) & 1 as double) for i in range(0, 6)], list_transform(v, lambda x: round(x, 6))) as v, n_nodes from ch join dom using (community)),
-p as (select a.community, b.community as other, round(sqrt(list_sum([(a.v[i] - b.v[i]) ** 2 for i in range(1, len(a.v) + 1)])), 5) as distance from sv a join sv b on a.community <> b.community)
-select community, other, distance, cast(rank as integer) as rank from (select *, row_number() over (partition by community order by distance, other) as rank from p) where rank <= 5""")
-def similar_clusters(spark, sf_dir):
-    """The five communities nearest in code bits and center; communities are 32 at most."""
-    from ..functions import vectors
-
-    c = g.cut(communities(spark, sf_dir)).select("community", F.concat(F.transform(q6.bits(F.col("hex_id")), lambda b: b.cast("double")), F.transform("center", lambda x: F.round(x, 6))).alias("v"), F.lit(1).alias("k"))
-    both = c.join(c.select(F.col("community").alias("other"), F.col("v").alias("w"), "k"), "k").where("community <> other")
-    both = both.select("community", "other", F.round(vectors.distance(F.col("v"), F.col("w")), 5).alias("distance"))
-    return both.withColumn("rank", F.row_number().over(W.partitionBy("community").orderBy("distance", "other"))).where("rank <= 5")
-
-
-_STAGE = f"""{SQL_GRAPH}, {_MEANS}, q as (select id as query, v, hex_id as qh, [{_CODE} for t in {_TURN}] as codes from nodes where id % 100 = 0),
-cc as (select query, community, len(list_filter(codes, lambda c: bit_count(xor(c, ch.hex_id)) <= 2)) as near, bit_count(xor(qh, ch.hex_id)) as hd, q.v[1:6] as s, [cast((ch.hex_id >> i) & 1 as double) for i in range(0, 6)] as b from q, ch),
-cs as (select query, 0 as kind, cast(community as bigint) as item, round(0.6 * least(1, (list_dot_product(s, b) / (sqrt(list_dot_product(s, s)) * case when list_sum(b) = 0 then 1 else sqrt(list_sum(b)) end) + 1) / 2) + 0.4 * ((1 - hd / 7.0) * 0.7 + near / 3.0 * 0.3), 6) as score from cc where near > 0),
+_STAGE = f"""{SQL_CURVES}, {_DOMINANT}, q as (select id as query, v, hex_id as qh, [{_CODE} for t in {_TURN}] as codes from nodes where id % 100 = 0),
+cd as (select query, community, len(list_filter(codes, lambda c: bit_count(xor(c, ch.hex_id)) <= 2)) as near, bit_count(xor(qh, ch.hex_id)) as hd, q.v[1:6] as s, [cast((ch.hex_id >> i) & 1 as double) for i in range(0, 6)] as b from q, ch),
+nb as (select a, b from tp union select b, a from tp),
+cc as (select cd.*, case when near > 0 then near / 3.0 else 0.1 end as cover from cd where near > 0 or exists (select 1 from cd x join nb on nb.a = x.community where x.query = cd.query and x.near > 0 and nb.b = cd.community)),
+cs as (select query, 0 as kind, cast(community as bigint) as item, round(0.6 * least(1, (list_dot_product(s, b) / (sqrt(list_dot_product(s, s)) * case when list_sum(b) = 0 then 1 else sqrt(list_sum(b)) end) + 1) / 2) + 0.4 * ((1 - hd / 7.0) * 0.7 + cover * 0.3), 6) as score from cc),
 ns as (select query, 1 as kind, id as item, round((list_cosine_similarity(q.v, n.v) + 1) / 2, 6) as score from q, nodes n where len(list_filter(codes, lambda c: bit_count(xor(c, n.hex_id)) <= 2)) > 0),
 s1 as (select * from cs union all select * from ns)"""
 
 
+def _queries(spark, sf_dir):
+    return seeds(spark, sf_dir).select(F.col("id").alias("query"), F.col("embedding").alias("v"))
+
+
 @query(f"with {_STAGE} select query, kind, count(*) as n from s1 group by all")
 def ann_stage1(spark, sf_dir):
-    from ..functions.vectors import Projections
-
-    q, lsh = seeds(spark, sf_dir).select(F.col("id").alias("query"), F.col("embedding").alias("v")), Projections(3)
-    found = s.candidates(q, coded(spark, sf_dir), lsh, 2).select("query", F.lit(1).alias("kind"))
-    return found.unionByName(s.community_candidates(q, communities(spark, sf_dir), lsh, 2).select("query", F.lit(0).alias("kind"))).groupBy("query", "kind").agg(F.count("*").alias("n"))
+    """How many nodes (1) and communities (0) the first stage finds for each query."""
+    q, lsh = _queries(spark, sf_dir), Projections(3)
+    c = g.cut(communities(spark, sf_dir))
+    found = s.community_candidates(q, c, lsh, 2, b.touching(c)).groupBy("query").agg(F.count("*").alias("n")).select("query", F.lit(0).alias("kind"), "n")
+    return found.unionByName(s.stage1_counts(q, coded(spark, sf_dir), lsh, 2).select("query", F.lit(1).alias("kind"), "n"))
 
 
-@query(f"""with {_STAGE}, {_EGO}, tp as (select query, kind, item, score from (select *, row_number() over (partition by query order by score desc, kind, item) as r from s1) where r <= 20),
-me as (select node, n, unnest(members) as item from ego), hs as (select query, 2 as kind, node as item, round(sum(score) / n * (0.7 + 0.3 * count(*) / n), 6) as score from tp join me using (item) where kind = 1 group by query, node, n),
-al as (select * from tp union all select * from hs)
+@query(f"""with {_STAGE}, {_EGO}, tt as (select query, kind, item, score from (select *, row_number() over (partition by query order by score desc, kind, item) as r from s1) where r <= 20),
+me as (select node, n, unnest(members) as item from ego), hs as (select query, 2 as kind, node as item, round(sum(score) / n * (0.7 + 0.3 * count(*) / n), 6) as score from tt join me using (item) where kind = 1 group by query, node, n),
+al as (select * from tt union all select * from hs)
 select query, cast(rank as integer) as rank, kind, item, score from (select *, row_number() over (partition by query order by score desc, kind, item) as rank from al) where rank <= 10""")
 def ann_search(spark, sf_dir):
-    q = seeds(spark, sf_dir).select(F.col("id").alias("query"), F.col("embedding").alias("v"))
-    return s.ann(q, coded(spark, sf_dir), communities(spark, sf_dir), g.ego_clusters(edges(spark, sf_dir)))
+    c = g.cut(communities(spark, sf_dir))
+    return s.ann(_queries(spark, sf_dir), coded(spark, sf_dir), c, g.ego_clusters(edges(spark, sf_dir)), b.touching(c))
+
+
+#: Words of the tables' own languages, so that some questions name a domain.
+_BOOST_WORDS = {"technology": ["tion"], "science": ["ing"], "biology": ["the "]}
+_BOOST = "case " + " ".join("when " + " or ".join(f"contains(lower(text), '{w}')" for w in ws) + f" then case when list_contains({s.BOOST_ARCHETYPES[d] + ['MSCF', 'ASEO']!r}, dominant_archetype) then 0.15 else 0 end" for d, ws in _BOOST_WORDS.items()) + " else 0 end"
+
+
+@query(f"with {SQL_GRAPH}, {_DOMINANT} select item_id, community, cast({_BOOST} as double) as boost from benchmark, dom")
+def archetype_boost(spark, sf_dir):
+    """What a question's domain adds to every community, by its dominant archetype; communities are 64 at most."""
+    names = {d: [*a, "MSCF", "ASEO"] for d, a in s.BOOST_ARCHETYPES.items()}
+    c = g.cut(g.dominant(members(spark, sf_dir), coded(spark, sf_dir))).agg(F.collect_list(F.struct("community", "dominant_archetype")).alias("of"))
+    q = read(spark, sf_dir, "benchmark").select("item_id", "text", F.lit(1).alias("k")).join(F.broadcast(c.withColumn("k", F.lit(1))), "k")
+    each = q.select("item_id", "text", F.explode("of").alias("c"))
+    return each.select("item_id", "c.community", s.boost(F.col("text"), F.col("c.dominant_archetype"), _BOOST_WORDS, names).alias("boost"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
 from ..operators import text as t
-from ..sources.tables import ARCHETYPES, PRIORITIES, edges, read, snapshot_lines
+from ..sources.tables import ARCHETYPES, KEYWORDS, PRIORITIES, archetype_table, edges, read, snapshot_lines
 from .cube import SQL_NODES, coded
-from .graph import _DOMINANT, _MEANS, SQL_GRAPH, members
+from .graph import SQL_GRAPH, members
 from .registry import query
 
 
@@ -20,20 +19,24 @@ def documents(spark, sf_dir):
 _SENTENCES = r"string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
 
 
-@query(rf"""with recursive s as (select item_id as doc_id, {_SENTENCES} as s from benchmark),
+def _chunk_sql(table: str, key: str, size: int, overlap: int) -> str:
+    return rf"""with recursive s as (select {key} as doc_id, {_SENTENCES} as s from {table} where text is not null),
 st(doc_id, i, now, len, pos, done) as (select doc_id, 1, cast([] as varchar[]), cast(0 as bigint), cast(0 as bigint), cast(null as struct(text varchar, a bigint, b bigint)) from s
  union all select doc_id, i + 1, list_append(kept, x), list_sum(list_transform(list_append(kept, x), lambda y: length(y)))::bigint, pos + length(x) + 1, case when full_ then {{'text': array_to_string(now, ' '), 'a': pos - len, 'b': pos}} end
- from (select *, case when full_ then list_reverse(list_filter(list_reverse(now), lambda y, k: list_sum(list_transform(list_reverse(now)[1:k], lambda z: length(z))) <= 64)) else now end as kept
-  from (select st.*, s.s[i] as x, len + length(s.s[i]) > 120 and len(now) > 0 as full_ from st join s using (doc_id) where i <= len(s.s)))),
+ from (select *, case when full_ then list_reverse(list_filter(list_reverse(now), lambda y, k: list_sum(list_transform(list_reverse(now)[1:k], lambda z: length(z))) <= {overlap})) else now end as kept
+  from (select st.*, s.s[i] as x, len + length(s.s[i]) > {size} and len(now) > 0 as full_ from st join s using (doc_id) where i <= len(s.s)))),
 al as (select doc_id, i, done as c from st where done is not null union all select st.doc_id, i + 1, {{'text': array_to_string(now, ' '), 'a': pos - len, 'b': pos}} from st join s using (doc_id) where i = len(s.s) + 1)
-select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as integer) as chunk, c.text as text, cast(c.a as integer) as start, cast(c.b as integer) as "end" from al""")
+select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as integer) as chunk, c.text as text, cast(c.a as integer) as start, cast(c.b as integer) as "end" from al"""
+
+
+@query(_chunk_sql("benchmark", "item_id", 120, 64))
 def chunk_benchmark(spark, sf_dir):
     """Chunks of 120 characters: an overlap of 64 is at work in these short texts."""
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     return t.chunks(items, 120, 64)
 
 
-@query()
+@query(_chunk_sql("documents", "doc_id", 512, 64))
 def chunk_documents(spark, sf_dir):
     return t.chunks(documents(spark, sf_dir))
 
@@ -68,15 +71,18 @@ def entity_dedupe(spark, sf_dir):
 @query(f"""with {SQL_ENTITIES}, pr as (select lower(trim(a.label)) as source, lower(trim(b.label)) as target from ent a join ent b on a.doc_id = b.doc_id and b.j = a.j + 1)
 select source, target, cast(0.7 as double) as weight, count(*) as n from pr where source <> target group by all""")
 def relation_resolve(spark, sf_dir):
-    e = found(spark, sf_dir)
+    e = g.cut(found(spark, sf_dir))
     return t.resolved(t.relations(e, ["doc_id"]), t.deduplicated(e, ["doc_id", "j"]))
 
 
-@query(f"""with {SQL_ENTITIES} select count(distinct doc_id) as documents, count(*) as mentions, count(distinct lower(trim(label))) as entities from ent""")
+@query(f"""with {SQL_ENTITIES}, pr as (select distinct lower(trim(a.label)) as source, lower(trim(b.label)) as target from ent a join ent b on a.doc_id = b.doc_id and b.j = a.j + 1)
+select count(distinct doc_id) as documents, count(*) as mentions, count(distinct lower(trim(label))) as entities, (select count(*) from pr where source <> target) as relations from ent""")
 def index_result(spark, sf_dir):
-    e = found(spark, sf_dir).groupBy(F.lower(F.trim("label")).alias("entity")).agg(F.count("*").alias("k"))
-    docs = documents(spark, sf_dir).where(F.size(t.entities(F.col("text"))) > 0).agg(F.count("*").alias("documents"))
-    return e.agg(F.sum("k").alias("mentions"), F.count("*").alias("entities")).join(docs, F.lit(True))
+    """What indexing all documents gives: documents with entities, mentions, different entities and relations."""
+    e = g.cut(found(spark, sf_dir))
+    entities = e.groupBy(F.lower(F.trim("label")).alias("entity")).agg(F.count("*").alias("k")).agg(F.sum("k").alias("mentions"), F.count("*").alias("entities"))
+    relations = t.resolved(t.relations(e, ["doc_id"]), t.deduplicated(e, ["doc_id", "j"])).agg(F.count("*").alias("relations"))
+    return entities.join(e.where("j = 0").agg(F.count("*").alias("documents")), F.lit(True)).join(relations, F.lit(True))
 
 
 @query(f"with {SQL_ENTITIES} select doc_id, len(e) as n_entities, e[1] as first from el")
@@ -88,10 +94,11 @@ def parse_extraction_json(spark, sf_dir):
     return p.select("doc_id", F.size("p.entities").cast("long").alias("n_entities"), F.get("p.entities", F.lit(0))["label"].alias("first"))
 
 
-#: Keywords from the tables' own languages, so that the expansion has something to find.
-WORDS = {"urbanism": ["the", "thing"], "science": ["tion", "ning"], "society": ["and", "with"], "culture": ["le", "eau"]}
-KEYWORDS = {"MSEO": ["form", "tion"], "ASCO": ["the", "inth"], "ADEO": ["ing"]}
-_DOMAIN = "case " + " ".join(f"when {a} > 0 and {' and '.join(f'{a} >= {b}' for b in WORDS if b != a) } then '{a}'" for a in WORDS) + " else 'general' end"
+#: The domains' words, and some from the tables' own languages, so that the expansion has something to find.
+_MORE = {"urbanism": ["the", "thing"], "science": ["tion", "ning"], "society": ["and", "with"], "culture": ["le", "eau"]}
+WORDS = {name: [*words, *_MORE.get(name, [])] for name, words in t.DOMAIN_WORDS.items()}
+_NAMES = list(WORDS)
+_DOMAIN = "case " + " ".join("when " + " and ".join([f"{a} > 0", *[f"{a} > {b}" for b in _NAMES[:i]], *[f"{a} >= {b}" for b in _NAMES[i + 1 :]]]) + f" then '{a}'" for i, a in enumerate(_NAMES)) + " else 'general' end"
 _HITS = ", ".join("(" + " + ".join(f"(contains(lower(text), '{w}'))::integer" for w in ws) + f") as {name}" for name, ws in WORDS.items())
 _ASKING = "[" + ", ".join(f"'{w}'" for w in t.ASKING) + "]"
 _TOPIC = rf"list_filter(regexp_split_to_array(regexp_replace(text, '[?!.]+$', ''), '\s+'), lambda w: w <> '' and not list_contains({_ASKING}, lower(w)))"
@@ -100,7 +107,7 @@ SQL_QUESTIONS = f"qs as (select item_id, text, {_HITS}, case when len({_TOPIC})
 
 def _score_sql(code: str) -> str:
     base = "case " + " ".join(f"when domain = '{d}' then {w[code]}" for d, w in t.DOMAIN_WEIGHTS.items() if code in w) + " else 0.1 end" if any(code in w for w in t.DOMAIN_WEIGHTS.values()) else "0.1"
-    hits = " + ".join(f"(contains(lower(text), '{w}'))::integer" for w in KEYWORDS.get(code, [])) or "0"
+    hits = " + ".join(f"(contains(lower(text), '{w}'))::integer" for w in KEYWORDS[code]) or "0"
     return f"least(1.0, {base} + least(0.5, ({hits}) * 0.1) + {PRIORITIES[code]} / 5 * 0.2)"
 
 
@@ -108,7 +115,7 @@ _SCORES = "sc as (" + " union all ".join(f"select item_id, topic, domain, {i} as
 
 
 def questions(spark, sf_dir):
-    return t.archetype_scores(read(spark, sf_dir, "benchmark").select("item_id", "text"), KEYWORDS, WORDS)
+    return t.archetype_scores(read(spark, sf_dir, "benchmark").select("item_id", "text"), words=WORDS)
 
 
 @query(f"with {SQL_QUESTIONS} select item_id, domain, topic from qd")
@@ -125,52 +132,71 @@ _TEXTS = f"[{', '.join(repr(q) for q in t.QUESTIONS)}]"
 _RATES = f"[{', '.join(repr(f'Rate the {d} of {{topic}}.') for d in t.DIMENSIONS)}]"
 
 
-@query(f"""with {SQL_QUESTIONS}, {_SCORES}, a as (select item_id, topic, ord * 3 + k as o, code as archetype, priority, 'text' as kind, {_TEXTS}[k + 1] as q from sc, range(0, 3) r(k) where score >= 0.2),
+SQL_TREE = f"""{SQL_QUESTIONS}, {_SCORES}, a as (select item_id, topic, ord * 3 + k as o, code as archetype, priority, 'text' as kind, {_TEXTS}[k + 1] as q from sc, range(0, 3) r(k) where score >= 0.2),
 h as (select item_id, topic, 1000 + k as o, 'HEPT' as archetype, 3 as priority, 'number' as kind, {_RATES}[k + 1] as q from qd, range(0, 7) r(k)), u as (select * from a union all select * from h),
-n as (select *, row_number() over (partition by item_id order by o) as r from u)
-select item_id, case when archetype = 'HEPT' then 'H' else 'Q' end || lpad(cast(r as varchar), 3, '0') as id, archetype, priority, kind, replace(q, '{{topic}}', topic) as text from n""")
-def expand_query(spark, sf_dir):
+n as (select *, row_number() over (partition by item_id order by o) as r from u),
+tree as (select item_id, r, topic, case when archetype = 'HEPT' then 'H' else 'Q' end || lpad(cast(r as varchar), 3, '0') as id, archetype, priority, kind, replace(q, '{{topic}}', topic) as text from n)"""
+
+
+def tree(spark, sf_dir):
     return t.expanded(questions(spark, sf_dir), "item_id")
 
 
-@query(f"""with {SQL_ENTITIES} select doc_id, j, case (j % 5) when 0 then 'MDEF' when 1 then 'MSCF' when 2 then 'MDCF' when 3 then 'ASCO' else 'ASEF' end as archetype from ent""")
+@query(f"with {SQL_TREE} select item_id, id, archetype, priority, kind, text from tree")
+def expand_query(spark, sf_dir):
+    return tree(spark, sf_dir).drop("topic")
+
+
+@query(f"with {SQL_TREE} select item_id, id, archetype, priority from tree where archetype = 'ASCO' or priority >= 5")
+def question_filters(spark, sf_dir):
+    """The questions of one archetype, and those of the highest priority."""
+    own = g.cut(tree(spark, sf_dir).select("item_id", "id", "archetype", "priority"))
+    return t.by_archetype(own, "ASCO").unionByName(t.by_priority(own, 5)).distinct()
+
+
+@query(f"with {SQL_TREE} select item_id, count(*) as total, string_agg(id || ':' || archetype || ':' || priority || ':' || text, '|' order by r) as flat, '# ' || any_value(topic) as head from tree group by item_id")
+def question_tree(spark, sf_dir):
+    """The JSON document of every item's questions, read back, and the first line of its Markdown."""
+    own = g.cut(tree(spark, sf_dir))
+    back = t.tree_json(own, "item_id").select("item_id", F.from_json("json", "topic string, total long, questions array<struct<id:string,text:string,archetype:string,priority:int>>").alias("x"))
+    flat = F.array_join(F.transform("x.questions", lambda q: F.concat_ws(":", q["id"], q["archetype"], q["priority"].cast("string"), q["text"])), "|")
+    head = t.tree_markdown(own, "item_id").select("item_id", F.get(F.split("markdown", "\n"), F.lit(0)).alias("head"))
+    return back.select("item_id", "x.total", flat.alias("flat")).join(head, "item_id")
+
+
+_KEYWORDS = "[" + ", ".join(f"{{'code': '{c}', 'words': {KEYWORDS[c]!r}}}" for c in ARCHETYPES) + "]"
+_GUESS = "coalesce(list_filter({kw}, lambda a: len(list_filter(a.words, lambda w: contains(w, lower({label})))) > 0)[1].code, {other})"
+_TYPES = "case j when 0 then 'MDEF' when 1 then 'MSCF' when 2 then 'MDCF' when 3 then 'ASCO' else 'ASEF' end"
+
+
+@query(f"with {SQL_ENTITIES}, s as (select doc_id, j, label[1:3] as label from ent) select doc_id, j, label, {_GUESS.format(kw=_KEYWORDS, label='label', other=_TYPES)} as archetype from s")
 def guess_archetype(spark, sf_dir):
-    kind = F.get(F.array(*[F.lit(k) for k in t.TYPE_ARCHETYPES]), F.col("j") % 5)
-    return found(spark, sf_dir).select("doc_id", "j", t.type_archetype(kind).alias("archetype"))
-
-
-@query(f"""with {SQL_GRAPH}, {_DOMINANT}, {_MEANS}, nn as (select community, label, id, row_number() over (partition by community order by id) as r from member join nodes on id = node_id),
-ll as (select community, string_agg(label, ', ' order by id) as five from nn where r <= 5 group by 1)
-select community, '[' || dominant_archetype || '] Q6=' || hex_id || ' skel=' || case when hex_id & 1 = 1 then 'tower' else 'fract' end || ': ' || five || case when n_nodes > 5 then ' +' || (n_nodes - 5) else '' end as summary from dom join ll using (community) join ch using (community)""")
-def rag_global_context(spark, sf_dir):
-    """One line per community: its archetype, code and skeleton, and its first five labels."""
-    n, m = coded(spark, sf_dir), members(spark, sf_dir)
-    first = m.join(n.select(F.col("id").alias("node_id"), "label"), "node_id").withColumn("r", F.row_number().over(W.partitionBy("community").orderBy("node_id"))).where("r <= 5")
-    five = first.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda s: s["label"]), ", ").alias("five"))
-    c = g.dominant(m, n).join(g.mean_codes(m, n), "community").join(five, "community")
-    more = F.when(F.col("n_nodes") > 5, F.concat(F.lit(" +"), (F.col("n_nodes") - 5).cast("string"))).otherwise("")
-    skeleton = F.substring(g.skeleton(F.col("hex_id")), 1, 5)
-    return c.select("community", F.concat(F.lit("["), "dominant_archetype", F.lit("] Q6="), F.col("hex_id").cast("string"), F.lit(" skel="), skeleton, F.lit(": "), "five", more).alias("summary"))
-
-
-@query(f"""with {SQL_GRAPH}, tp as (select q.id as query, n.id, row_number() over (partition by q.id order by round(list_cosine_similarity(q.v, n.v), 5) desc, n.id) as r from nodes q, nodes n where q.id % 100 = 0 and q.id <> n.id),
-t5 as (select * from tp where r <= 5), re as (select distinct query, source, target from t5 join edges on source = t5.id or target = t5.id),
-r8 as (select *, row_number() over (partition by query order by source, target) as k from re), rs as (select query, string_agg('v' || source || ' -> v' || target, '; ' order by k) as relations from r8 where k <= 8 group by 1)
-select query, string_agg('v' || id, ', ' order by r) as entities, coalesce(any_value(relations), 'none') as relations from t5 left join rs using (query) group by 1""")
-def rag_local_context(spark, sf_dir):
-    """The five nearest nodes of every query node and the first eight edges that touch them."""
-    from ..functions import vectors
-    from ..operators.nearest import cosine_topk
-
-    unit = coded(spark, sf_dir).select("id", vectors.normalize(F.col("embedding")).alias("v"))
-    top = g.cut(cosine_topk(unit.where("id % 100 = 0"), unit, 5))
-    touching = g.both_ways(edges(spark, sf_dir).withColumn("weight", F.struct("source", "target"))).select(F.col("id").alias("other"), "weight.source", "weight.target")
-    each = top.select(F.col("id").alias("query"), "other").join(touching, "other").select("query", "source", "target").distinct()
-    few = each.withColumn("k", F.row_number().over(W.partitionBy("query").orderBy("source", "target"))).where("k <= 8")
-    line = F.concat(F.lit("v"), F.col("source").cast("string"), F.lit(" -> v"), F.col("target").cast("string"))
-    relations = few.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("l")))), lambda s: s["l"]), "; ").alias("relations"))
-    labels = F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda s: F.concat(F.lit("v"), s["other"].cast("string")))
-    return top.groupBy(F.col("id").alias("query")).agg(F.array_join(labels, ", ").alias("entities")).join(relations, "query", "left").fillna({"relations": "none"})
+    """The archetype of every entity by its first three letters, which some keywords hold, else by a type (its place in the text)."""
+    kind = F.get(F.array(*[F.lit(k) for k in t.TYPE_ARCHETYPES]), F.col("j"))
+    short = found(spark, sf_dir).withColumn("label", F.substring("label", 1, 3))
+    return short.select("doc_id", "j", "label", t.guessed_archetype(F.col("label"), kind).alias("archetype"))
+
+
+@query(rf"with a as (select unnest({_KEYWORDS}) as a, generate_subscripts({_KEYWORDS}, 1) as i), w as (select item_id, lower(unnest(regexp_extract_all(text, '\p{{L}}+'))) as word from benchmark), d as (select distinct item_id, word from w where length(word) >= 3) select item_id, word, list(a.code order by i) as codes from d, a where len(list_filter(a.words, lambda k: contains(k, word))) > 0 group by all")
+def archetype_by_keyword(spark, sf_dir):
+    """The archetypes whose keywords hold a word of an item."""
+    w = read(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), F.lower))).alias("word")).where("length(word) >= 3")
+    return w.withColumn("codes", t.by_keyword(F.col("word"))).where("size(codes) > 0")
+
+
+@query(f"with {SQL_NODES} select archetype as code, left(archetype, 2) as quadrant, cast((archetype[1] = 'M')::integer + 2 * (archetype[2] = 'D')::integer + 4 * (archetype[3] = 'C')::integer + 8 * (archetype[4] = 'O')::integer as integer) as hex_id, count(*) as n from nodes where list_contains({[c for c in ARCHETYPES if PRIORITIES[c] >= 4]!r}, archetype) or left(archetype, 2) = 'MS' group by 1")
+def archetype_lookup(spark, sf_dir):
+    """Nodes by archetype, of those of the first quadrant and those of priority 4 or more."""
+    a = archetype_table(spark).where("quadrant = 'MS' or priority >= 4").select("code", "quadrant", "hex_id")
+    n = coded(spark, sf_dir).groupBy(F.col("archetype").alias("code")).agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(a), "code").select("code", "quadrant", "hex_id", "n")
+
+
+@query(r"""with w as (select item_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') as w from benchmark)
+select item_id, case when regexp_matches(text, '[а-яА-Я]') then 'ru' else 'en' end as language, case when len(list_filter(w[2:], lambda x: regexp_matches(x, '^\p{Lu}'))) > 0 then list_filter(w[2:], lambda x: regexp_matches(x, '^\p{Lu}')) else w[1:2] end as entities from w""")
+def parse_topic(spark, sf_dir):
+    q = read(spark, sf_dir, "benchmark")
+    return q.select("item_id", t.language(F.col("text")).alias("language"), t.named(F.col("text")).alias("entities"))
 
 
 @query(f"with {SQL_GRAPH} select 'node' as kind, count(*) as n, cast(sum(hex_id) as bigint) as total from nodes union all select 'edge', count(*), cast(sum(source) as bigint) from edges")

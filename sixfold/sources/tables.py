@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The sixteen archetype codes: Material/Abstract, Static/Dynamic, Elementary/Complex, Ordered/Fluid.
-ARCHETYPES = ["".join(x) for x in product("MA", "SD", "EC", "OF")]
-#: Their priorities, in that order.
-PRIORITIES = dict(zip(ARCHETYPES, [3, 2, 4, 3, 3, 4, 5, 5, 4, 3, 5, 4, 5, 2, 5, 4]))
+#: The sixteen archetypes (Material/Abstract, Static/Dynamic, Elementary/Complex, Ordered/Fluid) in the order in
+#: which they win, with priority and keywords.
+ARCHETYPE_ROWS = [
+    ("MSEO", "Crystal", 3, "структура порядок решётка форма симметрия structure order lattice form symmetry"),
+    ("MSEF", "Sand", 2, "частицы рассеяние хаос зерно порошок particles scatter chaos grain powder"),
+    ("MSCO", "Building", 4, "здание конструкция архитектура инфраструктура building construction architecture infrastructure"),
+    ("MSCF", "Forest", 3, "экосистема природа биом ландшафт ecosystem nature biome landscape"),
+    ("MDEO", "Mechanism", 3, "механизм шестерня рычаг привод движение mechanism gear lever drive motion"),
+    ("MDEF", "Organism", 4, "организм клетка бактерия адаптация жизнь organism cell bacteria adaptation life"),
+    ("MDCO", "Machine", 5, "машина двигатель система технология автомат machine engine system technology automaton"),
+    ("MDCF", "City", 5, "город транспорт население урбанизация сеть city transport population urbanization network"),
+    ("ASEO", "Axiom", 4, "аксиома принцип закон теорема постулат axiom principle law theorem postulate"),
+    ("ASEF", "Archetype", 3, "архетип образ символ прообраз паттерн archetype image symbol prototype pattern"),
+    ("ASCO", "Theory", 5, "теория модель концепция фреймворк наука theory model concept framework science"),
+    ("ASCF", "Culture", 4, "культура традиция ценности норма менталитет culture tradition values norm mentality"),
+    ("ADEO", "Algorithm", 5, "алгоритм процедура шаг инструкция протокол algorithm procedure step instruction protocol"),
+    ("ADEF", "Intuition", 2, "интуиция чувство инсайт эмоция спонтанность intuition feeling insight emotion spontaneity"),
+    ("ADCO", "Program", 5, "программа система код архитектура платформа program system code architecture platform"),
+    ("ADCF", "Society", 4, "общество социум сообщество движение политика society community movement politics social"),
+]
+ARCHETYPES = [code for code, *_ in ARCHETYPE_ROWS]
+PRIORITIES = {code: priority for code, _, priority, _ in ARCHETYPE_ROWS}
+KEYWORDS = {code: words.split() for code, _, _, words in ARCHETYPE_ROWS}
+
+
+def archetype_table(spark: SparkSession) -> DataFrame:
+    """ord, code, name, priority, keywords, quadrant, bits (material, dynamic, complex, ordered) and hex_id, the bits' number."""
+    rows = [(i, code, name, priority, words.split()) for i, (code, name, priority, words) in enumerate(ARCHETYPE_ROWS)]
+    out = spark.createDataFrame(rows, "ord int, code string, name string, priority int, keywords array<string>")
+    bits = F.array(*[(F.substring("code", i + 1, 1) == x).cast("int") for i, x in enumerate("MDCO")])
+    number = sum((F.shiftleft(F.get("bits", F.lit(i)), i) for i in range(1, 4)), F.get("bits", F.lit(0)))
+    return out.withColumn("quadrant", F.substring("code", 1, 2)).withColumn("bits", bits).withColumn("hex_id", number)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,14 +60,27 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def following(rows: DataFrame, steps: tuple[int, ...], width: int = 4096) -> DataFrame:
+    """id, other: each row (id, topic) and those that come so many steps later among the rows of its topic, by id.
+
+    Rows are numbered within ranges of `width` ids and the numbers of a topic's ranges added up, so that no task has to sort
+    a whole topic.
+    """
+    ranged = rows.select("id", "topic", F.floor(F.col("id") / width).alias("r"))
+    counts = ranged.groupBy("topic", "r").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(W.partitionBy("topic").orderBy("r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy("topic", "r").orderBy("id"))
+    numbered = ranged.withColumn("own", own).join(counts.select("topic", "r", before.alias("before")), ["topic", "r"]).select("id", "topic", (F.col("own") + F.col("before")).alias("n"))
+    ahead = numbered.select("id", "topic", F.explode(F.array(*[F.col("n") + s for s in steps])).alias("n"))
+    return ahead.join(numbered.withColumnRenamed("id", "other"), ["topic", "n"]).select("id", "other")
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, target, weight, directed: each vector to the 1st, 2nd, 3rd and 5th next one of its topic."""
     from ..functions import vectors
 
     n = nodes(spark, sf_dir).select("id", "topic", "embedding")
-    ordered = W.partitionBy("topic").orderBy("id")
-    steps = F.array(*[F.lead(F.col("id"), k).over(ordered) for k in (1, 2, 3, 5)])
-    pairs = n.select("id", steps.alias("t")).select(F.col("id").alias("source"), F.explode("t").alias("target")).where("target is not null")
+    pairs = following(n.select("id", "topic"), (1, 2, 3, 5)).select(F.col("id").alias("source"), F.col("other").alias("target"))
     v = n.select("id", "embedding")
     pairs = pairs.join(v.select(F.col("id").alias("source"), F.col("embedding").alias("a")), "source").join(v.select(F.col("id").alias("target"), F.col("embedding").alias("b")), "target")
     return pairs.select("source", "target", ((vectors.cosine(F.col("a"), F.col("b")) + 1) / 2).alias("weight"), (F.col("source") % 2 == 0).alias("directed"))
