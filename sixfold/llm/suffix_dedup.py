@@ -31,8 +31,8 @@ from .common import Scratch, column, shuffle_partitions, stored, table, utf8, wi
 SPAN, PASSAGE, GRAM, SHORT_GRAM = 400, 250, 150, 50
 #: Bytes of contexts dealt to a task, and refined at once; contexts beyond which a bucket is dealt out by longer q-grams.
 TASK_BYTES, REFINED_BYTES, LARGE = 4_000_000, 600_000, 4000
-#: Spans to read or remove, and buckets, that may be broadcast (40 bytes each at most); beyond, the join is shuffled.
-BROADCAST_SPANS = 1_500_000
+#: Spans to read or remove, and buckets, that may be broadcast (40 bytes each); beyond, so with all but small inputs, the join is shuffled.
+BROADCAST_SPANS = 100_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(400).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
