@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from .common import column, stored, table
 from .training import held_out, labelled_sample
 
-#: Most documents and words of each that the field is fitted on.
+#: Most documents that the field is fitted on, and words of each, from a place that a hash of its id gives. Only fitting is bounded.
 SAMPLE, WINDOW = 6000, 48
 BUCKETS = 1 << 16
 #: Words of the sample that make the lexicon, by frequency.
 LEXICON = 4000
-#: Words of one chain in training and prediction.
+#: Words of one chain in training, and of a block in prediction; blocks of a text pass their messages on.
 CHAIN = 64
 #: Words whose emissions a task remembers.
 REMEMBERED = 400_000
@@ -43,18 +43,23 @@ def words_of(text: str | None) -> list[str]:
 def word_features(word: str, lexicon: set[str]) -> list[int]:
     edged = f"^{word}$"
     names = [f"p{n}{word[:n]}" for n in (1, 2, 3)] + [f"s{n}{word[-n:]}" for n in (1, 2, 3)]
-    names += ["t" + edged[i : i + 3] for i in range(min(len(edged) - 2, 12))]
+    names += ["t" + edged[i : i + 3] for i in range(len(edged) - 2)]
     names.append("w" + word if word in lexicon else "unlisted")
     return [zlib.crc32(x.encode()) % BUCKETS for x in names]
 
 
-def forward_backward(emit: np.ndarray, mask: np.ndarray, start: np.ndarray, move: np.ndarray, pairs: bool = False):
-    """Marginals [chain, place, label] of padded chains, and the expected transitions [label, label] if asked for."""
+def forward_backward(emit: np.ndarray, mask: np.ndarray, start: np.ndarray, move: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None):
+    """Marginals [chain, place, label] of padded chains, and the expected transitions [label, label] if asked for.
+
+    before, after [chain, label]: what comes into a chain's first place instead of start, and back into its last place.
+    """
     chains, places, n = emit.shape
     phi = np.exp(emit - emit.max(axis=2, keepdims=True))
     step = np.exp(move - move.max())
     alpha, beta = np.empty_like(phi), np.ones_like(phi)
-    now = phi[:, 0] * np.exp(start - start.max())
+    now = phi[:, 0] * (np.exp(start - start.max()) if before is None else before)
+    if after is not None:
+        beta[:, -1] = after
     alpha[:, 0] = now / now.sum(axis=1, keepdims=True)
     for t in range(1, places):
         now = (alpha[:, t - 1] @ step) * phi[:, t]
@@ -74,6 +79,33 @@ def forward_backward(emit: np.ndarray, mask: np.ndarray, start: np.ndarray, move
     return marginal, expected
 
 
+def block_messages(emit: np.ndarray, mask: np.ndarray, text: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What comes into each block's first and last place from the rest of its text; text: that of each block, ascending."""
+    blocks, places, n = emit.shape
+    phi, step = np.exp(emit - emit.max(axis=2, keepdims=True)), np.exp(move - move.max())
+    first, last = np.concatenate([[True], text[1:] != text[:-1]]), np.concatenate([text[1:] != text[:-1], [True]])
+    # through[b, i, j]: from label i before the block (at its first place, in a text's first block) to j at its last one.
+    through = np.where(first[:, None, None], np.eye(n)[None], step[None]) * phi[:, 0][:, None, :]
+    for t in range(1, places):
+        now = (through @ step) * phi[:, t][:, None, :]
+        through = np.where(mask[:, t, None, None], now / np.maximum(now.sum(axis=(1, 2), keepdims=True), 1e-300), through)
+    begin = np.exp(start - start.max())
+    ahead, back = np.tile(begin / begin.sum(), (blocks, 1)), np.ones((blocks, n))
+    number = np.arange(blocks) - np.flatnonzero(first)[np.cumsum(first) - 1]
+    order = np.argsort(number, kind="stable")  # the first blocks of all texts, then the second ones
+    cuts = np.searchsorted(number[order], np.arange(number.max(initial=0) + 2))
+    levels = [order[a:b] for a, b in zip(cuts, cuts[1:])]
+    for at in levels:
+        at = at[~last[at]]
+        now = (ahead[at][:, None, :] @ through[at])[:, 0]
+        ahead[at + 1] = now / np.maximum(now.sum(axis=1, keepdims=True), 1e-300)
+    for at in levels[::-1]:
+        at = at[~first[at]]
+        now = (through[at] @ back[at][:, :, None])[:, :, 0]
+        back[at - 1] = now / np.maximum(now.sum(axis=1, keepdims=True), 1e-300)
+    return np.where(first[:, None], ahead, ahead @ step), back
+
+
 class Field:
     """Weights of a linear-chain field; fit() learns them by Adagrad on the log likelihood of spliced chains."""
 
@@ -162,7 +194,7 @@ class Labeller:
         return self._means(np.concatenate(emits), np.array(lengths))
 
     def _means(self, emit: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """A text is cut to chains of CHAIN words."""
+        """A text is laid out in blocks of CHAIN words."""
         chains = -(-lengths // CHAIN)
         first = np.concatenate([[0], np.cumsum(chains)[:-1]])
         text = np.repeat(np.arange(len(lengths)), lengths)
@@ -170,15 +202,18 @@ class Labeller:
         after = lengths[text] - 1 - before
         slot = first[text] * CHAIN + before
         total, width = int(chains.sum()), emit.shape[1]
+        owner = np.repeat(np.arange(len(lengths)), chains)
         sums, words = np.zeros((len(lengths), len(REGIONS), width)), np.zeros((len(lengths), len(REGIONS)))
+        padded, mask = np.zeros((total * CHAIN, width), np.float32), np.zeros(total * CHAIN, bool)
+        padded[slot], mask[slot] = emit, True
+        padded, mask = padded.reshape(-1, CHAIN, width), mask.reshape(-1, CHAIN)
+        start, move = self.field.start, self.field.move
+        ahead, back = block_messages(padded, mask, owner, start, move)
         for lo in range(0, total, 4096):  # bounded memory for very long texts
             a, b = np.searchsorted(slot, [lo * CHAIN, (lo + 4096) * CHAIN])
-            padded = np.zeros(((min(total, lo + 4096) - lo) * CHAIN, width))
-            mask = np.zeros(len(padded), bool)
-            place = slot[a:b] - lo * CHAIN
-            padded[place], mask[place] = emit[a:b], True
-            marginal, _ = forward_backward(padded.reshape(-1, CHAIN, width), mask.reshape(-1, CHAIN), self.field.start, self.field.move)
-            marginal = marginal.reshape(-1, width)[place]
+            part = slice(lo, lo + 4096)
+            marginal, _ = forward_backward(padded[part], mask[part], start, move, before=ahead[part], after=back[part])
+            marginal = marginal.reshape(-1, width)[slot[a:b] - lo * CHAIN]
             for k, (at_end, lowest, highest) in enumerate(REGIONS):
                 where = (after if at_end else before)[a:b]
                 inside = slice(None) if lowest == 0 and highest is None else np.flatnonzero((where >= lowest) & (where < highest))

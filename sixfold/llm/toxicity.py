@@ -28,6 +28,8 @@ LEXICONS, MOST_ENTRIES = 16, 400
 LEAST_POSITIVE, LEAST_SHARE = 3, 0.8
 #: Columns of the classifier at most, the penalty that chooses among them and the one on their weights.
 COLUMNS, L1, L2 = 12_000, 3e-4, 2e-5
+#: Documents without labels, at most, on which the label model and the classifier are fitted too.
+UNLABELLED = 12_000
 ABSTAIN, NO, YES = 0, 1, 2
 _WORD = re.compile(r"\w+")
 
@@ -161,7 +163,12 @@ def vote(rows: Rows, names: list[str], chosen: list[int]) -> np.ndarray:
 
 
 class ToxicityModel:
-    """names: the terms that may matter; lists: those of each sampled document; counts: of positive and negative documents."""
+    """names: the terms that may matter; lists: those of each sampled document; labels: 1, 0, or -1 where none is known;
+    counts: of positive and negative documents.
+
+    Labels fill the lexicons only. The label model and the classifier see the votes on all documents, most of which have
+    no label.
+    """
 
     def __init__(self, names: list[str], lists: list[np.ndarray], labels: np.ndarray, positive: np.ndarray, negative: np.ndarray):
         rows = Rows(lists)
@@ -208,21 +215,24 @@ def _chosen_terms(names: list[str]):
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, use=None, label: str = "toxic", limit: int = SAMPLE) -> ToxicityModel:
-    """Learns from at most `limit` labelled documents, each different text once.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, use=None, label: str = "toxic", limit: int = SAMPLE, unlabelled: int = UNLABELLED) -> ToxicityModel:
+    """Learns from at most `limit` labelled documents and `unlabelled` others of `use`, each different text once.
 
     Tasks count the terms; the driver gets the COLUMNS whose positive counts are furthest from chance.
     """
-    sample = labelled_sample(docs, labels, label, F.lit(True) if use is None else use, limit)
-    sample = stored(sample.select("text", F.col("label").cast("int").alias("label")).dropDuplicates(["text"]), "toxicity-sample")
-    n, ones = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    use = F.lit(True) if use is None else use
+    sample = labelled_sample(docs, labels, label, use, limit).select("text", F.col("label").cast("int").alias("label"))
+    more = labelled_sample(docs, docs.select("doc_id", F.lit(0).alias("none")), "none", use, unlabelled).select("text", F.lit(None).cast("int").alias("label"))
+    sample = stored(sample.unionByName(more).groupBy("text").agg(F.max("label").alias("label")), "toxicity-sample")
+    known = sample.where("label is not null")
+    n, ones = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     rate = min(0.999, max(0.001, ones / max(1, n)))
-    counts = sample.mapInArrow(_count, "term string, positive long, negative long").groupBy("term").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+    counts = known.mapInArrow(_count, "term string, positive long, negative long").groupBy("term").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
     total = F.col("positive") + F.col("negative")
     strength = F.abs(F.col("positive") - total * rate) / F.sqrt(total * rate * (1 - rate))
     top = counts.where(total >= LEAST_POSITIVE).orderBy(strength.desc(), "term").limit(COLUMNS).toArrow()
     names = top.column("term").to_pylist()
-    got = sample.mapInArrow(_chosen_terms(names), "label int, at array<int>").toArrow()
+    got = sample.select("text", F.coalesce("label", F.lit(-1)).alias("label")).mapInArrow(_chosen_terms(names), "label int, at array<int>").toArrow()
     lists = [np.array(x.values, np.int32) for x in got.column("at")]
     return ToxicityModel(names, lists, np.array(got.column("label"), np.int64), np.array(top.column("positive")), np.array(top.column("negative")))
 

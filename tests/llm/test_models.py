@@ -143,3 +143,29 @@ def test_hash_sample(spark):
     want = [r.doc_id for r in df.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id").limit(500).collect()]
     assert [r.doc_id for r in training.hash_sample(df, 500, "doc_id").collect()] == want
     assert training.hash_sample(df.limit(7), 500, "doc_id").count() == 7 and training.hash_sample(df.limit(0), 5, "doc_id").count() == 0
+
+
+def test_blocks_pass_messages(monkeypatch):
+    """Marginals of texts laid out in short blocks are those of whole chains."""
+    rng = np.random.default_rng(6)
+    field = langid.Field(["a", "b", "c"], set())
+    field.start, field.move = rng.normal(size=3), rng.normal(size=(3, 3)) * 2
+    lengths = np.array([1, 4, 5, 0, 23, 8, 130])
+    emit = rng.normal(size=(lengths.sum(), 3)).astype(np.float32)
+    found = []
+    for chain in (4, 1000):
+        monkeypatch.setattr(langid, "CHAIN", chain)
+        found.append(langid.Labeller(field)._means(emit, lengths))
+    assert np.allclose(*found, atol=1e-9)
+
+
+def test_unlabelled(spark):
+    """The label model sees documents without labels too, and finds those that hold an entry."""
+    rng = np.random.default_rng(7)
+    plain = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*rng.choice(plain, 30), *([["vileword"], ["badword"]][i % 2] if i % 5 == 0 else [])])) for i in range(1500)]
+    labels = [(i, int(i % 5 == 0)) for i in range(300)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    q = model.label_model.posterior
+    assert len(q) == 1500 and abs((q > 0.5).sum() - 300) <= 15
+    assert model.score("w1 w2 vileword w3") > 0.7 > model.score("w1 w2 w3 w4")
