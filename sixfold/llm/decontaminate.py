@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, stored, table
+from .common import ascii_lower, let, stored, table, with_group
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Distinct benchmark windows that may be broadcast (some 100 bytes each); beyond, the join is shuffled.
@@ -118,8 +118,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     each = candidates.select("row", "doc_id", "n_words", F.explode_outer("c").alias("c")).select("row", "doc_id", "n_words", "c.n", "c.at", "c.words")
     windows = windows.select("n", "words", "items")
     if sum(sizes.values()) <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
-    hits = each.join(windows, ["n", "words"], "left").groupBy("row").agg(
+        met = each.join(F.broadcast(windows), ["n", "words"], "left")
+    else:  # a window that very many documents hold goes apart from the others
+        each = stored(each, "benchmark-candidates")
+        often = each.where("words is not null").groupBy("n", "words").agg(F.count("*").alias("size"))
+        met = with_group(each, windows.join(often, ["n", "words"]), ["n", "words"], "size")
+    hits = met.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").cast("long").alias("n_words"),
         F.array_sort(F.collect_set(F.when(F.col("items").isNotNull(), F.struct("at", "n")))).alias("spans"),

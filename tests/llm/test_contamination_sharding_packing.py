@@ -6,7 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
+from sixfold.llm import decontaminate
 from sixfold.llm.decontaminate import contamination
 from sixfold.llm.packing import LENGTH, Ids, Levels, pack
 from sixfold.llm.sharding import Ranges, shard
@@ -18,7 +20,9 @@ def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
 
 
-def test_contamination(docs, clashing, nothing, items, texts):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_contamination(docs, clashing, nothing, items, texts, broadcast, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
     wins = {}
     for r in items.collect():
         w = words(r.text)
@@ -69,6 +73,14 @@ def test_shards(docs, clashing, nothing, texts):
         for r in rows:
             by_text.setdefault((r.text_crc32, r["size"]), set()).add(r.shard)
         assert all(len(s) == 1 for s in by_text.values())
+        held, group = Counter(), Counter()
+        for r in rows:
+            held[r.shard] += r["size"]
+            group[r.text_crc32, r["size"]] += r["size"]
+        # A shard with a group as large as an equal share may be larger; the others differ by one ordinary group at most.
+        large = {next(iter(by_text[k])) for k, n in group.items() if n >= sum(held.values()) / 6}
+        rest = [n for k, n in held.items() if k not in large]
+        assert max(rest) - min(rest) <= max(n for n in group.values() if n < sum(held.values()) / 6)
     assert shard(nothing, 6).count() == 0
 
 
