@@ -5,24 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors
+
 TOKEN = r"[а-яёa-z0-9]+"
+#: What a token counts that a phrase only holds, or that holds a phrase, and the factor of the fallback's seed.
+HELD, SEED_FACTOR = 0.6, 2654435761
+#: Phrases of a vocabulary, at most, among which such tokens are looked for; they go to every task as one array.
+MOST_PHRASES = 2000
 
 
-def embed(texts: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
+def embed(texts: DataFrame, key: str, vocabulary: DataFrame, partly: bool = False) -> DataFrame:
     """key, hits, v: the weighted mean of the phrases found, made a unit vector; null without a hit.
 
     At each token the longest phrase of three, two or one tokens counts its size (at a text's end a shorter one counts
     the size it was looked up with, so the last tokens weigh up to three).
+
+    partly: a token without a phrase counts HELD for the first phrase (by ord) that holds it or that it holds, and a text
+    without any hit gets a vector of six numbers that its characters seed.
     """
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
     at = texts.select(key, tokens.alias("w")).select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")).where("size(w) > 0")
     tries = F.array(*[F.struct(F.lit(n).alias("size"), F.array_join(F.slice("w", F.col("i"), n), " ").alias("phrase")) for n in (3, 2, 1)])
     looked = at.select(key, "i", F.explode(tries).alias("t")).select(key, "i", "t.size", "t.phrase")
-    found = looked.join(vocabulary.select("phrase", "v"), "phrase").groupBy(key, "i").agg(F.max(F.struct("size", "v")).alias("best"))
+    found = looked.join(vocabulary.select("phrase", "v"), "phrase").select(key, "i", F.col("size").cast("double").alias("size"), "v")
+    if partly:
+        few = vocabulary.orderBy("ord").limit(MOST_PHRASES).agg(F.array_sort(F.collect_list(F.struct("ord", "phrase", "v"))).alias("phrases"))
+        token = F.get("w", F.col("i") - 1)
+        held = at.join(F.broadcast(few), F.lit(True)).select(key, "i", F.get(F.filter("phrases", lambda p: F.contains(p["phrase"], token) | F.contains(token, p["phrase"])), F.lit(0)).alias("p"))
+        found = found.unionByName(held.where("p is not null").select(key, "i", F.lit(HELD).alias("size"), F.col("p.v").alias("v")))
+    found = found.groupBy(key, "i").agg(F.max(F.struct("size", "v")).alias("best"))
     parts = found.select(key, "i", "best.size", F.posexplode("best.v").alias("k", "x"))
     sums = parts.groupBy(key, "k").agg((F.sum(F.col("x") * F.col("size")) / F.sum("size")).alias("m"), F.count("*").alias("hits"))
     v = F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"])
     out = sums.groupBy(key).agg(F.max("hits").alias("hits"), v.alias("v"))
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     unit = F.transform(F.array(F.when(size == 0, F.lit(1.0)).otherwise(size)), lambda n: F.transform("v", lambda x: x / n))[0]
-    return texts.select(key).join(out, key, "left").select(key, F.coalesce("hits", F.lit(0)).alias("hits"), unit.alias("v"))
+    if not partly:
+        return texts.select(key).join(out, key, "left").select(key, F.coalesce("hits", F.lit(0)).alias("hits"), unit.alias("v"))
+    total = F.aggregate(F.filter(F.split(F.lower("text"), ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c))
+    seed = ((total % (1 << 31)) * (SEED_FACTOR % (1 << 32))).bitwiseAND(F.lit(vectors.MASK))
+    own = texts.select(key, vectors.normalize(vectors.generated(seed)).alias("own"))
+    return own.join(out, key, "left").select(key, F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce(unit, F.col("own")).alias("v"))

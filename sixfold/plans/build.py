@@ -125,21 +125,18 @@ def map_upsert(spark, sf_dir):
     return build.upsert(n.where("id % 3 <> 0"), new.select("id", "x.at", "x.label"), order="at")
 
 
-def _built(spark, sf_dir):
-    return build.build(coded(spark, sf_dir).drop("topic"), edges(spark, sf_dir))
-
-
 @query()
 def map_communities(spark, sf_dir):
     """The communities of a whole build, after their nodes' votes, with all signatures."""
-    c = _built(spark, sf_dir).communities
+    n, e = g.cut(coded(spark, sf_dir)), g.cut(edges(spark, sf_dir))
+    c = build.signatures(n, e, g.cut(g.label_propagation(e, g.membership(n))))
     return c.select("community", "n_nodes", "short_label", "hex_id", "n_edges", "skeleton", F.col("tangram.shape").alias("shape"), F.transform(build.signature_vector(), lambda x: F.round(x, 5)).alias("signature"))
 
 
 @query()
 def map_summary(spark, sf_dir):
     """Counts, modularity and the shapes of a whole build."""
-    s = build.summary(_built(spark, sf_dir))
+    s = build.summary(build.build(coded(spark, sf_dir).drop("topic"), edges(spark, sf_dir)))
     return s.withColumn("modularity", F.round("modularity", 6)).withColumn("shapes", F.to_json("shapes"))
 
 
