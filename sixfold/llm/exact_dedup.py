@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, column, shuffle_partitions, stored, table, with_group
+from .common import ascii_lower, column, light, shuffle_partitions, stored, table, with_group
 
 #: Fingerprints are log2(rows) + SPARE_BITS long, so that about one row in 2^SPARE_BITS is suspected wrongly.
 SPARE_BITS = 8
@@ -121,13 +121,13 @@ def suspect_fingerprints(prints: DataFrame, bits: int, rows: int) -> DataFrame:
     spark = prints.sparkSession
     owner_bits = min(bits - 1, max(1, math.ceil(math.log2(max(shuffle_partitions(spark), rows / OWNER_ROWS)))))
     width = bits - owner_bits
-    messages = stored(prints.select("fp").mapInArrow(_send(width), MESSAGE), "golomb-messages")
+    messages = stored(prints.select("fp").mapInArrow(light(_send(width)), MESSAGE), "golomb-messages")
     answers = (
         messages.select("sender", "owner", "n", "k", "unary", "remainders")
         .repartition(1 << owner_bits, "owner")
-        .mapInArrow(_answer(width), "sender long, owner int, marks binary")
+        .mapInArrow(light(_answer(width)), "sender long, owner int, marks binary")
     )
-    return messages.join(answers, ["sender", "owner"]).mapInArrow(_suspects(width), "fp long").distinct()
+    return messages.join(answers, ["sender", "owner"]).mapInArrow(light(_suspects(width)), "fp long").distinct()
 
 
 def exact_dedup(docs: DataFrame, normalise=ascii_lower) -> DataFrame:

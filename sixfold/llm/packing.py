@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, stored, table, tokenizer_path
+from .common import column, light, stored, table, tokenizer_path
 
 LENGTH = 1024
 END = (0).to_bytes(4, "little")
@@ -65,10 +65,6 @@ class Ids:
         return [np.array(self.encode(x), "<u4").tobytes() for x in texts]
 
 
-#: By tokenizer file; a Python worker keeps it from one task to the next.
-_WORKER: dict[str, Ids] = {}
-
-
 class Levels:
     """Open windows by their fill. counts[0] stands for windows not yet begun and stays 0."""
 
@@ -170,9 +166,7 @@ class Packing:
 
 def _pack_texts(path: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _WORKER:
-            _WORKER[path] = Ids(path)
-        ids_of, packing = _WORKER[path], Packing(length, TaskContext.get().partitionId() << 36)
+        ids_of, packing = Ids(path), Packing(length, TaskContext.get().partitionId() << 36)
         for batch in batches:
             docs, texts = column(batch, "doc_id"), column(batch, "text")
             for lo in range(0, len(docs), 256):
@@ -210,9 +204,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
     """
     path = tokenizer or tokenizer_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = stored(docs.mapInArrow(_pack_texts(path, length), SCHEMA + ", ids binary"), "packing")
+    first = stored(docs.mapInArrow(light(_pack_texts(path, length)), SCHEMA + ", ids binary"), "packing")
     left = first.where("sequence_id is null").select("doc_id", "start", "ids", "doc_tokens")
-    left = left.coalesce(max(1, left.rdd.getNumPartitions() // CARRIED)).mapInArrow(_pack_pieces(length), SCHEMA + ", ids binary")
+    left = left.coalesce(max(1, left.rdd.getNumPartitions() // CARRIED)).mapInArrow(light(_pack_pieces(length)), SCHEMA + ", ids binary")
     return first.where("sequence_id is not null").unionByName(left).drop("ids")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, table, utf8
+from .common import column, light, table, utf8
 from .training import SAMPLE, Rows, fit_hinge, fit_sigmoid, held_out, labelled_sample, sigmoid, with_score
 
 BUCKETS = 1 << 18
@@ -110,7 +110,7 @@ class QualityModel:
 def fit_quality(docs: DataFrame, labels: DataFrame, use=None, label: str = "quality", limit: int = SAMPLE) -> QualityModel:
     """Learns from at most `limit` labelled documents."""
     sample = labelled_sample(docs, labels, label, F.lit(True) if use is None else use, limit)
-    sample = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(_features, "label int, at array<int>")
+    sample = sample.select("text", F.col("label").cast("int").alias("label")).mapInArrow(light(_features), "label int, at array<int>")
     got = sample.toArrow()
     lists = [np.array(x.values, np.int32) for x in got.column("at")]
     return QualityModel(lists, np.array(got.column("label"), np.int64))

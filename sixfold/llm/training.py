@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import light
+
 #: Most labelled documents that a model is fitted on.
 SAMPLE = 12_000
 
@@ -52,7 +54,7 @@ def with_score(docs: DataFrame, model, of: Callable[[object, pa.RecordBatch], li
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of(shared.value, b), pa.float64())], names=[*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(light(run), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 class Rows:
