@@ -169,3 +169,42 @@ def test_unlabelled(spark):
     q = model.label_model.posterior
     assert len(q) == 1500 and abs((q > 0.5).sum() - 300) <= 15
     assert model.score("w1 w2 vileword w3") > 0.7 > model.score("w1 w2 w3 w4")
+
+
+def test_paragraphs(spark):
+    """Wrapped notices, repeated rows and lines, very long lines, and columns that clash with names used inside."""
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 900, n))
+    wrapped = "Permission is hereby\ngranted, free of charge, to any\nperson obtaining a copy of\nthis software, to deal in the\nSoftware without restriction."
+    long = f"{prose(30_000)} Licensed under the Apache License, Version 2.0. {prose(3000)}"
+    rows = [(1, f"{prose(9)}\n{wrapped}\n{prose(9)}"), (2, "Released under the MIT License.\nReleased under the MIT License."), (2, "Released under the MIT License.\nReleased under the MIT License."), (3, long), (4, prose(50)), (None, "All rights reserved.")]
+    docs = spark.createDataFrame([(i, t, *[0] * 6) for i, t in rows], "doc_id long, text string, line int, row int, gram int, cue int, known int, lines int")
+    got = licenses.scan(docs, licenses.fit_licenses(docs)).collect()
+    own = [r for r in got if r.doc_id == 1]
+    assert {r.family for r in own} == {"mit"} and sum(r.lines for r in own) >= 3 and max(r.lines for r in own) >= 2
+    assert sorted((r.line_no, r.family) for r in got if r.doc_id == 2) == [(0, "mit"), (0, "mit"), (1, "mit"), (1, "mit")]
+    assert [r.family for r in got if r.doc_id == 3] in (["apache-2.0"], ["unknown"])
+    assert [r.family for r in got if r.doc_id is None] == ["proprietary"] and not [r for r in got if r.doc_id == 4]
+
+
+def test_bound_loses_none(spark):
+    """No line that a family is sure of stays below the bound of its words."""
+    rng = np.random.default_rng(10)
+    model = licenses.LicenseModel([" ".join(f"w{x}" for x in rng.integers(0, 50, 12)) for _ in range(400)])
+    words = sorted({w for g in model.weights for w in g.split(" ")})
+    for _ in range(3000):
+        line = [str(x) for x in rng.choice(words, rng.integers(1, 12))]
+        if rng.random() < 0.7:
+            template = licenses.tokens(rng.choice([t for ts in licenses.TEMPLATES.values() for t in ts]))
+            a = int(rng.integers(len(template)))
+            line = template[a : a + int(rng.integers(1, 9))] + line[:3]
+        margin = np.array(model.bias) + sum((np.array(model.weights[g]) for g in licenses.grams(line) if g in model.weights), np.zeros(len(model.bias)))
+        if (margin >= np.array(model.need)).any():
+            assert sum(model.charge.get(w, 0.0) for w in set(line)) >= 0.999999
+
+
+def test_clashing_language(clashing, docs):
+    """Further columns with names used inside change nothing."""
+    field = langid.Field.learned([["the", "house"] * 8, ["der", "tag"] * 8] * 6, ["en", "de"] * 6)
+    plain = sorted(map(repr, langid.identify(docs, field).collect()))
+    assert plain == sorted(map(repr, langid.identify(clashing, field).collect()))
