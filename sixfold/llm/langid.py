@@ -87,7 +87,7 @@ def block_messages(emit: np.ndarray, mask: np.ndarray, text: np.ndarray, start:
     # through[b, i, j]: from label i before the block (at its first place, in a text's first block) to j at its last one.
     through = np.where(first[:, None, None], np.eye(n)[None], step[None]) * phi[:, 0][:, None, :]
     for t in range(1, places):
-        now = (through @ step) * phi[:, t][:, None, :]
+        now = (through.reshape(-1, n) @ step).reshape(blocks, n, n) * phi[:, t][:, None, :]
         through = np.where(mask[:, t, None, None], now / np.maximum(now.sum(axis=(1, 2), keepdims=True), 1e-300), through)
     begin = np.exp(start - start.max())
     ahead, back = np.tile(begin / begin.sum(), (blocks, 1)), np.ones((blocks, n))
