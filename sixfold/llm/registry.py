@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, licenses, packing, quality, sharding, simhash, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, langid, licenses, negatives, packing, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_language": langid.op8_language,
     "op9_licenses": licenses.op9_licenses,
     "op10_packing": packing.op10_packing,
+    "op11_negatives": negatives.op11_negatives,
 }
 ORACLES = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op11_negatives": negatives.OP11_SQL,
 }
