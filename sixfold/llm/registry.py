@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, licenses, negatives, packing, quality, sharding, simhash, suffix_dedup, toxicity
+from . import alignment, decontaminate, exact_dedup, langid, licenses, negatives, packing, quality, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_licenses": licenses.op9_licenses,
     "op10_packing": packing.op10_packing,
     "op11_negatives": negatives.op11_negatives,
+    "op12_alignment": alignment.op12_alignment,
 }
 ORACLES = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
