@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontaminate, exact_dedup, langid, licenses, negatives, packing, quality, sharding, simhash, suffix_dedup, toxicity
+from . import alignment, decontaminate, exact_dedup, langid, licenses, negatives, packing, quality, residual, sharding, simhash, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_negatives": negatives.op11_negatives,
     "op12_alignment": alignment.op12_alignment,
+    "op13_residual_packing": residual.op13_residual_packing,
 }
 ORACLES = {
     "op5_exact_dedup": exact_dedup.OP5_SQL,
