@@ -75,8 +75,9 @@ class Block:
         columns = self.columns_for(q)
         order = np.argsort(-np.abs(q), kind="stable")
         order = order[: np.count_nonzero(q)]
-        ends = np.stack([q * self.least, q * self.most])[:, order]
-        rest = [np.append(np.cumsum(x[::-1])[::-1], 0) for x in (ends.min(axis=0), ends.max(axis=0))]
+        exact = object if columns.dtype == np.int64 else np.int64  # bounds may need more than 64 bits where no score does
+        ends = np.stack([q.astype(exact) * self.least, q.astype(exact) * self.most])[:, order]
+        rest = [[*np.cumsum(x[::-1])[::-1].tolist(), 0] for x in (ends.min(axis=0), ends.max(axis=0))]
         q = q.astype(columns.dtype)
         first, last = (int(candidates[0]), int(candidates[-1]) + 1) if len(candidates) else (0, 0)
         whole = 2 * len(candidates) > last - first  # then columns are read as they lie, without picking candidates out
@@ -109,7 +110,7 @@ def among_best(k: int) -> Callable:
     """A row stays while its upper bound reaches the k-th best lower bound."""
 
     def keep(partial: np.ndarray, low, high) -> np.ndarray:
-        return partial >= _kth(partial, k) - (high - low) if len(partial) > k else np.ones(len(partial), bool)
+        return partial >= int(_kth(partial, k)) - (high - low) if len(partial) > k else np.ones(len(partial), bool)
 
     return keep
 
@@ -126,7 +127,7 @@ def among_windows(windows: list[tuple[int, int]], k: int) -> Callable:
         wanted = np.zeros(len(some), bool)
         for a, b in windows:
             sure = some[(some >= a - low) & (some <= b - high)]
-            a = max(a, _kth(sure, k) + low) if len(sure) >= k else a
+            a = max(a, int(_kth(sure, k)) + low) if len(sure) >= k else a
             wanted |= (some >= a - high) & (some <= b - low)
         inside[inside] = wanted
         return inside

@@ -33,7 +33,7 @@ def rows():
     rows = [(i, [float(np.float32(x + rng.gauss(0, 0.7))) for x in near[i % 4]], rng.choice([0, 0, 1, 2])) for i in range(150)]
     rows += [(200 + i, near[0], i % 3) for i in range(12)] + [rows[5], rows[5], (5, rows[5][1], 7)]  # ties and repeated rows
     rows += [(300, None, 1), (305, [1.0, None], 1), (310, [float("nan")] * 20, 1), (315, [float("inf")] * 20, 0), (None, near[1], 1), (320, near[1], None)]
-    rows += [(325, [], 1), (330, near[2][:7], 0), (335, near[3] + [1.0] * 3, 2), (340, [0.0] * 20, 0), (345, [3e4 * x for x in near[0]], 1), (350, [2e9 * x for x in near[0]], 1)]
+    rows += [(325, [], 1), (330, near[2][:7], 0), (335, near[3] + [1.0] * 3, 2), (340, [0.0] * 20, 0), (345, [3e4 * x for x in near[0]], 1), (350, [2e7 * x for x in near[0]], 1)]
     return rows
 
 
