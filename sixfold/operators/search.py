@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import q6, vectors
-from .nearest import cosine_topk
+from .code_index import CodeIndex, asked, build_index, candidates
 
 #: Words that name a domain in a question, in the order in which domains are tried, and the archetypes that go with it.
 BOOST_WORDS = {
@@ -87,29 +87,11 @@ def semantic_neighbors(seeds: DataFrame, nodes: DataFrame, top: int = 6) -> Data
     return ranked.where(F.col("rank") <= top).select("seed", "rank", "id")
 
 
-def _balls(queries: DataFrame, lsh: vectors.Projections, radius: int) -> DataFrame:
-    """queries with ball: the codes of the union of the query's balls."""
-    return queries.withColumn("ball", lsh.union_ball(F.col("v"), radius))
-
-
-def stage1_counts(queries: DataFrame, nodes: DataFrame, lsh: vectors.Projections, radius: int) -> DataFrame:
-    """query, n: how many nodes have a code in the union of the query's balls, from a table of 64 counts."""
+def stage1_counts(queries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """query, n: how many nodes have a code in the union of the query's balls, from a table of 64 counts. queries: see asked()."""
     per_code = nodes.groupBy("hex_id").agg(F.count("*").alias("k"))
-    asked = _balls(queries, lsh, radius).select("query", F.explode("ball").alias("hex_id"))
-    return asked.join(F.broadcast(per_code), "hex_id").groupBy("query").agg(F.sum("k").alias("n"))
-
-
-def node_candidates(queries: DataFrame, nodes: DataFrame, lsh: vectors.Projections, radius: int, most: int) -> DataFrame:
-    """query, id, score of the `most` best nodes with a code in the union of the query's balls, by cosine.
-
-    A query's codes are a mask of 64 bits, and query blocks meet node batches, which keep their best: neither the codes,
-    64 hot keys at any size, nor the pairs are shuffled.
-    """
-    bits = F.aggregate("ball", F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h)))
-    asked = _balls(queries, lsh, radius).select(F.col("query").alias("id"), vectors.normalize(F.col("v")).alias("v"), bits.alias("mask"))
-    known = nodes.select("id", vectors.normalize(F.col("embedding")).alias("v"), F.col("hex_id").alias("code"))
-    best = cosine_topk(asked, known, most, with_self=True, masked=True)
-    return best.select(F.col("id").alias("query"), F.col("other").alias("id"), F.col("similarity").alias("score"))
+    each = queries.select("query", F.explode("ball").alias("hex_id"))
+    return each.join(F.broadcast(per_code), "hex_id").groupBy("query").agg(F.sum("k").alias("n"))
 
 
 def boost(text: Column, archetype: Column, words: dict[str, list[str]] = BOOST_WORDS, archetypes: dict[str, list[str]] = BOOST_ARCHETYPES) -> Column:
@@ -124,15 +106,14 @@ def boost(text: Column, archetype: Column, words: dict[str, list[str]] = BOOST_W
     return out
 
 
-def community_candidates(queries: DataFrame, communities: DataFrame, lsh: vectors.Projections, radius: int, borders: DataFrame | None = None) -> DataFrame:
+def community_candidates(queries: DataFrame, communities: DataFrame, radius: int, borders: DataFrame | None = None) -> DataFrame:
     """query, community, score, distance: cosine with the community's signature, blended with distance and coverage.
 
-    queries: query, v, and text if archetypes count; communities: community, hex_id, and dominant_archetype then. borders
-    (a, b): neighbours of what the balls hold are candidates too, with a coverage of 0.1.
+    queries: as code_index.asked() gives them, with text if archetypes count; communities: community, hex_id, and
+    dominant_archetype then. borders (a, b): neighbours of what the balls hold are candidates too, with a coverage of 0.1.
     """
     few = communities.select("community", "hex_id", *[c for c in ("dominant_archetype", "ifs") if c in communities.columns])
-    asked = _balls(queries, lsh, radius).select("query", F.explode("ball").alias("hex_id"))
-    found = asked.join(F.broadcast(few.select("community", "hex_id")), "hex_id").select("query", "community", F.lit(False).alias("beside"))
+    found = queries.select("query", F.explode("ball").alias("hex_id")).join(F.broadcast(few.select("community", "hex_id")), "hex_id").select("query", "community", F.lit(False).alias("beside"))
     if borders is not None:
         both = borders.select("a", "b").unionByName(borders.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         beside = found.join(F.broadcast(both), F.col("community") == F.col("a")).select("query", F.col("b").alias("community"), F.lit(True).alias("beside"))
@@ -141,23 +122,25 @@ def community_candidates(queries: DataFrame, communities: DataFrame, lsh: vector
     bits = F.transform(q6.bits(F.col("hex_id")), lambda b: b.cast("double"))
     cosine = (vectors.cosine(vectors.padded(F.col("v")), bits) + 1) / 2
     extra = boost(F.col("text"), F.col("dominant_archetype")) if "text" in queries.columns and "dominant_archetype" in few.columns else F.lit(0.0)
-    steps = q6.hamming(q6.embed(F.col("v")), F.col("hex_id"))
-    cover = F.when(F.col("beside"), 0.1).otherwise(lsh.coverage(F.col("v"), F.col("hex_id"), radius))
+    steps = q6.hamming(F.col("own"), F.col("hex_id"))
+    cover = F.when(F.col("beside"), 0.1).otherwise(vectors.coverage(F.col("codes"), F.col("hex_id"), radius))
     nearness = (1 - steps / F.lit(7.0)) * 0.7 + cover * 0.3
     return found.select("query", "community", (F.least(F.lit(1.0), cosine + extra) * 0.6 + nearness * 0.4).alias("score"), steps.cast("double").alias("distance"))
 
 
-def ann(queries: DataFrame, nodes: DataFrame, communities: DataFrame, clusters: DataFrame, borders: DataFrame | None = None, k: int = 10, radius: int = 2, projections: int = 3) -> DataFrame:
+def ann(queries: DataFrame, nodes: DataFrame, communities: DataFrame, clusters: DataFrame, borders: DataFrame | None = None, k: int = 10, radius: int = 2, projections: int = 3, index: CodeIndex | None = None) -> DataFrame:
     """query, rank, kind, item, score: nodes and communities of stage one, the 2k best of them, with the clusters that
     hold such nodes, and of all these the k best. Communities go before nodes before clusters among equals.
 
-    If queries have ifs (coefficients of a border) and communities too, the communities among the 2k best are scored
-    again with how near these are.
+    index: one of the nodes that is there already, in either mode; else a "compat" one is built. If queries have ifs
+    (coefficients of a border) and communities too, the communities among the 2k best are scored again with how near
+    these are.
     """
-    lsh = vectors.Projections(projections)
+    index = index or build_index(nodes, vectors.Projections(projections))
+    queries = asked(queries, index.lsh, radius)
     kind = lambda df, item, n: df.select("query", F.lit(n).alias("kind"), F.col(item).cast("long").alias("item"), F.round("score", 6).alias("score"))
-    best = node_candidates(queries, nodes, lsh, radius, 2 * k)
-    first = kind(community_candidates(queries, communities, lsh, radius, borders), "community", 0).unionByName(kind(best, "id", 1))
+    best = candidates(index, queries, radius, 2 * k)
+    first = kind(community_candidates(queries, communities, radius, borders), "community", 0).unionByName(kind(best, "id", 1))
     order: list[Column] = [F.desc("score"), F.col("kind"), F.col("item")]
     by_query = W.partitionBy("query").orderBy(*order)
     top = first.withColumn("r", F.row_number().over(by_query)).where(F.col("r") <= 2 * k).drop("r")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import Projections
 from ..operators import borders as b
 from ..operators import graph as g
 from ..operators import search as s
+from ..operators.code_index import asked, build_index, candidates
 from ..sources.tables import edges, read
 from .borders import SQL_CURVES, communities
-from .cube import _CODE, _TURN, SQL_NODES, coded
+from .cube import _CODE, _TURN, SQL_LSH, SQL_NODES, coded
 from .graph import _DOMINANT, _EGO, _HYPER, _MEANS, SQL_GRAPH, members
 from .registry import query
 
@@ -87,10 +89,10 @@ def _queries(spark, sf_dir):
 @query(f"with {_STAGE} select query, kind, count(*) as n from s1 group by all")
 def ann_stage1(spark, sf_dir):
     """How many nodes (1) and communities (0) the first stage finds for each query."""
-    q, lsh = _queries(spark, sf_dir), Projections(3)
+    q = asked(_queries(spark, sf_dir), Projections(3), 2)
     c = g.cut(communities(spark, sf_dir))
-    found = s.community_candidates(q, c, lsh, 2, b.touching(c)).groupBy("query").agg(F.count("*").alias("n")).select("query", F.lit(0).alias("kind"), "n")
-    return found.unionByName(s.stage1_counts(q, coded(spark, sf_dir), lsh, 2).select("query", F.lit(1).alias("kind"), "n"))
+    found = s.community_candidates(q, c, 2, b.touching(c)).groupBy("query").agg(F.count("*").alias("n")).select("query", F.lit(0).alias("kind"), "n")
+    return found.unionByName(s.stage1_counts(q, coded(spark, sf_dir)).select("query", F.lit(1).alias("kind"), "n"))
 
 
 @query(f"""with {_STAGE}, {_EGO}, tt as (select query, kind, item, score from (select *, row_number() over (partition by query order by score desc, kind, item) as r from s1) where r <= 20),
@@ -102,6 +104,26 @@ def ann_search(spark, sf_dir):
     return s.ann(_queries(spark, sf_dir), coded(spark, sf_dir), c, g.ego_clusters(edges(spark, sf_dir)), b.touching(c))
 
 
+@query(f"""with {SQL_LSH}, q as (select id, v, codes from lsh where id % 100 = 0),
+s as (select q.id as query, n.id, round((list_cosine_similarity(q.v, n.v) + 1) / 2, 6) as score from q, lsh n where len(list_filter([1, 2, 3], lambda i: bit_count(xor(q.codes[i], n.codes[i])) <= 1)) > 0)
+select query, cast(rank as integer) as rank, id, score from (select *, row_number() over (partition by query order by score desc, id) as rank from s) where rank <= 10""")
+def ann_nodes_sound(spark, sf_dir):
+    """The ten best of the nodes whose code lies within one bit of the query's in some projection, both turned alike."""
+    n, lsh = coded(spark, sf_dir), Projections(3)
+    found = candidates(build_index(n, lsh, sound=True), asked(_queries(spark, sf_dir), lsh, 1), 1, 10)
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id")))
+    return ranked.select("query", "rank", "id", "score")
+
+
+@query(f"""with {_STAGE} select query, cast(rank as integer) as rank, item as id, score from (select *, row_number() over (partition by query order by score desc, item) as rank from ns) where rank <= 10""")
+def ann_nodes(spark, sf_dir):
+    """The ten best of the nodes whose stored code lies in the union of the query's balls."""
+    n, lsh = coded(spark, sf_dir), Projections(3)
+    found = candidates(build_index(n, lsh), asked(_queries(spark, sf_dir), lsh, 2), 2, 10)
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id")))
+    return ranked.select("query", "rank", "id", "score")
+
+
 #: Words of the tables' own languages, so that some questions name a domain.
 _BOOST_WORDS = {"technology": ["tion"], "science": ["ing"], "biology": ["the "]}
 _BOOST = "case " + " ".join("when " + " or ".join(f"contains(lower(text), '{w}')" for w in ws) + f" then case when list_contains({s.BOOST_ARCHETYPES[d] + ['MSCF', 'ASEO']!r}, dominant_archetype) then 0.15 else 0 end" for d, ws in _BOOST_WORDS.items()) + " else 0 end"
