@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from . import phrases
+from .graph import cut
+from .lookup import looked_up
 
 TOKEN = r"[а-яёa-z0-9]+"
 #: What a token counts that a phrase only holds, or that holds a phrase, and the factor of the fallback's seed.
 HELD, SEED_FACTOR = 0.6, 2654435761
-#: Phrases of a vocabulary, at most, among which such tokens are looked for; they go to every task as one array.
-MOST_PHRASES = 2000
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def embed(texts: DataFrame, key: str, vocabulary: DataFrame, partly: bool = False) -> DataFrame:
@@ -21,21 +26,34 @@ def embed(texts: DataFrame, key: str, vocabulary: DataFrame, partly: bool = Fals
     the size it was looked up with, so the last tokens weigh up to three).
 
     partly: a token without a phrase counts HELD for the first phrase (by ord) that holds it or that it holds, and a text
-    without any hit gets a vector of six numbers that its characters seed.
+    without any hit gets a vector of six numbers that its characters seed. Different tokens are looked up once, by the
+    automaton of phrases.partly(), whatever the vocabulary's size. A phrase stands once in the vocabulary; without partly
+    it needs no ord.
     """
-    tokens = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))
-    at = texts.select(key, tokens.alias("w")).select(key, "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i")).where("size(w) > 0")
-    tries = F.array(*[F.struct(F.lit(n).alias("size"), F.array_join(F.slice("w", F.col("i"), n), " ").alias("phrase")) for n in (3, 2, 1)])
-    looked = at.select(key, "i", F.explode(tries).alias("t")).select(key, "i", "t.size", "t.phrase")
-    found = looked.join(vocabulary.select("phrase", "v"), "phrase").select(key, "i", F.col("size").cast("double").alias("size"), "v")
+    if "ord" not in vocabulary.columns:
+        vocabulary = vocabulary.withColumn("ord", F.xxhash64("phrase"))
+    vocabulary = cut(vocabulary.select("phrase", F.col("ord").cast("long").alias("ord"), "v"))
+    ords = vocabulary.select("phrase", "ord")
+
+    def tries(w: Column) -> Column:
+        at = lambda i, n: F.struct(F.lit(n).alias("size"), F.array_join(F.slice(w, i + 1, n), " ").alias("phrase"))
+        return F.flatten(F.transform(w, lambda _, i: F.array(*[F.struct(i.alias("i"), at(i, n).alias("t")) for n in (3, 2, 1)])))
+
+    words = texts.select(key, tokens(F.col("text")).alias("w"))
+    looked = words.select(key, F.explode(F.transform(F.array("w"), tries)[0]).alias("x")).select(key, "x.i", F.col("x.t.size").alias("size"), F.col("x.t.phrase").alias("phrase"))
     if partly:
-        few = vocabulary.orderBy("ord").limit(MOST_PHRASES).agg(F.array_sort(F.collect_list(F.struct("ord", "phrase", "v"))).alias("phrases"))
-        token = F.get("w", F.col("i") - 1)
-        held = at.join(F.broadcast(few), F.lit(True)).select(key, "i", F.get(F.filter("phrases", lambda p: F.contains(p["phrase"], token) | F.contains(token, p["phrase"])), F.lit(0)).alias("p"))
-        found = found.unionByName(held.where("p is not null").select(key, "i", F.lit(HELD).alias("size"), F.col("p.v").alias("v")))
-    found = found.groupBy(key, "i").agg(F.max(F.struct("size", "v")).alias("best"))
-    parts = found.select(key, "i", "best.size", F.posexplode("best.v").alias("k", "x"))
-    sums = parts.groupBy(key, "k").agg((F.sum(F.col("x") * F.col("size")) / F.sum("size")).alias("m"), F.count("*").alias("hits"))
+        looked = looked_up(looked, ords, "phrase", "left")
+        best = looked.groupBy(key, "i").agg(F.max(F.when(F.col("ord").isNotNull(), F.struct("size", "ord"))).alias("best"), F.max(F.when(F.col("size") == 1, F.col("phrase"))).alias("token"))
+        best = cut(best.select(key, F.col("best.size").cast("double").alias("size"), F.col("best.ord").alias("ord"), "token"))
+        missing = best.where("ord is null").select(key, "token")
+        known = cut(phrases.partly(missing, vocabulary))
+        found = best.where("ord is not null").drop("token").unionByName(looked_up(missing, known, "token").select(key, F.lit(HELD).alias("size"), "ord"))
+    else:
+        found = looked_up(looked, ords, "phrase").groupBy(key, "i").agg(F.max(F.struct("size", "ord")).alias("best")).select(key, F.col("best.size").cast("double").alias("size"), "best.ord")
+    # A phrase's vector is joined once for each text that has the phrase.
+    weights = found.groupBy(key, "ord").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    parts = looked_up(weights, vocabulary.select("ord", "v"), "ord").select(key, "size", "n", F.posexplode("v").alias("k", "x"))
+    sums = parts.groupBy(key, "k").agg((F.sum(F.col("x") * F.col("size")) / F.sum("size")).alias("m"), F.sum("n").alias("hits"))
     v = F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"])
     out = sums.groupBy(key).agg(F.max("hits").alias("hits"), v.alias("v"))
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -63,29 +64,52 @@ def embed_vocabulary(spark, sf_dir):
     return e.select("item_id", "hits", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
-_HALF = _VOCAB.replace("limit 50)", "limit 12)")
-
-
-@query(f"""with {_HALF}, vo as (select phrase, v, row_number() over (order by phrase) as ord from vv), bt as (select item_id, left(text, 40) as text from benchmark), ii as (select item_id, {_TOK} as w from bt), ps as (select item_id, w, unnest(range(1, len(w) + 1)) as i from ii),
-tr as (select item_id, i, s, array_to_string(w[i:i + s - 1], ' ') as phrase from ps, (select unnest([3, 2, 1]) as s)),
-b1 as (select item_id, i, max(s)::double as s, arg_max(v, s) as v from tr join vv using (phrase) group by all),
-b2 as (select item_id, i, 0.6::double as s, arg_min(v, ord) as v from ps join vo on contains(phrase, w[i]) or contains(w[i], phrase) where not exists (select 1 from b1 where b1.item_id = ps.item_id and b1.i = ps.i) group by item_id, i),
-bs as (select * from b1 union all select * from b2),
-ex as (select item_id, s, unnest(v) as x, unnest(range(0, 6)) as k from bs), mm as (select item_id, k, sum(x * s) / sum(s) as m, count(*) as hits from ex group by all),
-ag as (select item_id, max(hits) as hits, list(m order by k) as v from mm group by 1),
-sd as (select item_id, (list_sum(list_transform(string_split(lower(text), ''), lambda c: cast(ord(c) as bigint)))::bigint * 2654435761) & 4294967295 as h0 from bt),
-ow as (select item_id, list_transform(list_reduce(range(1, 7), lambda a, i: list_append(a, (a[len(a)] * 1664525 + 1013904223) & 4294967295), [h0])[2:7], lambda x: x / 2147483647 - 1) as o from sd)
-select b.item_id, coalesce(hits, 0) as hits, list_transform(coalesce(v, o), lambda x: round(x / sqrt(list_sum(list_transform(coalesce(v, o), lambda y: y * y))), 6)) as v from benchmark b left join ag using (item_id) left join ow using (item_id)""")
+#: A vocabulary of the words, and of each two words in a row, of the items with an even id, in the order of phrases.
+_EVEN = f"""ev as (select {_TOK} as w from benchmark where item_id % 2 = 0), vc as (select distinct unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as phrase from ev),
+hh as (select phrase, list_reduce(list_transform(string_split(phrase, ''), lambda c: cast(ord(c) as bigint)), lambda a, c: (a * 31 + c) & 4294967295, cast(0 as bigint)) as h0 from vc),
+gg as (select phrase, list_transform(list_reduce(range(1, 7), lambda a, i: list_append(a, (a[len(a)] * 1664525 + 1013904223) & 4294967295), [h0])[2:7], lambda x: x / 2147483647 - 1) as e from hh),
+vo as (select phrase, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) as v, row_number() over (order by phrase) as ord from gg)"""
+
+
+def _embed_sql(table: str, key: str) -> str:
+    return f"""with {_EVEN}, ii as (select {key} as k, text, {_TOK} as w from {table}), ps as (select k, w, unnest(range(1, len(w) + 1)) as i from ii),
+tr as (select k, i, s, array_to_string(w[i:i + s - 1], ' ') as phrase from ps, (select unnest([3, 2, 1]) as s)),
+b1 as (select k, i, max(s)::double as s, arg_max(v, s) as v from tr join vo using (phrase) group by all),
+ms as (select k, i, w[i] as token from ps where not exists (select 1 from b1 where b1.k = ps.k and b1.i = ps.i)), mt as (select distinct token from ms),
+pt as (select token, arg_min(v, ord) as v from mt join vo on contains(phrase, token) or contains(token, phrase) group by token),
+bs as (select * from b1 union all select k, i, 0.6::double as s, v from ms join pt using (token)),
+ex as (select k, s, unnest(v) as x, unnest(range(0, 6)) as d from bs), mm as (select k, d, sum(x * s) / sum(s) as m, count(*) as hits from ex group by all),
+ag as (select k, max(hits) as hits, list(m order by d) as v from mm group by 1),
+sd as (select k, (coalesce(list_sum(list_transform(string_split(lower(text), ''), lambda c: cast(ord(c) as bigint))), 0)::bigint * 2654435761) & 4294967295 as h0 from ii),
+ow as (select k, list_transform(list_reduce(range(1, 7), lambda a, i: list_append(a, (a[len(a)] * 1664525 + 1013904223) & 4294967295), [h0])[2:7], lambda x: x / 2147483647 - 1) as o from sd)
+select ii.k as {key}, coalesce(hits, 0) as hits, list_transform(coalesce(v, o), lambda x: round(x / sqrt(list_sum(list_transform(coalesce(v, o), lambda y: y * y))), 6)) as v from ii left join ag using (k) left join ow using (k)"""
+
+
+def phrases_of_items(spark, sf_dir):
+    """phrase, ord, v: what _EVEN says, each with its mock embedding; phrases are numbered inside ranges of their hash."""
+    w = vocabulary.tokens(F.col("text"))
+    both = F.concat(w, F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
+    each = g.cut(read(spark, sf_dir, "benchmark").where("item_id % 2 = 0").select(F.explode(both).alias("phrase")).distinct())
+    ranked = each.withColumn("head", F.substring("phrase", 1, 1)).withColumn("own", F.row_number().over(W.partitionBy("head").orderBy("phrase")))
+    before = each.groupBy(F.substring("phrase", 1, 1).alias("head")).agg(F.count("*").alias("k"))
+    before = before.select("head", F.coalesce(F.sum("k").over(W.orderBy("head").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return ranked.join(F.broadcast(before), "head").select("phrase", (F.col("own") + F.col("before")).alias("ord"), vectors.normalize(vectors.mock(F.col("phrase"))).alias("v"))
+
+
+@query(_embed_sql("benchmark", "item_id"))
 def embed_partly(spark, sf_dir):
-    """The items' first forty characters by twelve words, parts of words counted too, and by their characters where none is found."""
-    items = read(spark, sf_dir, "benchmark")
-    words = items.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(vocabulary.TOKEN), F.lit(0))).alias("phrase")).groupBy("phrase").count()
-    top = g.cut(words.orderBy(F.desc("count"), "phrase").limit(12).select("phrase", vectors.normalize(vectors.mock(F.col("phrase"))).alias("v")))
-    known = top.agg(F.array_sort(F.collect_list("phrase")).alias("all")).join(top, F.lit(True)).select("phrase", "v", F.array_position("all", F.col("phrase")).alias("ord"))
-    e = vocabulary.embed(items.select("item_id", F.substring("text", 1, 40).alias("text")), "item_id", known, partly=True)
+    """All items by the phrases of every second one, parts of words counted too."""
+    e = vocabulary.embed(read(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", phrases_of_items(spark, sf_dir), partly=True)
     return e.select("item_id", "hits", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 
 
+@query(_embed_sql("documents", "doc_id"))
+def embed_documents(spark, sf_dir):
+    """Whole documents by the phrases of the items, parts of words counted too, and by their characters where none is found."""
+    e = vocabulary.embed(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", phrases_of_items(spark, sf_dir), partly=True)
+    return e.select("doc_id", "hits", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
 @query(f"with {SQL_NODES} select id, list_concat([cast((hex_id >> i) & 1 as double) for i in range(0, 6)], list_transform(v, lambda x: round(x, 6))) as signature, 1 - (hex_id & 1) as south from nodes")
 def node_signature(spark, sf_dir):
     n = coded(spark, sf_dir)
