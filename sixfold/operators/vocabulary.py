@@ -13,6 +13,8 @@ from .lookup import looked_up
 TOKEN = r"[а-яёa-z0-9]+"
 #: What a token counts that a phrase only holds, or that holds a phrase, and the factor of the fallback's seed.
 HELD, SEED_FACTOR = 0.6, 2654435761
+#: The name of the texts' key while they are embedded.
+KEY = "_text"
 
 
 def tokens(text: Column) -> Column:
@@ -30,6 +32,7 @@ def embed(texts: DataFrame, key: str, vocabulary: DataFrame, partly: bool = Fals
     automaton of phrases.partly(), whatever the vocabulary's size. A phrase stands once in the vocabulary; without partly
     it needs no ord.
     """
+    texts = texts.select(F.col(key).alias(KEY), "text")
     if "ord" not in vocabulary.columns:
         vocabulary = vocabulary.withColumn("ord", F.xxhash64("phrase"))
     vocabulary = cut(vocabulary.select("phrase", F.col("ord").cast("long").alias("ord"), "v"))
@@ -39,28 +42,28 @@ def embed(texts: DataFrame, key: str, vocabulary: DataFrame, partly: bool = Fals
         at = lambda i, n: F.struct(F.lit(n).alias("size"), F.array_join(F.slice(w, i + 1, n), " ").alias("phrase"))
         return F.flatten(F.transform(w, lambda _, i: F.array(*[F.struct(i.alias("i"), at(i, n).alias("t")) for n in (3, 2, 1)])))
 
-    words = texts.select(key, tokens(F.col("text")).alias("w"))
-    looked = words.select(key, F.explode(F.transform(F.array("w"), tries)[0]).alias("x")).select(key, "x.i", F.col("x.t.size").alias("size"), F.col("x.t.phrase").alias("phrase"))
+    words = texts.select(KEY, tokens(F.col("text")).alias("w"))
+    looked = words.select(KEY, F.explode(F.transform(F.array("w"), tries)[0]).alias("x")).select(KEY, "x.i", F.col("x.t.size").alias("size"), F.col("x.t.phrase").alias("phrase"))
     if partly:
         looked = looked_up(looked, ords, "phrase", "left")
-        best = looked.groupBy(key, "i").agg(F.max(F.when(F.col("ord").isNotNull(), F.struct("size", "ord"))).alias("best"), F.max(F.when(F.col("size") == 1, F.col("phrase"))).alias("token"))
-        best = cut(best.select(key, F.col("best.size").cast("double").alias("size"), F.col("best.ord").alias("ord"), "token"))
-        missing = best.where("ord is null").select(key, "token")
+        best = looked.groupBy(KEY, "i").agg(F.max(F.when(F.col("ord").isNotNull(), F.struct("size", "ord"))).alias("best"), F.max(F.when(F.col("size") == 1, F.col("phrase"))).alias("token"))
+        best = cut(best.select(KEY, F.col("best.size").cast("double").alias("size"), F.col("best.ord").alias("ord"), "token"))
+        missing = best.where("ord is null").select(KEY, "token")
         known = cut(phrases.partly(missing, vocabulary))
-        found = best.where("ord is not null").drop("token").unionByName(looked_up(missing, known, "token").select(key, F.lit(HELD).alias("size"), "ord"))
+        found = best.where("ord is not null").drop("token").unionByName(looked_up(missing, known, "token").select(KEY, F.lit(HELD).alias("size"), "ord"))
     else:
-        found = looked_up(looked, ords, "phrase").groupBy(key, "i").agg(F.max(F.struct("size", "ord")).alias("best")).select(key, F.col("best.size").cast("double").alias("size"), "best.ord")
+        found = looked_up(looked, ords, "phrase").groupBy(KEY, "i").agg(F.max(F.struct("size", "ord")).alias("best")).select(KEY, F.col("best.size").cast("double").alias("size"), "best.ord")
     # A phrase's vector is joined once for each text that has the phrase.
-    weights = found.groupBy(key, "ord").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-    parts = looked_up(weights, vocabulary.select("ord", "v"), "ord").select(key, "size", "n", F.posexplode("v").alias("k", "x"))
-    sums = parts.groupBy(key, "k").agg((F.sum(F.col("x") * F.col("size")) / F.sum("size")).alias("m"), F.sum("n").alias("hits"))
+    weights = found.groupBy(KEY, "ord").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    parts = looked_up(weights, vocabulary.select("ord", "v"), "ord").select(KEY, "size", "n", F.posexplode("v").alias("k", "x"))
+    sums = parts.groupBy(KEY, "k").agg((F.sum(F.col("x") * F.col("size")) / F.sum("size")).alias("m"), F.sum("n").alias("hits"))
     v = F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"])
-    out = sums.groupBy(key).agg(F.max("hits").alias("hits"), v.alias("v"))
+    out = sums.groupBy(KEY).agg(F.max("hits").alias("hits"), v.alias("v"))
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     unit = F.transform(F.array(F.when(size == 0, F.lit(1.0)).otherwise(size)), lambda n: F.transform("v", lambda x: x / n))[0]
     if not partly:
-        return texts.select(key).join(out, key, "left").select(key, F.coalesce("hits", F.lit(0)).alias("hits"), unit.alias("v"))
+        return texts.select(KEY).join(out, KEY, "left").select(F.col(KEY).alias(key), F.coalesce("hits", F.lit(0)).alias("hits"), unit.alias("v"))
     total = F.aggregate(F.filter(F.split(F.lower("text"), ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c))
     seed = ((total % (1 << 31)) * (SEED_FACTOR % (1 << 32))).bitwiseAND(F.lit(vectors.MASK))
-    own = texts.select(key, vectors.normalize(vectors.generated(seed)).alias("own"))
-    return own.join(out, key, "left").select(key, F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce(unit, F.col("own")).alias("v"))
+    own = texts.select(KEY, vectors.normalize(vectors.generated(seed)).alias("own"))
+    return own.join(out, KEY, "left").select(F.col(KEY).alias(key), F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce(unit, F.col("own")).alias("v"))
