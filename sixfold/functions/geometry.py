@@ -426,7 +426,8 @@ def shell_octagram(turns: float = 1.5) -> list[tuple[float, float]]:
 
 
 def tower_octagram() -> list[tuple[float, float]]:
-    """(length, elevation) of a tower. Fixed values; a level of 0 is lifted by its length like any ray."""
+    """(length, elevation) of a tower; a level of 0 is lifted by its length like any ray."""
+    # Lengths and elevations of the preset.
     lengths = [0.9, 0.6, 0.7, 0.5, 0.8, 0.4, 0.6, 0.5]
     lifts = [math.pi / 3, math.pi / 6, 0.0, -math.pi / 6, -math.pi / 3, -math.pi / 4, 0.0, math.pi / 4]
     return [(x, e or (x - 0.5) * math.pi / 4) for x, e in zip(lengths, lifts)]

@@ -85,6 +85,7 @@ def clamp(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 
 
+#: The names of the seven rays.
 RAYS = ["strength", "direction", "temporal", "confidence", "scale", "context", "source"]
 
 

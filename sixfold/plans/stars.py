@@ -21,9 +21,9 @@ def _heptagrams(spark, sf_dir):
     return nodes(spark, sf_dir).select("id", "topic", geo.heptagram(F.slice("embedding", 1, 7)).alias("rays"))
 
 
-@query(f"with {SQL_NODES}, {_HEPT} select id, list_transform({_HVEC}, lambda x: round(x, 6)) as v, list_transform(l, lambda x, i: round(x * cos((i - 1) * 2 * pi() / 7), 6)) as xs, list_transform(l, lambda x, i: round(x * sin((i - 1) * 2 * pi() / 7), 6)) as ys from hp")
+@query(f"with {SQL_NODES}, {_HEPT} select id, list_transform({_HVEC}, lambda x: round(x, 6) + 0) as v, list_transform(l, lambda x, i: round(x * cos((i - 1) * 2 * pi() / 7), 6) + 0) as xs, list_transform(l, lambda x, i: round(x * sin((i - 1) * 2 * pi() / 7), 6) + 0) as ys from hp")
 def heptagram_vectors(spark, sf_dir):
-    """The 21 numbers of each node's seven-pointed star and where its tips lie."""
+    """The 21 numbers of each node's seven-pointed star and where its tips lie; rounded zeros have no sign."""
     rays = _heptagrams(spark, sf_dir)
     ends = geo.heptagram_ends(F.col("rays"))
     return rays.select("id", F.transform(geo.heptagram_vector(F.col("rays")), lambda x: F.round(x, 6)).alias("v"), F.transform(ends, lambda p: F.round(p["x"], 6)).alias("xs"), F.transform(ends, lambda p: F.round(p["y"], 6)).alias("ys"))
