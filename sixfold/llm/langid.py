@@ -37,7 +37,14 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters. Numerals that aren't decimal digits, as in fractions or circles, are no letters."""
+    out = []
+    for w in _WORD.findall((text or "").lower()):
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
 
 
 def word_features(word: str, lexicon: set[str]) -> list[int]:
@@ -280,8 +287,9 @@ def fit_language(docs: DataFrame, use=None, limit: int = SAMPLE) -> Field:
 def identify(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, lang_pred, score (the chance of that language) of every whole text.
 
-    A text that is null or has no letter gets `und` and 0. Without labelled documents every text does. Repeated rows get
-    the same answer each. Columns other than doc_id and text are ignored.
+    A text that is null or has no letter gets `und` and 0; numerals such as a half or a circled one are no letters. Without
+    labelled documents every text does. Of languages that are equally likely the first by name is given. Very long texts
+    are read whole, in blocks. Repeated rows get the same answer each; no rows give no rows. Columns other than doc_id and text are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)  # BUCKETS rows of weights
 

@@ -52,6 +52,8 @@ def test_odd_languages(spark, docs, nothing, texts):
     assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in dict(texts)[r.doc_id] or "")) for r in got if r.doc_id is not None)
     assert {r.lang_pred for r in langid.identify(docs, langid.fit_language(nothing)).collect()} == {"und"}
     assert langid.identify(nothing, field).count() == 0
+    odd = docs.limit(2).withColumn("text", F.lit("½ ² ① Ⅷ"))
+    assert {(r.lang_pred, r.score) for r in langid.identify(odd, field).collect()} == {("und", 0.0)}
 
 
 def test_forward_backward():
@@ -208,3 +210,8 @@ def test_clashing_language(clashing, docs):
     field = langid.Field.learned([["the", "house"] * 8, ["der", "tag"] * 8] * 6, ["en", "de"] * 6)
     plain = sorted(map(repr, langid.identify(docs, field).collect()))
     assert plain == sorted(map(repr, langid.identify(clashing, field).collect()))
+
+
+def test_numerals_are_no_letters():
+    assert langid.words_of("½ ² ① Ⅷ ㊿") == [] and langid.words_of("x²y ①Ab ⅷ 3c") == ["x", "y", "ab", "c"]
+    assert langid.words_of(None) == [] and langid.words_of("Straße été") == ["straße", "été"]
