@@ -14,7 +14,7 @@ from .test_dedup import lower
 
 def test_registered():
     assert [n for n, _ in STAGES] == ["quality", "exact", "near", "decontaminate", "packing"]
-    assert set(ORACLES) == {"op5_exact_dedup", "op7_decontaminate"}
+    assert set(ORACLES) == {"op5_exact_dedup", "op7_decontaminate", "op11_negatives"}
 
 
 def test_sql(spark, sf, same):
@@ -83,10 +83,12 @@ def brute_near(rows):
     return {min((k for k in range(len(rows)) if root[k] == r), key=lambda k: rows[k][0]) for r in set(root)}
 
 
-@pytest.mark.parametrize("part,often", [(500, 4), (2, 10**6)])
-def test_near_similarity(spark, sf, part, often, monkeypatch):
-    """Pairs around 0.8, a chain, a crowd and a shared line, against brute-force Jaccard; small parts deal every bucket."""
+@pytest.mark.parametrize("part,often,crowd", [(500, 4, 32), (2, 10**6, 32), (2, 10**6, 1), (500, 10**6, 4)])
+def test_near_similarity(spark, sf, part, often, crowd, monkeypatch):
+    """Pairs around 0.8, a chain, a crowd and a shared line, against brute-force Jaccard; small parts deal every bucket, and
+    with a small crowd the shingles of shared lines go to the end of the order."""
     monkeypatch.setattr(near_copies, "PART", part)
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
     monkeypatch.setattr(near_copies, "OFTEN", often)
     rng = random.Random(5)
     prose = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
@@ -111,6 +113,41 @@ def test_near_similarity(spark, sf, part, often, monkeypatch):
     assert got == sorted(brute_near(rows)) and len(got) < len(rows) - 40
 
 
+def test_shared_passages(spark, monkeypatch):
+    """Texts that share passages and little else make few pairs once the passages' shingles are last, and none is lost."""
+    monkeypatch.setattr(near_copies, "OFTEN", 10**6)
+    rng = random.Random(9)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for _ in range(3):
+        passage = prose(60)
+        own = [prose(20) + passage + prose(25) for _ in range(80)]
+        rows += own + [w[:-2] + ["x", "y"] for w in own[:10]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    met = []
+    real = near_copies._linked
+
+    def seen(pairs, docs, maps, scratch):
+        out = real(pairs, docs, maps, scratch)
+        if maps is None:
+            met.append(pairs.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "_linked", seen)
+    docs = spark.createDataFrame(rows, "row long, text string")
+    counts = {}
+    for rounds in (0, 3):
+        monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+        monkeypatch.setattr(near_copies, "CROWD", 8)
+        got = {}
+        for r in near_copies.near_copies(docs).collect():
+            got.setdefault(r.component, set()).add(r.row)
+        kept = {k for k, _ in rows} - {x for c in got.values() for x in c if x != min(c)}
+        assert kept == {rows[k][0] for k in brute_near(rows)} and len(kept) == 240
+        counts[rounds] = met.pop()
+    assert counts[3] * 5 <= counts[0] or counts[0] == 0
+
+
 def test_near_on_tables(spark, sf):
     """The near stage on the given table, quality filter not applied, and the stage after it on what is left."""
     docs = dict(STAGES)["exact"](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
