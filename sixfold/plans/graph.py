@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators import propagation as p
 from ..sources.tables import edges
 from .cube import CENTERS, SQL_CENTER, SQL_NODES, coded
 from .registry import query
@@ -112,6 +113,20 @@ def lp_communities(spark, sf_dir):
     return g.label_propagation(edges(spark, sf_dir), members(spark, sf_dir))
 
 
+_ORDERED = """adj as (select id, list({'o': other, 'w': weight} order by other) as adj from ends group by 1),
+od as materialized (select node_id as id, coalesce(adj, []) as adj, row_number() over (order by (node_id * 37) % 101, node_id) as o from member left join adj on id = node_id),
+sw(o, com) as (select cast(0 as bigint), (select list(community order by node_id) from member)
+ union all select o, case when theirs.w > 1.5 * (1 + mine) then com[1:id] || [cast(-theirs.n as integer)] || com[id + 2:] else com end from
+ (select o, id, com, coalesce(list_sum(list_transform(list_filter(v, lambda x: x.c = cur), lambda x: x.w)), 0) as mine, list_max(list_transform(list_distinct(list_transform(list_filter(v, lambda x: x.c <> cur), lambda x: x.c)), lambda c: {'w': list_sum(list_transform(list_filter(v, lambda x: x.c = c), lambda x: x.w)), 'n': -c})) as theirs from
+  (select od.o, od.id, com, com[od.id + 1] as cur, list_transform(adj, lambda a: {'c': com[a.o + 1], 'w': a.w}) as v from sw join od on od.o = sw.o + 1)))"""
+
+
+@query(f"with recursive {SQL_GRAPH}, {_ORDERED}, fin as (select com from sw order by o desc limit 1) select node_id, com[node_id + 1] as community, com[node_id + 1] <> community as moved from member, fin")
+def lp_one_sweep_ordered(spark, sf_dir):
+    """One sequential sweep, in an order that jumps over the ids (the SQL takes ids to be 0, 1, 2, ...)."""
+    return p.ordered_sweep(edges(spark, sf_dir), members(spark, sf_dir), lambda c: (c * 37) % 101)
+
+
 #: Clusters in the order of their nodes; each stays if none that stayed before shares more than 0.8 of the larger with it.
 _HYPER = f"""{_EGO}, eo as materialized (select *, row_number() over (order by node) as o from ego),
 cl as materialized (select b.o, list(a.node) as earlier from eo a join eo b on a.o < b.o and len(list_intersect(a.members, b.members)) > 0.8 * greatest(a.n, b.n) group by 1),
