@@ -226,3 +226,11 @@ def stream_incremental_index(spark, sf_dir):
     from ..streaming.index import entity_mentions
 
     return entity_mentions(spark, sf_dir)
+
+
+@query(f"with {SQL_ENTITIES}, {_DEDUPE} select * from dd")
+def stream_entity_index(spark, sf_dir):
+    """The first label of every entity and its mentions, kept as state while documents arrive."""
+    from ..streaming.index import first_entities
+
+    return first_entities(spark, sf_dir)
