@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,9 +19,8 @@ CLUSTER_NAMES = {3: "triad", 4: "quad", 5: "pentagon_cluster", 6: "hexagon_commu
 PULL = 1.5
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in a table of the shared checkpoint folder; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession) -> str:
+    """A new name in the shared checkpoint folder; a local session without one gets a temporary folder."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
@@ -29,9 +28,14 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="sixfold-")
         sc.setCheckpointDir(base)
-    path = os.path.join(base, f"graph-{uuid.uuid4().hex}")
+    return os.path.join(base, f"graph-{uuid.uuid4().hex}")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage in a table of the shared checkpoint folder."""
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def membership(nodes: DataFrame, n_communities: int = 8) -> DataFrame:

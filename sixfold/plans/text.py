@@ -207,6 +207,20 @@ def snapshot_roundtrip(spark, sf_dir):
     return back.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.coalesce("x.hex_id", "x.source")).alias("total"))
 
 
+@query(f"with {SQL_GRAPH} select 'node' as kind, 'n' || id as a, label as b, round(v[1], 6) as value from nodes union all select 'edge', 'n' || source, 'n' || target, round(weight, 6) from edges")
+def snapshot_document(spark, sf_dir):
+    """A graph written as one JSON document, and read again in byte ranges."""
+    from ..sources.tables import read_snapshot, write_document
+
+    name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string")).alias(c)
+    path = f"{g.scratch_path(spark)}/document"
+    n = coded(spark, sf_dir).select(name("id"), "label", "archetype", "embedding")
+    write_document(n, edges(spark, sf_dir).select(name("source"), name("target"), "weight", "directed"), path)
+    nodes, links = read_snapshot(spark, path)
+    both = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("label").alias("b"), F.round(F.get("embedding", F.lit(0)), 6).alias("value"))
+    return both.unionByName(links.select(F.lit("edge").alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), F.round("weight", 6).alias("value")))
+
+
 @query(f"with {SQL_GRAPH} select id, '{{\"id\":' || id || ',\"label\":\"' || label || '\",\"hex\":' || hex_id || ',\"community\":' || community || '}}' as json from nodes join member on node_id = id")
 def viz_payload(spark, sf_dir):
     """One JSON object per node for a viewer."""

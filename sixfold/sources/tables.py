@@ -86,20 +86,24 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("source", "target", ((vectors.cosine(F.col("a"), F.col("b")) + 1) / 2).alias("weight"), (F.col("source") % 2 == 0).alias("directed"))
 
 
-SNAPSHOT = "saved_at string, nodes array<struct<id:string,label:string,archetype:string,weight:double,embedding:array<double>,metadata:map<string,string>>>, edges array<struct<source:string,target:string,label:string,weight:double,directed:boolean>>"
+NODE = "id string, label string, archetype string, weight double, embedding array<double>, metadata map<string,string>"
+EDGE = "source string, target string, label string, weight double, directed boolean"
 
 
 def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a JSON snapshot. Shorter embeddings are padded with zeros, a missing one is made from the
-    label, edge fields get their defaults and edges without both ends are dropped."""
+    """Nodes and edges of a JSON snapshot, a document with arrays of both, which is read in byte ranges. Shorter embeddings
+    are padded with zeros, a missing one is made from the label, edge fields get their defaults and edges without both ends
+    are dropped."""
     from ..functions import vectors
+    from ..operators.graph import cut
+    from .document import array_elements
 
-    doc = spark.read.schema(SNAPSHOT).option("multiLine", True).json(path)
-    n = doc.select(F.posexplode("nodes").alias("ord", "n")).select("ord", "n.*")
+    elements = cut(array_elements(spark, path))
+    n = elements.where("key = 'nodes'").select("ord", F.from_json("json", NODE).alias("n")).select("ord", "n.*")
     n = n.withColumn("embedding", F.coalesce("embedding", vectors.mock(F.col("label"))))
     longest = n.agg(F.max(F.size("embedding")).alias("dim"))
     n = n.join(F.broadcast(longest), F.lit(True)).withColumn("embedding", F.concat("embedding", F.array_repeat(F.lit(0.0), F.col("dim") - F.size("embedding")))).drop("dim")
-    e = doc.select(F.posexplode("edges").alias("ord", "e")).select("ord", "e.*")
+    e = elements.where("key = 'edges'").select("ord", F.from_json("json", EDGE).alias("e")).select("ord", "e.*")
     e = e.fillna({"label": "linked", "weight": 0.7, "directed": True})
     ids = n.select("id")
     return n, e.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
@@ -111,6 +115,24 @@ def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
+def write_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A snapshot as one JSON document: its elements a line each, in the order of their keys (a node's first column, an
+    edge's first two) as text, which tell elements apart.
+
+    One file is one task's work, which streams it; see snapshot_lines() for what no single task has to hold.
+    """
+
+    def lines(df: DataFrame, part: int) -> DataFrame:
+        order = F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns[: 1 if part == 1 else 2]])
+        first = df.agg(F.min(order).alias("first"))
+        comma = F.when(order == F.col("first"), "").otherwise(",")
+        return df.join(F.broadcast(first), F.lit(True)).select(F.lit(part).alias("part"), order.alias("at"), F.concat(comma, F.to_json(F.struct(*df.columns))).alias("value"))
+
+    signs = nodes.sparkSession.createDataFrame([(0, "", '{"nodes": ['), (2, "", '], "edges": ['), (4, "", "]}")], "part int, at string, value string")
+    both = signs.unionByName(lines(nodes, 1)).unionByName(lines(edges, 3))
+    both.coalesce(1).sortWithinPartitions("part", "at").select("value").write.mode("overwrite").text(path)
+
+
 def snapshot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One JSON line per node and edge: a snapshot that no single task has to hold."""
     return nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(*nodes.columns)).alias("json")).unionByName(edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(*edges.columns)).alias("json")))

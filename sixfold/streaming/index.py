@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,15 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.graph import cut
+from ..operators.graph import scratch_path
 from ..operators.text import extracted
 
 
-def _base(spark: SparkSession) -> str:
-    cut(spark.range(0))  # makes sure of a checkpoint folder
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-
-
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream: its one file, or all files of its folder."""
     path = f"{sf_dir}/{name}.parquet"
@@ -35,7 +28,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity, mentions, indexed as documents arrive: every micro-batch adds its own counts to a table, whose sum is the index."""
-    out = os.path.join(_base(spark), f"index-{uuid.uuid4().hex}")
+    out = scratch_path(spark)
 
     def add(batch: DataFrame, epoch: int) -> None:
         entity = F.lower(F.trim("label"))
@@ -111,7 +104,7 @@ def indexed(spark: SparkSession, path: str) -> DataFrame:
 
 def first_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity, label, mentions of all documents, indexed as they arrive."""
-    path = os.path.join(_base(spark), f"entities-{uuid.uuid4().hex}")
+    path = scratch_path(spark)
     start_index(_stream(spark, sf_dir, "documents"), path).awaitTermination()
     return indexed(spark, path).select("entity", "label", "mentions")
 
@@ -122,7 +115,7 @@ def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every micro-batch adds its own counts to a table, whose sum is the result: nothing is kept in state, so it can't grow
     with the hours, and no event is too late to count.
     """
-    out = os.path.join(_base(spark), f"hours-{uuid.uuid4().hex}")
+    out = scratch_path(spark)
 
     def add(batch: DataFrame, epoch: int) -> None:
         counts = batch.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
