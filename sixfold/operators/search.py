@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import q6, vectors
+from . import substring
 from .code_index import CodeIndex, asked, build_index, candidates
 
 #: Words that name a domain in a question, in the order in which domains are tried, and the archetypes that go with it.
@@ -163,27 +164,10 @@ def by_label(labels: DataFrame, nodes: DataFrame, dim: int = 6) -> DataFrame:
     return labels.select("query").join(first, "query", "left").select("query", F.coalesce("v", F.array_repeat(F.lit(0.0), dim)).alias("v"))
 
 
-#: Characters of the pieces by which texts and labels find each other.
-PIECE = 3
-
-
-def _piece(k: int):
-    return lambda i: F.substring(F.col("l"), i, F.lit(k))
-
-
-def label_matches(labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def label_matches(labels: DataFrame, nodes: DataFrame, index: substring.GramIndex | None = None) -> DataFrame:
     """query, id, label, embedding of the nodes whose label holds the text, whatever the case; labels: query, text.
 
-    A text's first PIECE characters, or all of a shorter one, are looked up among the pieces of that length of the labels,
-    and what meets is compared.
+    index: one of the nodes' labels that is there already. Null and empty texts find nothing.
     """
-    asked = labels.select("query", F.lower("text").alias("part"))
-    own = nodes.select("id", "label", "embedding", F.lower("label").alias("l"))
-    found = None
-    for k in range(1, PIECE + 1):
-        starts = F.when(F.length("l") >= k, F.sequence(F.lit(1), F.greatest(F.length("l") - k + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        pieces = own.select("*", F.explode(F.array_distinct(F.transform(starts, _piece(k)))).alias("piece"))
-        size = F.length("part") == k if k < PIECE else F.length("part") >= k
-        some = pieces.join(asked.where(size).withColumn("piece", F.substring("part", 1, k)), "piece").where(F.contains("l", "part")).select("query", "id", "label", "embedding")
-        found = some if found is None else found.unionByName(some)
-    return found
+    found = substring.found_in(index or substring.build_index(nodes), labels)
+    return found.join(nodes.select("id", "label", "embedding"), "id").select("query", "id", "label", "embedding")
