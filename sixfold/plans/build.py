@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..operators import build, projection
+from ..operators import build, maintain, projection
 from ..operators import graph as g
 from ..sources.tables import edges
-from .cube import coded
+from .cube import CENTERS, coded
 from .graph import _EGO, _HYPER, _MEANS, SQL_GRAPH, members
 from .registry import query
 
@@ -36,6 +36,13 @@ def pca2d(spark, sf_dir):
     return p.select("id", "community", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
+@query(f"with recursive {SQL_PLANE} select id, community, round(x, 6) as x, round(y, 6) as y from pl")
+def pca2d_wide(spark, sf_dir):
+    """The same by passes over the vectors, without their second moments, as it is done for wide vectors."""
+    p = projection.plane(coded(spark, sf_dir), members(spark, sf_dir), wide=0)
+    return p.select("id", "community", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
 _SHAPE = """he as (select p.community, p.x as px, p.y as py, q.x as qx, q.y as qy from pl p join pl q on p.community = q.community and p.id <> q.id join pl r on r.community = p.community and r.id <> p.id and r.id <> q.id
  group by p.id, q.id, all having min((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)) > 0),
 hc as (select *, px - avg(px) over w as cx, py - avg(py) over w as cy from he window w as (partition by community)),
@@ -146,3 +153,18 @@ def largest_communities(spark, sf_dir):
     n = members(spark, sf_dir).groupBy("community").agg(F.count("*").alias("n"))  # 64 rows at most
     top = n.orderBy(F.desc("n"), "community").limit(5).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "community"))).alias("of"))
     return top.select(F.posexplode("of").alias("i", "x")).select("x.community", (-F.col("x.k")).alias("n"), (F.col("i") + 1).alias("rank"))
+
+
+@query(f"""with {SQL_GRAPH}, {_MEANS}, k as (select community, count(*) as n_edges, sum(weight) as w from intra group by 1), n as (select community, count(*) as n_nodes from member group by 1),
+d as (select id, sum(weight) as k from ends group by 1), t as (select 2 * sum(weight) as m2 from edges),
+md as (select sum(2 * (weight - a.k * b.k / m2)) / any_value(m2) as modularity from intra join d a on a.id = source join d b on b.id = target, t)
+select community, n_nodes, hex_id, coalesce(n_edges, 0) as n_edges, round(coalesce(w, 0), 5) as weight, list_transform(v, lambda x: round(x, 6)) as center, (select round(modularity, 6) from md) as modularity from ch join n using (community) left join k using (community)""")
+def live_profiles(spark, sf_dir):
+    """A map to which the nodes and edges come in three batches, some edges before their ends, as its sums then are."""
+    n = coded(spark, sf_dir).select("id", "label", "embedding", "archetype")
+    e = g.cut(edges(spark, sf_dir))
+    state = maintain.empty(spark, len(CENTERS))
+    for k in range(3):
+        state = maintain.add(state, n.where(F.col("id") % 3 == k), e.where((F.col("source") + F.col("target")) % 3 == k))
+    out = maintain.profiles(state).select("community", "n_nodes", "hex_id", "n_edges", F.round("weight", 5).alias("weight"), F.transform("center", lambda x: F.round(x, 6)).alias("center"))
+    return out.withColumn("modularity", F.lit(round(state.modularity, 6)))
