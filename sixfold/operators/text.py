@@ -126,10 +126,13 @@ EXTRACTION = "entities array<struct<id:string,label:string,type:string>>, relati
 
 def parsed(text: Column) -> Column:
     """The outermost braces of an answer as entities and relations, empty lists where there are none or they aren't JSON."""
-    found = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), EXTRACTION)
     kinds = EXTRACTION.replace("entities ", "").split(", relations ")
-    lists = [F.coalesce(found[c], F.array().cast(k)).alias(c) for c, k in zip(("entities", "relations"), kinds)]
-    return F.when(text.isNotNull(), F.struct(*lists)).otherwise(F.struct(*[F.array().cast(k).alias(c) for c, k in zip(("entities", "relations"), kinds)]))
+
+    def lists(found: Column) -> Column:
+        return F.struct(*[F.coalesce(found[c], F.array().cast(k)).alias(c) for c, k in zip(("entities", "relations"), kinds)])
+
+    # The parsed answer is bound once: an expression would otherwise be parsed, and made, for each use.
+    return F.transform(F.array(F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), EXTRACTION)), lists)[0]
 
 
 def type_archetype(kind: Column) -> Column:

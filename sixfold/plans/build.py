@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
@@ -111,17 +113,25 @@ def tangram_classes(spark, sf_dir):
     return shapes(spark, sf_dir).groupBy("shape").agg(F.count("*").alias("clusters"))
 
 
-@query(f"with recursive {SQL_PLANE}, {_SHAPE}, {_HYPER}, {_CLUSTER_HULLS.format('hyper')} select 'hyper_edge' as kind, node as item, shape from cs where shape in ('triangle', 'rectangle') union all select 'community', community, {_NAMES} from sh where {_NAMES} = 'triangle' or {_NAMES} = 'polygon'")
+#: The same classes for communities, from their hulls' edges on their own planes.
+_OWN_HULLS = re.sub(r"\b(ce2|cn|q0|q4|qs|cs)\b", r"\1_own", _CLUSTER_HULLS[_CLUSTER_HULLS.index("cn as"):])
+_OWN = f"""ce2_own as (select p.community as node, p.id as a, q.id as b, p.x as px, p.y as py, q.x as qx, q.y as qy from pl p join pl q on p.community = q.community and p.id <> q.id join pl r on r.community = p.community and r.id <> p.id and r.id <> q.id
+ group by p.community, p.id, q.id, p.x, p.y, q.x, q.y having min((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)) > 0),
+{_OWN_HULLS}"""
+
+
+@query(f"""with recursive {SQL_PLANE}, {_OWN}, {_HYPER}, {_CLUSTER_HULLS.format('hyper')}, al as (select 'hyper_edge' as kind, node as item, shape from cs union all select 'community', node, shape from cs_own),
+tt as (select shape, count(*) as total from al group by 1) select kind, item, shape, total from al join tt using (shape)""")
 def cluster_by_shape(spark, sf_dir):
-    """Hyper-edges that are triangles or rectangles, and communities that are triangles or of more than eight sides."""
+    """All hyper-edges and communities by their shapes, each with how many have it."""
     from ..sources.tables import nodes
 
     at = nodes(spark, sf_dir).select("id", F.get("embedding", F.lit(0)).alias("x"), F.get("embedding", F.lit(1)).alias("y"))
-    hyper = build.cluster_shapes(g.hyper_edges(edges(spark, sf_dir)), at).where(F.col("tangram.shape").isin("triangle", "rectangle"))
+    hyper = build.cluster_shapes(g.hyper_edges(edges(spark, sf_dir)), at)
     own = build.community_hulls(projection.plane(coded(spark, sf_dir), members(spark, sf_dir))).select("community", geo.tangram(F.col("hull")).alias("tangram"))
-    own = own.where((F.col("tangram.vertices") != 4) & F.col("tangram.shape").isin("triangle", "polygon"))
-    pick = lambda df, kind, item: df.select(F.lit(kind).alias("kind"), F.col(item).cast("long").alias("item"), "tangram.shape")
-    return pick(hyper, "hyper_edge", "node").unionByName(pick(own, "community", "community"))
+    pick = lambda df, kind, item: g.cut(df.select(F.lit(kind).alias("kind"), F.col(item).cast("long").alias("item"), "tangram.shape"))
+    found = pick(hyper, "hyper_edge", "node").unionByName(pick(own, "community", "community"))
+    return found.join(found.groupBy("shape").agg(F.count("*").alias("total")), "shape").select("kind", "item", "shape", "total")
 
 
 @query(f"with {SQL_GRAPH}, b as (select id, label from nodes where id % 3 <> 0), n as (select id, 'new' || id as label from nodes where id % 5 = 0) select coalesce(n.id, b.id) as id, coalesce(n.label, b.label) as label from b full join n using (id)")

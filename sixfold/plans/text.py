@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import q6
 from ..operators import graph as g
 from ..operators import text as t
-from ..sources.tables import ARCHETYPES, KEYWORDS, PRIORITIES, archetype_table, edges, read, snapshot_lines
+from ..operators.borders import touching
+from ..sources.tables import ARCHETYPES, KEYWORDS, PRIORITIES, archetype_table, edges, payload, read, snapshot_lines
+from .borders import SQL_CURVES
 from .cube import SQL_NODES, coded
-from .graph import SQL_GRAPH, members
+from .graph import _HYPER, _NAME, SQL_GRAPH, members
 from .registry import query
 
 
@@ -91,7 +94,8 @@ def parse_extraction_json(spark, sf_dir):
     items = F.transform(t.entities(F.col("text")), lambda x: F.struct(F.lit("e").alias("id"), x.alias("label"), F.lit("concept").alias("type")))
     answer = F.concat(F.lit("Here it is: "), F.to_json(F.struct(items.alias("entities"))), F.lit(" done"))
     p = documents(spark, sf_dir).select("doc_id", t.parsed(answer).alias("p"))
-    return p.select("doc_id", F.size("p.entities").cast("long").alias("n_entities"), F.get("p.entities", F.lit(0))["label"].alias("first"))
+    both = F.transform(F.array("p"), lambda x: F.struct(F.size(x["entities"]).cast("long").alias("n"), F.get(x["entities"], F.lit(0))["label"].alias("first")))[0]
+    return p.select("doc_id", both.alias("b")).select("doc_id", F.col("b.n").alias("n_entities"), "b.first")
 
 
 #: The domains' words, and some from the tables' own languages, so that the expansion has something to find.
@@ -228,6 +232,24 @@ def viz_payload(spark, sf_dir):
     return n.select("id", F.to_json(F.struct("id", "label", F.col("hex_id").alias("hex"), "community")).alias("json"))
 
 
+_QUOTED = "'[' || array_to_string({0}, ',') || ']'"
+
+
+@query(f"""with recursive {SQL_CURVES}, {_HYPER} select 'node' as kind, '{{"id":' || id || ',"label":"' || label || '","archetype":"' || archetype || '","hex":' || hex_id || ',"community":' || community || '}}' as json from nodes join member on node_id = id
+union all select 'edge', '{{"source":' || source || ',"target":' || target || ',"directed":' || directed || '}}' from edges
+union all select 'community', '{{"community":' || community || ',"hex":' || hex_id || '}}' from ch
+union all select 'border', '{{"a":' || a || ',"b":' || b || ',"hd":' || hd || '}}' from bp
+union all select 'hyper_edge', '{{"node":' || node || ',"members":' || {_QUOTED.format("members")} || ',"label":"' || {_NAME} || '"}}' from hyper""")
+def map_payload(spark, sf_dir):
+    """Everything that a viewer draws, a JSON object each: nodes, edges, communities, borders and hyper-edges."""
+    n, c = coded(spark, sf_dir), g.cut(g.mean_codes(members(spark, sf_dir), coded(spark, sf_dir)))
+    e = g.cut(edges(spark, sf_dir))
+    own = n.join(members(spark, sf_dir).withColumnRenamed("node_id", "id"), "id").withColumnRenamed("hex_id", "hex")
+    borders = touching(c).join(c.select(F.col("community").alias("a"), F.col("hex_id").alias("ha")), "a").join(c.select(F.col("community").alias("b"), F.col("hex_id").alias("hb")), "b")
+    parts = {"node": own.select("id", "label", "archetype", "hex", "community"), "edge": e.select("source", "target", "directed"), "community": c.select("community", F.col("hex_id").alias("hex")), "border": borders.select("a", "b", q6.hamming(F.col("ha"), F.col("hb")).alias("hd")), "hyper_edge": g.hyper_edges(e)}
+    return payload(parts)
+
+
 @query("with s as (select ts, event_type, value from events) select date_trunc('hour', ts) as start, event_type, count(*) as n from s group by all")
 def stream_event_counts(spark, sf_dir):
     from ..streaming.index import hourly_counts

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -136,3 +138,8 @@ def write_document(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 def snapshot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One JSON line per node and edge: a snapshot that no single task has to hold."""
     return nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(*nodes.columns)).alias("json")).unionByName(edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(*edges.columns)).alias("json")))
+
+
+def payload(parts: dict[str, DataFrame]) -> DataFrame:
+    """kind and json: the rows of each kind's table as JSON objects, in one table."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns)).alias("json")) for kind, df in parts.items()])
