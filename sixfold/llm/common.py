@@ -81,6 +81,12 @@ class Scratch:
                 if x.getPath().getName().partition("-")[2] in tags:
                     files.delete(x.getPath(), True)
 
+    def release(self, *tags: str) -> None:
+        """drop(), and lets Spark remove shuffle files and broadcasts of finished queries, which it does when the driver's
+        JVM collects its garbage."""
+        self.drop(*tags)
+        self.spark._jvm.System.gc()
+
     def __enter__(self) -> Scratch:
         return self
 
