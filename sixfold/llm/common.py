@@ -57,16 +57,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables of the shared folder that are deleted when the computation is over; its result must be stored outside."""
+    """Tables of the shared folder that are deleted when the computation is over; its result must be stored outside.
 
-    def __init__(self, spark: SparkSession):
+    tidy: the driver's JVM collects its garbage after each table. Spark removes shuffle files and broadcasts of finished
+    queries only then, and a computation of very many small queries otherwise keeps those of dozens.
+    """
+
+    def __init__(self, spark: SparkSession, tidy: bool = False):
         self.spark, self.path = spark, f"{checkpoint_dir(spark)}/sixfold/scratch-{uuid.uuid4().hex}"
-        self.count = 0
+        self.count, self.tidy = 0, tidy
 
     def stored(self, df: DataFrame, tag: str) -> DataFrame:
         self.count += 1
         path = f"{self.path}/{self.count}-{tag}"
         df.write.parquet(path)
+        if self.tidy:
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tags: str) -> None:
@@ -81,12 +87,6 @@ class Scratch:
                 if x.getPath().getName().partition("-")[2] in tags:
                     files.delete(x.getPath(), True)
 
-    def release(self, *tags: str) -> None:
-        """drop(), and lets Spark remove shuffle files and broadcasts of finished queries, which it does when the driver's
-        JVM collects its garbage."""
-        self.drop(*tags)
-        self.spark._jvm.System.gc()
-
     def __enter__(self) -> Scratch:
         return self
 
