@@ -171,3 +171,23 @@ def label_matches(labels: DataFrame, nodes: DataFrame, index: substring.GramInde
     """
     found = substring.found_in(index or substring.build_index(nodes), labels)
     return found.join(nodes.select("id", "label", "embedding"), "id").select("query", "id", "label", "embedding")
+
+
+def facade(texts: DataFrame, nodes: DataFrame, edges: DataFrame, clusters: DataFrame, communities: DataFrame, questions: DataFrame, top: int = 10) -> DataFrame:
+    """query, part, rank, item: what a question text brings together, for texts (query, text, node; node may be null).
+
+    question: the text's expansion (query, id), in the order of its ids' numbers. local: the nodes around `node`. community:
+    the first communities. hyper_edge: the first clusters (node, members) with a member whose label holds the text. Of
+    the last three `top` at most.
+    """
+    row = lambda df, part, item: df.select("query", F.lit(part).alias("part"), F.col("rank").cast("int").alias("rank"), F.col(item).cast("string").alias("item"))
+    asked_ = questions.withColumn("rank", F.substring("id", 2, 9).cast("int"))
+    seeds = texts.where("node is not null").select(F.col("node").alias("id")).distinct().join(nodes.select("id"), "id", "left_semi")
+    around = local(seeds, nodes, edges, top=top).join(texts.select("query", F.col("node").alias("seed")), "seed")
+    first = communities.select("community").distinct().orderBy("community").limit(top)
+    first = first.agg(F.array_sort(F.collect_list("community")).alias("of"))
+    listed = texts.select("query").join(F.broadcast(first), F.lit(True)).select("query", F.posexplode("of").alias("p", "community")).withColumn("rank", F.col("p") + 1)
+    member = clusters.select(F.col("node").alias("cluster"), F.explode("members").alias("id"))
+    held = label_matches(texts.select("query", "text"), nodes).join(member, "id").select("query", "cluster").distinct()
+    held = held.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("cluster"))).where(F.col("rank") <= top)
+    return row(asked_, "question", "id").unionByName(row(around, "local", "id")).unionByName(row(listed, "community", "community")).unionByName(row(held, "hyper_edge", "cluster"))

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..functions.vectors import Projections
 from ..operators import borders as b
 from ..operators import graph as g
 from ..operators import search as s
 from ..operators.code_index import asked, build_index, candidates
+from ..operators.text import archetype_scores, expanded
 from ..sources.tables import edges, read
-from .borders import SQL_CURVES, communities
+from .borders import SQL_CURVES, SQL_IFS, communities, curves
 from .cube import _CODE, _TURN, SQL_LSH, SQL_NODES, coded
 from .graph import _DOMINANT, _EGO, _HYPER, _MEANS, SQL_GRAPH, members
 from .registry import query
+from .text import SQL_TREE, WORDS
 
 
 def seeds(spark, sf_dir):
@@ -137,3 +142,54 @@ def archetype_boost(spark, sf_dir):
     q = read(spark, sf_dir, "benchmark").select("item_id", "text", F.lit(1).alias("k")).join(F.broadcast(c.withColumn("k", F.lit(1))), "k")
     each = q.select("item_id", "text", F.explode("of").alias("c"))
     return each.select("item_id", "c.community", s.boost(F.col("text"), F.col("c.dominant_archetype"), _BOOST_WORDS, names).alias("boost"))
+
+
+_TEXTS = ["новый алгоритм", "теория и закон", "город", "nothing"]
+_TEXT = f"{_TEXTS!r}[query // 100 % {len(_TEXTS)} + 1]"
+_OWN_BOOST = "case " + " ".join("when " + " or ".join(f"contains(text, '{w}')" for w in ws) + f" then case when list_contains({s.BOOST_ARCHETYPES[d]!r}, dominant_archetype) then 0.15 else 0 end" for d, ws in s.BOOST_WORDS.items()) + " else 0 end"
+_RERANKED = _STAGE[len(SQL_CURVES) :].replace("from nodes where id % 100 = 0)", "from nodes where id % 100 = 0), qt as (select *, " + _TEXT + " as text from q)", 1)
+_RERANKED = _RERANKED.replace("from q, ch)", f", cast({_OWN_BOOST} as double) as boost from qt q, ch join dom using (community))").replace(" + 1) / 2) + 0.4", " + 1) / 2 + boost) + 0.4")
+
+
+@query(f"""with recursive {SQL_IFS}{_RERANKED}, {re.sub(r"\bcl\b", "cl_h", _HYPER)},
+ci as (select community, arg_min(ifs, a * 1000 + b) as ifs from ch join fs on community = a or community = b group by 1), qi as (select query, ifs from q join member on node_id = query join ci using (community)),
+t0 as (select query, kind, item, score from (select *, row_number() over (partition by query order by score desc, kind, item) as r from s1) where r <= 20),
+tt as (select query, kind, item, case when kind = 0 and ci.ifs is not null and qi.ifs is not null then round(0.7 * score + 0.3 / (1 + 2 * sqrt(list_sum(list_transform(range(1, 9), lambda i: (ci.ifs[i] - qi.ifs[i]) ** 2)))), 6) else score end as score from t0 left join qi using (query) left join ci on kind = 0 and community = item),
+me as (select node, n, unnest(members) as item from hyper), hs as (select query, 2 as kind, node as item, round(sum(score) / n * (0.7 + 0.3 * count(*) / n), 6) as score from tt join me using (item) where kind = 1 group by query, node, n),
+al as (select * from tt union all select * from hs)
+select query, cast(rank as integer) as rank, kind, item, score from (select *, row_number() over (partition by query order by score desc, kind, item) as rank from al) where rank <= 10""")
+def ann_search_reranked(spark, sf_dir):
+    """The whole search: communities gain by a text's domain, are scored again by their first border's coefficients against
+    those of the query's community, and kept hyper-edges are found beside nodes."""
+    m, n = members(spark, sf_dir), coded(spark, sf_dir)
+    c = g.cut(communities(spark, sf_dir).join(g.dominant(m, n), "community"))
+    fractal = g.cut(curves(spark, sf_dir).select("a", "b", geometry.ifs(F.col("curve")).alias("ifs")))
+    first = fractal.select(F.explode(F.array("a", "b")).alias("community"), "a", "b", "ifs").groupBy("community").agg(F.min_by("ifs", F.struct("a", "b")).alias("ifs"))
+    c = g.cut(c.join(first, "community", "left"))
+    text = F.get(F.array(*map(F.lit, _TEXTS)), (F.floor(F.col("query") / 100) % len(_TEXTS)).cast("int"))
+    own = m.select(F.col("node_id").alias("query"), "community").join(c.select("community", "ifs"), "community").select("query", "ifs")
+    q = _queries(spark, sf_dir).join(own, "query", "left").withColumn("text", text)
+    hyper = g.cut(g.hyper_edges(edges(spark, sf_dir)).select("node", "members", F.size("members").alias("n")))
+    return s.ann(q, n, c, hyper, b.touching(c))
+
+
+_FACADE_STEPS = _STEPS[len(SQL_GRAPH) :].replace("where id % 100 = 0", "where id in (select item_id * 7 from benchmark)").replace("rk as (", "rks as (")
+
+
+@query(f"""with recursive {SQL_GRAPH}{_FACADE_STEPS}, {_HYPER}, bq as (select item_id, 'V' || (item_id * 7) as text from benchmark), {SQL_TREE.replace("from benchmark", "from bq")}, hm as (select node, unnest(members) as m from hyper),
+lo as (select seed, id, row_number() over (partition by seed order by distance, id) as rank from rks), co as (select community, row_number() over (order by community) as rank from (select distinct community from member)),
+hy as (select item_id, node, row_number() over (partition by item_id order by node) as rank from (select distinct item_id, hm.node from bq join nodes n on contains(lower(n.label), lower(text)) join hm on hm.m = n.id))
+select item_id as query, 'question' as part, cast(r as integer) as rank, id as item from tree union all select item_id, 'local', cast(rank as integer), cast(id as varchar) from lo join benchmark on item_id * 7 = seed where rank <= 10
+union all select item_id, 'community', cast(rank as integer), cast(community as varchar) from co, benchmark where rank <= 10 union all select item_id, 'hyper_edge', cast(rank as integer), cast(node as varchar) from hy where rank <= 10""")
+def query_facade(spark, sf_dir):
+    """What each text brings together: its questions, the nodes around one, communities, and hyper-edges that hold it."""
+    texts = g.cut(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.concat(F.lit("V"), (F.col("item_id") * 7).cast("string")).alias("text"), (F.col("item_id") * 7).alias("node")))
+    questions = expanded(archetype_scores(texts.select("query", "text"), words=WORDS), "query").select("query", "id")
+    return s.facade(texts, g.cut(coded(spark, sf_dir)), g.cut(edges(spark, sf_dir)), g.hyper_edges(edges(spark, sf_dir)), members(spark, sf_dir), questions)
+
+
+@query(f"with {SQL_GRAPH}, {_MEANS}, u as (select hex_id, 0 as p from ch union all select hex_id, 1 from nodes) select hex_id, case when min(p) = 0 then 'community' else 'node' end as kind, cast(sum(p) as bigint) as n_nodes from u group by 1")
+def q6_occupied(spark, sf_dir):
+    """The occupied codes, how many nodes have each, and whether a community, which goes first, stands there."""
+    both = communities(spark, sf_dir).select("hex_id", F.lit(0).alias("p")).unionByName(coded(spark, sf_dir).select("hex_id", F.lit(1).alias("p")))
+    return both.groupBy("hex_id").agg(F.when(F.min("p") == 0, "community").otherwise("node").alias("kind"), F.sum("p").alias("n_nodes"))
