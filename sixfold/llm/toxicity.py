@@ -24,8 +24,9 @@ from .training import SAMPLE, Rows, fit_logistic, held_out, labelled_sample, sig
 BEGINNINGS = range(3, 9)
 #: The entries found are dealt to so many lexicons; there are MOST_ENTRIES at most.
 LEXICONS, MOST_ENTRIES = 16, 400
-#: Entries occur in so many positive documents and have at least this share of positives.
-LEAST_POSITIVE, LEAST_SHARE = 3, 0.8
+#: Terms occur in so many documents. Entries have at least this share of positives, and add so many positive documents that
+#: no other entry marks; those that are precise enough by themselves are entries anyway.
+LEAST_COUNT, LEAST_SHARE, LEAST_ADDED, CONFIRMING, CONFIRMING_SHARE = 3, 0.8, 2, 8, 0.9
 #: Columns of the classifier at most, the penalty that chooses among them and the one on their weights.
 COLUMNS, L1, L2 = 12_000, 3e-4, 2e-5
 #: Documents without labels, at most, on which the label model and the classifier are fitted too.
@@ -123,20 +124,27 @@ class LabelModel:
 
 
 def lexicon(rows: Rows, labels: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> list[int]:
-    """Columns that mark positive training documents, by sequential covering: each next one marks the most that are left."""
+    """Columns that mark positive training documents, by sequential covering: each next one marks the most that are left.
+
+    Then those of the other columns that are frequent and precise, the strongest first. What they mark in the training
+    documents is marked already, but not what they mark alone in others.
+    """
     share = (positive + 0.5) / (positive + negative + 1)
-    good = (positive >= LEAST_POSITIVE) & (share >= LEAST_SHARE)
+    good = (positive >= LEAST_ADDED) & (share >= LEAST_SHARE)
     row, at = rows.row[good[rows.at]], rows.at[good[rows.at]]
     left, chosen = labels > 0, []
     while len(chosen) < MOST_ENTRIES:
         gain = np.bincount(at[left[row]], minlength=len(good))
         best = int(np.argmax(gain * share**2)) if len(gain) else 0
-        if not len(gain) or gain[best] < (LEAST_POSITIVE if len(chosen) else 1):
+        if not len(gain) or gain[best] < (LEAST_ADDED if len(chosen) else 1):
             break
         chosen.append(best)
         left = left.copy()
         left[row[at == best]] = False
-    return chosen
+    others = (positive >= CONFIRMING) & (share >= CONFIRMING_SHARE)
+    others[chosen] = False
+    strongest = np.argsort(-positive * share**2, kind="stable")
+    return (chosen + strongest[others[strongest]].tolist())[:MOST_ENTRIES]
 
 
 def vote(rows: Rows, names: list[str], chosen: list[int]) -> np.ndarray:
@@ -230,7 +238,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use=None, label: str = "tox
     counts = known.mapInArrow(_count, "term string, positive long, negative long").groupBy("term").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
     total = F.col("positive") + F.col("negative")
     strength = F.abs(F.col("positive") - total * rate) / F.sqrt(total * rate * (1 - rate))
-    top = counts.where(total >= LEAST_POSITIVE).orderBy(strength.desc(), "term").limit(COLUMNS).toArrow()
+    top = counts.where(total >= LEAST_COUNT).orderBy(strength.desc(), "term").limit(COLUMNS).toArrow()
     names = top.column("term").to_pylist()
     got = sample.select("text", F.coalesce("label", F.lit(-1)).alias("label")).mapInArrow(_chosen_terms(names), "label int, at array<int>").toArrow()
     lists = [np.array(x.values, np.int32) for x in got.column("at")]
@@ -238,7 +246,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, use=None, label: str = "tox
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs and score: the chance of label 1, from the text alone. Null and empty texts get the score of no terms."""
+    """docs and score: the chance of label 1, from the text alone, which is read whole however long it is.
+
+    Null and empty texts get the score of no terms. Rows repeated, or equal in text, get the same score each; no rows give no
+    rows; a column named score is replaced, all others stay.
+    """
     return with_score(docs, model, lambda m, b: [m.score(x) for x in column(b, "text").to_pylist()])  # COLUMNS weights at most
 
 

