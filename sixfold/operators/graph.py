@@ -211,7 +211,9 @@ def cluster_name(n: Column) -> Column:
 def hyper_edges(edges: DataFrame, overlap: float = 0.8) -> DataFrame:
     """The ego clusters that no earlier kept one covers by more than `overlap` of the larger: node, members, label.
 
-    Rounds of: a cluster stays once every earlier overlapping one is gone, and goes once one of them stays.
+    Rounds of: a cluster stays once every earlier overlapping one is gone, and goes once one of them stays. A round decides the
+    earliest undecided cluster of every chain of overlapping ones, so there are at most as many rounds as the longest chain
+    has clusters.
     """
     egos = cut(ego_clusters(edges))
     clash = cut(overlapping(egos, overlap))
