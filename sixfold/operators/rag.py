@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import q6
 from . import graph as g
 
 #: Labels that a community's line names, labels that it gives as sources, characters of the wide context in a hybrid one,
@@ -59,3 +60,23 @@ def contexts(questions: DataFrame, local: DataFrame, lines: DataFrame) -> DataFr
     pick = lambda a, b, c: F.when(F.col("mode") == "local", a).when(F.col("mode") == "global", b).otherwise(c)
     sources = F.slice(F.array_distinct(pick(F.col("labels"), F.col("wide_sources"), F.concat("labels", "wide_sources"))), 1, SOURCES)
     return q.select("query", "mode", pick(near, F.col("wide"), both).alias("context"), sources.alias("sources"))
+
+
+def local_answers(found: DataFrame, nodes: DataFrame, edges: DataFrame, communities: DataFrame, questions: DataFrame, top: int = 5, asked: int = 5, least: int = 4) -> DataFrame:
+    """query, labels, relations, archetypes, community, hex_id, bits, skeleton, ray, questions: what an answer is made from.
+
+    found: what an approximate search gives (query, rank, kind, item). Its first `top` nodes give labels, the edges that touch
+    them, and their archetypes; its first community the code, skeleton and longest ray (communities: community, hex_id, rays);
+    questions (query, id, priority) the first `asked` ids of a priority of `least` or more. Without a community, or any
+    node, what they would give is null.
+    """
+    ranked = found.where("kind = 1").withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("rank"))).where(F.col("r") <= top)
+    near = g.cut(ranked.select("query", F.col("item").alias("id"), F.col("r").alias("rank")))
+    kinds = near.join(nodes.select("id", "archetype"), "id").groupBy("query").agg(F.array_sort(F.collect_set("archetype")).alias("archetypes"))
+    first = found.where("kind = 0").groupBy("query").agg(F.min_by("item", "rank").cast("int").alias("community"))
+    bits = F.array_join(F.transform(q6.bits(F.col("hex_id")), lambda b: b.cast("string")), "")
+    of = communities.select("community", "hex_id", bits.alias("bits"), g.skeleton(F.col("hex_id")).alias("skeleton"), dominant_ray(F.col("rays")).alias("ray"))
+    urgent = questions.where(F.col("priority") >= least).withColumn("r", F.row_number().over(W.partitionBy("query").orderBy("id"))).where(F.col("r") <= asked)
+    more = urgent.groupBy("query").agg(F.array_sort(F.collect_list("id")).alias("questions"))
+    out = found.select("query").distinct().join(local_contexts(near, nodes, edges), "query", "left").join(kinds, "query", "left").join(first.join(of, "community"), "query", "left").join(more, "query", "left")
+    return out.select("query", "labels", "relations", "archetypes", "community", "hex_id", "bits", "skeleton", "ray", "questions")

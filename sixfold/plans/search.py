@@ -11,6 +11,7 @@ from ..functions import geometry
 from ..functions.vectors import Projections
 from ..operators import borders as b
 from ..operators import graph as g
+from ..operators import rag
 from ..operators import search as s
 from ..operators.code_index import asked, build_index, candidates
 from ..operators.text import archetype_scores, expanded
@@ -173,6 +174,36 @@ def ann_search_reranked(spark, sf_dir):
     return s.ann(q, n, c, hyper, b.touching(c))
 
 
+_ANSWER = f"""{SQL_CURVES}{_RERANKED}, {re.sub(r"\bcl\b", "cl_h", _HYPER)},
+tt as (select query, kind, item, score from (select *, row_number() over (partition by query order by score desc, kind, item) as r from s1) where r <= 20),
+me as (select node, n, unnest(members) as item from hyper), hs as (select query, 2 as kind, node as item, round(sum(score) / n * (0.7 + 0.3 * count(*) / n), 6) as score from tt join me using (item) where kind = 1 group by query, node, n),
+fin as (select * from (select *, row_number() over (partition by query order by score desc, kind, item) as rank from (select * from tt union all select * from hs)) where rank <= 10),
+nd as (select * from (select query, item as id, row_number() over (partition by query order by rank) as r from fin where kind = 1) where r <= 5),
+na as (select query, list('v' || nd.id order by r) as labels, list_sort(list_distinct(list(archetype))) as archetypes from nd join nodes on nodes.id = nd.id group by 1),
+re8 as (select *, row_number() over (partition by query order by source, target) as k from (select distinct query, source, target from nd join edges on source = id or target = id)),
+nr as (select query, string_agg('v' || source || ' -> v' || target, '; ' order by k) as relations from re8 where k <= 8 group by 1),
+kk as (select community, avg(weight) as mean, avg(case when directed then 1.0 else 0 end) as ways, count(*) as n, max(weight) as high from intra group by 1),
+kr as (select ch.community, hex_id, case when n is null then [0.5, 0.5, 0.5, 0.5, 0.5, 0.5, 0.5] else [least(1, mean), ways, 0.5, least(1, mean), least(1, n / 20.0), least(1, high), 0.7] end as l from ch left join kk on kk.community = ch.community),
+fc0 as (select query, cast(arg_min(item, rank) as integer) as community from fin where kind = 0 group by 1),
+fc1 as (select query, community, hex_id, list_aggregate(list_transform(range(0, 6), lambda i: cast((hex_id >> i) & 1 as varchar)), 'string_agg', '') as bits, case when hex_id & 1 = 1 then 'tower' else 'fractal' end as skeleton, {g.RAYS!r}[list_position(l, list_max(l))] as ray from fc0 join kr using (community)),
+bt as (select query as item_id, text from qt), {SQL_TREE.replace("from benchmark", "from bt")},
+qu as (select query, list(id order by id) as questions from (select item_id as query, id, row_number() over (partition by item_id order by id) as r from tree where priority >= 4) where r <= 5 group by 1)"""
+
+
+@query(f"with recursive {_ANSWER} select query, labels, case when labels is not null then coalesce(relations, 'none') end as relations, archetypes, community, hex_id, bits, skeleton, ray, questions from (select distinct query from fin) left join na using (query) left join nr using (query) left join fc1 using (query) left join qu using (query)")
+def rag_local_search(spark, sf_dir):
+    """What local answers are made from: nodes and community of an approximate search, and questions of a high priority."""
+    m, n, e = members(spark, sf_dir), g.cut(coded(spark, sf_dir)), g.cut(edges(spark, sf_dir))
+    rays = g.community_rays(m, g.intra_edges(e, m)).select("community", F.array(*g.RAYS).alias("rays"))
+    c = g.cut(communities(spark, sf_dir).join(g.dominant(m, n), "community").join(rays, "community"))
+    text = F.get(F.array(*map(F.lit, _TEXTS)), (F.floor(F.col("query") / 100) % len(_TEXTS)).cast("int"))
+    q = g.cut(_queries(spark, sf_dir).withColumn("text", text))
+    hyper = g.cut(g.hyper_edges(e).select("node", "members", F.size("members").alias("n")))
+    found = g.cut(s.ann(q, n, c, hyper, b.touching(c)))
+    questions = expanded(archetype_scores(q.select("query", "text"), words=WORDS), "query").select("query", "id", "priority")
+    return rag.local_answers(found, n, e, c, questions)
+
+
 _FACADE_STEPS = _STEPS[len(SQL_GRAPH) :].replace("where id % 100 = 0", "where id in (select item_id * 7 from benchmark)").replace("rk as (", "rks as (")
 
 
