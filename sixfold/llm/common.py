@@ -59,13 +59,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 class Scratch:
     """Tables of the shared folder that are deleted when the computation is over; its result must be stored outside.
 
-    tidy: the driver's JVM collects its garbage after each table. Spark removes shuffle files and broadcasts of finished
-    queries only then, and a computation of very many small queries otherwise keeps those of dozens.
+    tidy: on a cluster the driver's JVM collects its garbage after each table. Spark removes shuffle files and broadcasts of
+    finished queries only then, and a computation of very many small queries otherwise keeps those of dozens.
     """
 
     def __init__(self, spark: SparkSession, tidy: bool = False):
         self.spark, self.path = spark, f"{checkpoint_dir(spark)}/sixfold/scratch-{uuid.uuid4().hex}"
-        self.count, self.tidy = 0, tidy
+        self.count, self.tidy = 0, tidy and not spark.sparkContext.master.startswith("local[")
 
     def stored(self, df: DataFrame, tag: str) -> DataFrame:
         self.count += 1
