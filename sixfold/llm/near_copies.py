@@ -1,4 +1,8 @@
-"""Near copies by the exact Jaccard similarity of word shingles, found through prefixes of a common order.
+"""Near copies by SimHash fingerprints of word shingles first, and by prefixes of a common order for what these don't reach.
+
+A fingerprint is made of a text's distinct shingles. Fingerprints that differ in 3 bits or fewer are found through
+deletion-variant signatures, as in simhash.py, and each such pair of texts is verified by its exact Jaccard similarity. Texts
+of the similarity 0.8 are up to 17 bits apart, so the fingerprints alone would lose links; prefixes find all others.
 
 If two sets reach the similarity, the first n - ceil(0.8 n) + 1 members of each, in any order that both share, have one in
 common. The order puts shingles that a sample finds often last, so lines that many documents repeat are in few prefixes;
@@ -15,6 +19,7 @@ rejects most of what meets by chance before whole sets are compared.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -24,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, column, light, shuffle_partitions, stored, utf8, with_group
-from .simhash import SEED, components
+from .simhash import SEED, components, links
 
 #: Words of a shingle. The similarity is UPPER / LOWER = 0.8, in whole numbers so that no pair is lost to rounding.
 SHINGLE, UPPER, LOWER = 5, 4, 5
@@ -76,23 +81,32 @@ def _places(known: np.ndarray, values: np.ndarray, own: np.ndarray) -> np.ndarra
     return np.where(known[i] == own, values[i], 0)
 
 
-PREFIX = "row long, n int, gs array<long>, map array<long>"
+def print_of(own: np.ndarray) -> int:
+    """The SimHash of a set of hashes: a bit is 1 if it is in over half of them."""
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(own), 65536):
+        counts += np.unpackbits(own[lo : lo + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(own), bitorder="little").view("<i8")[0])
+
+
+PREFIX = "row long, n int, gs array<long>, map array<long>, fp long"
 
 
 def _prefixes(common, crowded=None):
-    """row, n (size of the set), gs (its prefix in the order) and the parity map. crowded: what goes behind all else."""
+    """row, n (size of the set), gs (its prefix in the order), the parity map and the fingerprint. crowded: what goes behind all else."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = [x.value for x in (common, crowded) if x is not None]
         for b in batches:
-            gs, ns, maps = [], [], []
+            gs, ns, maps, prints = [], [], [], []
             for x in utf8(column(b, "text")):
                 own = shingles(x)
                 maps.append(parity(own))
+                prints.append(print_of(own))
                 own = own[np.lexsort((own, *[_places(*order, own) for order in orders]))]
                 gs.append(own[: len(own) - -(-UPPER * len(own) // LOWER) + 1].view(np.int64))
                 ns.append(len(own))
-            yield pa.RecordBatch.from_arrays([column(b, "row"), pa.array(ns, pa.int32()), pa.array(gs, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], names=["row", "n", "gs", "map"])
+            yield pa.RecordBatch.from_arrays([column(b, "row"), pa.array(ns, pa.int32()), pa.array(gs, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64())), pa.array(prints, pa.int64())], names=["row", "n", "gs", "map", "fp"])
 
     return run
 
@@ -113,10 +127,33 @@ def _shared(known):
     return run
 
 
+def _inner(n: Column, at: Column) -> Column:
+    """Whether a member can be the shorter one of a pair: its share of what both must have in common leaves a ninth of the set."""
+    return (UPPER + LOWER) * (n - at) >= 2 * UPPER * n
+
+
+def _cell(n: Column) -> Column:
+    """A bit for the size: sets that reach the similarity have the same one or neighbouring ones (all beyond 62 are one).
+
+    A cell is a little wider than their sizes can differ, so rounding loses none.
+    """
+    return F.pow(F.lit(2.0), F.least(F.floor(F.log(n + 0.0) / math.log(1.001 * LOWER / UPPER)), F.lit(62))).cast("long")
+
+
+def _filled(n: Column, at: Column) -> list[Column]:
+    """size, cells (of all members) and inner (of those that can be the shorter one) of a bucket."""
+    return [F.count("*").alias("size"), F.bit_or(_cell(n)).alias("cells"), F.bit_or(F.when(_inner(n, at), _cell(n)).otherwise(F.lit(0).cast("long"))).alias("inner")]
+
+
+#: Whether a bucket can hold a pair: one in the same cell twice, or a shorter member and one a cell above it.
+WORTH = "size > 1 and inner <> 0 and (size > bit_count(cells) or (inner & shiftrightunsigned(cells, 1)) <> 0)"
+
+
 def _members(prefixes: DataFrame, part: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """g, row, n, at and component (by part, else the row) of every shingle that stands in more than one prefix, with first
-    (the same of the least row) and size of its bucket."""
-    shared = scratch.stored(prefixes.select(F.explode("gs").alias("g")).groupBy("g").count().where("count > 1").select("g"), "shared")
+    """g, row, n, at and component (by part, else the row) of every shingle whose bucket can hold a pair by its members' sizes
+    and places, with first (the same of the least row) and size of its bucket."""
+    n, at = F.col("n"), F.col("at")
+    shared = scratch.stored(prefixes.select("n", F.posexplode("gs").alias("at", "g")).groupBy("g").agg(*_filled(n, at)).where(WORTH).select("g"), "shared")
     if shared.count() <= SHARED:  # most shingles of prefixes are in one document only and go before anything else is shuffled
         known = prefixes.sparkSession.sparkContext.broadcast(np.sort(shared.toArrow().column("g").to_numpy()))
         members = scratch.stored(prefixes.select("row", "n", "gs").mapInArrow(light(_shared(known)), "g long, row long, n int, at int"), "repeated")
@@ -126,7 +163,7 @@ def _members(prefixes: DataFrame, part: DataFrame | None, scratch: Scratch) -> D
     if part is not None:
         members = scratch.stored(members.join(part, "row", "left"), "repeated")
     members = members.withColumn("component", F.col("row") if part is None else F.coalesce("component", "row"))
-    groups = members.groupBy("g").agg(F.min(F.struct("row", "n", "at", "component")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    groups = members.groupBy("g").agg(F.min(F.struct("row", "n", "at", "component")).alias("first"), *_filled(n, at)).where(WORTH).drop("cells", "inner")
     out = scratch.stored(with_group(members, scratch.stored(groups, "buckets"), "g", "size").where("size is not null"), "members")
     scratch.drop("shared", "repeated", "buckets")
     return out
@@ -162,6 +199,8 @@ def _apart(a: Column, b: Column) -> Column:
 def _by_maps(pairs: DataFrame, maps: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose maps leave the similarity possible."""
     pairs = scratch.stored(pairs, "met")
+    if pairs.isEmpty():
+        return pairs
     sizes = pairs.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").count()
     maps = scratch.stored(maps.join(sizes, "row"), "maps")
     for end in ("a", "b"):
@@ -241,6 +280,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(pairs: DataFrame, docs: DataFrame, maps: DataFrame | None, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose texts have the similarity; maps: None where pairs have been held against them."""
     pairs = scratch.stored(pairs, "pairs") if maps is None else _by_maps(pairs, maps, scratch)
+    if pairs.isEmpty():
+        return pairs
     sizes = scratch.stored(pairs.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").count(), "sizes")
     few = F.broadcast(sizes.select("row")) if sizes.count() <= BROADCAST_ROWS else sizes.select("row")
     needed = docs.join(few, "row", "left_semi").mapInArrow(light(_sets), "row long, own array<long>")
@@ -263,17 +304,34 @@ def near_copies(docs: DataFrame) -> DataFrame:
         return stored(_near_copies(docs.select("row", "text"), scratch), "near-copies")
 
 
-def _parted(members: DataFrame, part: DataFrame, scratch: Scratch) -> DataFrame:
+def _parted(members: DataFrame, part: DataFrame | None, scratch: Scratch) -> DataFrame:
     """members with the component that each is in by part, its own row if in none."""
-    joined = members.select("g", "row", "n", "at").join(part, "row", "left").withColumn("component", F.coalesce("component", "row"))
+    joined = members.select("g", "row", "n", "at", *(["component"] if part is None else []))
+    if part is not None:
+        joined = joined.join(part, "row", "left").withColumn("component", F.coalesce("component", "row"))
     return scratch.stored(joined, "parted")
 
 
 def _open(parted: DataFrame, scratch: Scratch) -> DataFrame:
-    """g, main (its largest component), size and others (members outside of it) of buckets with more than one component."""
-    each = parted.groupBy("g", "component").count()
-    by_g = each.groupBy("g").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("size"), F.max("count").alias("most"))
-    return scratch.stored(by_g.where("most < size").select("g", "main", "size", (F.col("size") - F.col("most")).alias("others")), "open")
+    """g, main (its largest component), size, others (members outside of it), cells and inner of buckets with more than one component."""
+    each = parted.groupBy("g", "component").agg(*_filled(F.col("n"), F.col("at")))
+    most = F.max("size").alias("most")
+    by_g = each.groupBy("g").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("size"), most, F.bit_or("cells").alias("cells"), F.bit_or("inner").alias("inner"))
+    return scratch.stored(by_g.where("most < size").select("g", "main", "size", (F.col("size") - F.col("most")).alias("others"), "cells", "inner"), "open")
+
+
+def _meeting(parted: DataFrame, opened: DataFrame) -> DataFrame:
+    """The members of opened buckets, with main and size, that their bucket's sizes and places leave a partner.
+
+    A member that can't be the shorter one needs one that can, in its cell or the one below; any other one needs a neighbour,
+    or a cell that holds two.
+    """
+    inside = with_group(parted, opened.drop("others"), "g", "size").where("main is not null")
+    cell = _cell(F.col("n"))
+    beside = cell.bitwiseOR(F.shiftleft(cell, 1)).bitwiseOR(F.shiftrightunsigned(cell, 1))
+    around = (F.col("cells").bitwiseAND(beside).bitwiseAND(F.bitwise_not(cell)) != 0) | (F.col("size") > F.bit_count("cells"))
+    below = F.col("inner").bitwiseAND(cell.bitwiseOR(F.shiftrightunsigned(cell, 1))) != 0
+    return inside.where(F.when(_inner(F.col("n"), F.col("at")), around).otherwise(below)).drop("cells", "inner")
 
 
 def _most(opened: DataFrame) -> int:
@@ -310,19 +368,39 @@ def _fullest(crowded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return known[order], others[order]
 
 
+def _by_prints(prefixes: DataFrame) -> DataFrame:
+    """Pairs (a, b): the least rows of fingerprints that are linked, and all rows of a fingerprint with its least one."""
+    rows = prefixes.select("fp", "row")
+    least = stored(rows.groupBy("fp").agg(F.min("row").alias("least"), F.count("*").alias("size")), "near-prints")
+    near = links(least.select("fp"))
+    ends = [least.select(F.col("fp").alias(end), F.col("least").alias(f"row_{end}")) for end in ("a", "b")]
+    across = near.join(ends[0], "a").join(ends[1], "b").select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+    same = with_group(rows, least.where("size > 1"), "fp", "size").where("row <> least").select(F.col("least").alias("a"), F.col("row").alias("b"))
+    return across.unionByName(same)
+
+
+def _united(part: DataFrame | None, found: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """row and component of all that part, the components so far, and the pairs found link."""
+    if found.isEmpty():
+        return part
+    edges = found.select("a", "b")
+    if part is not None:
+        edges = edges.unionByName(part.where("row <> component").select(F.col("component").alias("a"), F.col("row").alias("b")))
+    return scratch.stored(components(edges, scratch.stored).select(F.col("node").alias("row"), "component"), "part")
+
+
 def _near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sc, common = docs.sparkSession.sparkContext, _common(docs)
     prefixes = scratch.stored(docs.mapInArrow(light(_prefixes(common)), PREFIX), "prefixes")
     maps = prefixes.select("row", "n", "map")
-    edges = part = None
+    part = _united(None, _linked(_by_prints(prefixes), docs, maps, scratch), scratch)
     last = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     for turn in range(ROUNDS + 1):
         members = _members(prefixes, part, scratch)
         stars = members.where((F.col("component") != F.col("first.component")) & _possible(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at")))
         found = _linked(stars.select(F.col("first.row").alias("a"), F.col("row").alias("b")).distinct(), docs, maps, scratch)
-        edges = found if edges is None else scratch.stored(edges.unionByName(found), f"edges-{turn}")
         scratch.drop("parted", "open", *[f"parted-{turn - 1}-{k}" for k in range(TURNS)])
-        part = components(edges, scratch.stored).select(F.col("node").alias("row"), "component")
+        part = _united(part, found, scratch)
         parted = _parted(members, part, scratch)
         scratch.drop("members")
         opened = _open(parted, scratch)
@@ -330,8 +408,9 @@ def _near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
             if _most(opened) <= FEW:
                 break
             found = _linked(_pivoted(parted, opened.where(F.col("others") > FEW)), docs, maps, scratch)
-            edges = scratch.stored(edges.unionByName(found), f"edges-{turn}-{more}")
-            part = components(edges, scratch.stored).select(F.col("node").alias("row"), "component")
+            if found.isEmpty():
+                break
+            part = _united(part, found, scratch)
             # What isn't open any more is done with, unless a new order gives it new members.
             again = parted.drop("component").join(part, "row", "left").withColumn("component", F.coalesce("component", "row"))
             parted = scratch.stored(again, f"parted-{turn}-{more}")
@@ -355,7 +434,7 @@ def _near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
         behind.destroy()
         prefixes = prefixes.join(few, "row", "left_anti").unionByName(again)
     common.destroy()
-    across = with_group(parted, opened, "g", "size").where("main is not null").withColumn("slots", F.ceil(F.col("size") / PART).cast("int"))
+    across = _meeting(parted, opened).withColumn("slots", F.ceil(F.col("size") / PART).cast("int"))
     across = scratch.stored(across, "across")
     scratch.drop("parted", "open")
     across = across.join(maps.select("row", "map"), "row")
@@ -363,5 +442,5 @@ def _near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
     member = lambda df, one: df.select("g", slot[one].alias("slot"), "row", "n", "at", "component", "map", F.lit(one).alias("one"))
     both = member(across.where("component <> main"), True).unionByName(member(across, False))
     pairs = both.repartition(2 * shuffle_partitions(docs.sparkSession), "g", "slot").sortWithinPartitions("g", "slot").mapInArrow(light(_met), "a long, b long").distinct()
-    more = _linked(pairs, docs, None, scratch)
-    return components(edges.unionByName(more), scratch.stored).select(F.col("node").alias("row"), "component")
+    part = _united(part, _linked(pairs, docs, None, scratch), scratch)
+    return part if part is not None else docs.sparkSession.createDataFrame([], "row long, component long")

@@ -148,6 +148,50 @@ def test_shared_passages(spark, monkeypatch):
     assert counts[3] * 5 <= counts[0] or counts[0] == 0
 
 
+def test_fingerprints_first(spark):
+    """The near stage's first pairs are those of op2's deletion-variant signatures, on prints of five words."""
+    import numpy as np
+
+    rng = random.Random(6)
+    base = [[f"w{rng.randrange(10**5)}" for _ in range(300)] for _ in range(6)]
+    texts = [" ".join(x if rng.random() > change else "y" for x in w) for w in base for change in (0, 0, 0.003, 0.01, 0.03)]
+    common = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    prefixes = near_copies.stored(docs.mapInArrow(near_copies._prefixes(common), near_copies.PREFIX), "test-prefixes")
+    prints = []
+    for t in texts:
+        own = [int(x) for x in near_copies.shingles(t.encode())]
+        prints.append(sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in own) > len(own)))
+    assert {r.row: r.fp % 2**64 for r in prefixes.select("row", "fp").collect()} == dict(enumerate(prints))
+    pairs = {(r.a, r.b) for r in near_copies._by_prints(prefixes).collect()}
+    root = lambda links: [min(x) for x in (reached(i, links, len(texts)) for i in range(len(texts)))]
+    close = {(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 3}
+    assert pairs <= close and len(close) > 6 and root(pairs) == root(close)
+
+
+def reached(i, links, n):
+    seen, more = set(), {i}
+    while more:
+        seen |= more
+        more = {b for a, b in links | {(b, a) for a, b in links} if a in seen} - seen
+    return seen
+
+
+def test_sizes_of_a_bucket(spark):
+    """A bucket is kept if two of its members can reach the similarity by size and place, and always if they do."""
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(7), []
+    for g in range(3000):
+        n = [rng.randrange(1, 3000), rng.randrange(1, 3000)]
+        n[1] = rng.randrange(max(1, -(-4 * n[0] // 5)), n[0] * 5 // 4 + 1) if g % 2 else n[1]
+        rows += [(g, m, rng.randrange(0, m // 5 + 1)) for m in n]
+    df = spark.createDataFrame(rows, "g long, n int, at int")
+    kept = {r.g for r in df.groupBy("g").agg(*near_copies._filled(F.col("n"), F.col("at"))).where(near_copies.WORTH).collect()}
+    can = {g for (g, n, x), (_, m, y) in zip(rows[::2], rows[1::2]) if 9 * (1 + min(n - x - 1, m - y - 1)) >= 4 * (n + m)}
+    assert can <= kept and len(can) > 300 and len(kept) < 2000
+
+
 def test_near_on_tables(spark, sf):
     """The near stage on the given table, quality filter not applied, and the stage after it on what is left."""
     docs = dict(STAGES)["exact"](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
