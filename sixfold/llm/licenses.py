@@ -1,8 +1,8 @@
 """Licence notices in documents: a trained paragraph classifier in DataFrame functions.
 
-A multinomial model (one logistic regression per family) over sparse word n-grams, fitted on notice templates, their
-shortened and surrounded variants and a bounded sample of the corpus's own lines, names a paragraph's family. Scores are
-calibrated on variants and lines that a second fit has not seen. A paragraph that speaks of licensing but reaches no
+A multinomial logistic regression over sparse word n-grams, fitted by Spark on notice templates, their shortened and
+surrounded variants and all of the corpus's own lines, names a paragraph's family. Counts of words and the thresholds are
+those of all lines too. A paragraph that speaks of licensing but reaches no
 family's threshold is `unknown`. A family counts as confirmed if the paragraph also holds enough of the words of one of the
 family's templates.
 
@@ -14,15 +14,16 @@ that stay below that bound for every family, and name no licensing word, are don
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import let, table
-from .training import Rows, fit_logistic, fit_sigmoid, hash_sample
+from .common import let, stored, table
 
 #: Notices of each family, in the words that such notices commonly use.
 TEMPLATES = {
@@ -85,15 +86,17 @@ GENERIC = [
 ]
 #: Words that mark a paragraph as speaking of licensing at all.
 CUES = ["license", "licensed", "licence", "licenced", "licenses", "licensing", "copyright", "spdx", "redistribution", "copyleft"]
-#: Lines of the corpus that stand for other text, at most; n-grams are up to ORDER words long.
+#: All lines of other text weigh as much as so many templates' variants, at most; n-grams are up to ORDER words long.
 OTHER_LINES, ORDER = 3000, 3
 #: Share of a template's words that confirms a family.
 CONFIRMED = 0.6
 #: Share of what the weakest family needs that makes a line part of a paragraph of several lines, if its rare words give it;
 #: a rare word is in this share of other lines at most.
 EVIDENCE, COMMON = 0.1, 0.01
-#: Share of unseen other lines that may pass a family's threshold.
+#: Share of all other lines that may pass a family's threshold.
 FALSE = 0.001
+#: Steps of the fit, at most.
+STEPS = 60
 SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -108,86 +111,95 @@ def grams(words: list[str]) -> set[str]:
 VOCABULARY = sorted(set().union(*(grams(tokens(t)) for ts in TEMPLATES.values() for t in ts)))
 
 
-def near_template(words: list[str]) -> bool:
-    """Whether a line shares ORDER words in a row with a template, or holds CONFIRMED of a template's words."""
-    if any(g.count(" ") == ORDER - 1 and g in _LONGEST for g in grams(words)):
-        return True
-    own = set(words)
-    return any(len(own & t) >= CONFIRMED * len(t) for t in _TEMPLATE_WORDS)
+_WORDS = [g for g in VOCABULARY if " " not in g]
+_TEMPLATE_WORDS = [list(dict.fromkeys(tokens(t))) for ts in TEMPLATES.values() for t in ts]
 
 
-_LONGEST = {g for g in VOCABULARY if g.count(" ") == ORDER - 1}
-_TEMPLATE_WORDS = [set(tokens(t)) for ts in TEMPLATES.values() for t in ts]
+def _patterns(lines: DataFrame) -> DataFrame:
+    """grams (those of the vocabulary) and weight (how many lines have just these) of all lines that stand for other text.
 
+    Lines near a template, which share ORDER words in a row with one or hold CONFIRMED of its words, and those with a word of
+    licensing don't.
+    """
 
-class LicenseModel:
-    """weights[gram] by family, bias, slope and shift of the calibrated chance, and the margin that each family needs.
+    def of(words: Column) -> Column:
+        at = lambda i, k: F.get(words, i + (k - 1))
+        two = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: (at(i, 0) != "") & (at(i, 1) != ""))
+        pairs = F.transform(two, lambda i: F.concat_ws(" ", at(i, 0), at(i, 1)))
+        threes = F.transform(F.filter(two, lambda i: at(i, 2) != ""), lambda i: F.concat_ws(" ", at(i, 0), at(i, 1), at(i, 2)))
+        return F.sort_array(F.array_distinct(F.concat(F.array_remove(words, ""), F.filter(F.concat(pairs, threes), lambda g: g.isin(VOCABULARY)))))
 
-    Lines near a template, or with a word of licensing, don't stand for other text.
-    """
+    words = lines.select(F.explode(F.array(_words(F.col("line")))).alias("words")).where((F.size("words") > 0) & ~F.exists("words", lambda w: w.isin(CUES)))
+    known = F.transform("words", lambda w: F.when(w.isin(_WORDS), w).otherwise(""))
+    each = words.select(let(known, of).alias("grams")).groupBy("grams").agg(F.count("*").alias("weight"))
+    longest = F.exists("grams", lambda g: F.length(g) - F.length(F.replace(g, F.lit(" "))) == ORDER - 1)
+    shared = [F.size(F.array_intersect("grams", F.lit(t))) >= CONFIRMED * len(t) for t in _TEMPLATE_WORDS]
+    return each.where(~longest).where(~F.exists(F.array(*shared), lambda x: x))
 
-    def __init__(self, other: list[str], seed: int = 9):
+
+class LicenseModel:
+    """weights[gram] by family against other text, bias, and the margin that each family needs. other: lines, of which those
+    near a template, or with a word of licensing, don't stand for other text."""
+
+    def __init__(self, other: DataFrame | list[str], seed: int = 9):
+        spark = SparkSession.active()
+        lines = other if isinstance(other, DataFrame) else spark.createDataFrame([(x,) for x in other], "line string")
+        patterns = stored(_patterns(lines), "license-patterns")
+        total = patterns.agg(F.sum("weight")).first()[0] or 0
+        ones = patterns.select(F.explode("grams").alias("w"), "weight").where(F.col("w").isin(_WORDS)).groupBy("w").agg(F.sum("weight").alias("n"))
+        common = {r.w: r.n for r in ones.collect()}
         random = np.random.default_rng(seed)
-        lines = [w for w in map(tokens, other) if w and not set(w) & set(CUES) and not near_template(w)]
-        texts, classes, fold = [], [], []
+        rows = []
 
-        def add(words: list[str], k: int, part: int) -> None:
-            texts.append(words)
-            classes.append(k)
-            fold.append(part)
+        def surrounding() -> list[str]:
+            """The vocabulary's words of an average line, apart from each other."""
+            own = [w for w in _WORDS if random.random() * max(1, total) < common.get(w, 0)]
+            return [x for w in random.permutation(own).tolist() for x in ("", w)]
 
         for k, family in enumerate(FAMILIES):
-            for i, template in enumerate(TEMPLATES[family]):
+            for template in TEMPLATES[family]:
                 words = tokens(template)
                 for n, drop in enumerate([0.0] * 6 + [0.1] * 10 + [0.25] * 10):
                     own = [w for w in words if random.random() >= drop]
-                    if n % 3 == 2 and lines:  # inside other text
-                        x = lines[random.integers(len(lines))]
+                    if n % 3 == 2:  # inside other text
+                        x = surrounding()
                         cut = int(random.integers(len(x) + 1))
-                        own = x[:cut][-20:] + own + x[cut:][:20]
-                    add(own, k, n // 3 % 2)
-        for i, words in enumerate(lines):
-            add(words, -1, i % 2)
-        for i, sentence in enumerate(GENERIC):
-            for _ in range(10):
-                add(tokens(sentence), -1, i % 2)
-        place = {g: i for i, g in enumerate(VOCABULARY)}
-        at = [np.array(sorted(place[g] for g in grams(x) if g in place), np.int64) for x in texts]
-        y, fold = np.array(classes), np.array(fold)
-
-        def fitted(use: np.ndarray) -> list[tuple[np.ndarray, float]]:
-            rows = Rows([x for x, u in zip(at, use) if u])
-            return [fit_logistic(rows, (y[use] == k).astype(float), len(VOCABULARY), l1=2e-5, l2=1e-5, steps=200) for k in range(len(FAMILIES))]
-
-        margin = np.zeros((len(FAMILIES), len(y)))
-        for part in (0, 1):
-            seen = fold != part
-            rows = Rows([x for x, u in zip(at, ~seen) if u])
-            for k, (w, b) in enumerate(fitted(seen)):
-                margin[k, ~seen] = rows.times(w) + b
-        final = fitted(np.ones(len(y), bool))
-        self.bias = [b for _, b in final]
-        self.weights = {g: [float(w[i]) for w, _ in final] for g, i in place.items() if any(abs(w[i]) > 1e-3 for w, _ in final)}
-        self.slope, self.shift, self.need = [], [], []
+                        own = [*x[:cut], "", *own, "", *x[cut:]]
+                    rows.append((sorted(grams(own)), float(k), 1.0))
+        generic = [grams(tokens(x)) for x in GENERIC]
+        rows += [(sorted(x), float(len(FAMILIES)), 10.0) for x in generic]
+        scale = min(1.0, OTHER_LINES / max(1, total))
+        data = patterns.select("grams", F.lit(float(len(FAMILIES))).alias("label"), (F.col("weight") * scale).alias("weight"))
+        data = data.unionByName(spark.createDataFrame(rows, "grams array<string>, label double, weight double"))
+        vectors = CountVectorizerModel.from_vocabulary(VOCABULARY, inputCol="grams", outputCol="features").setBinary(True)
+        fit = LogisticRegression(family="multinomial", weightCol="weight", regParam=3e-5, elasticNetParam=2 / 3, standardization=False, maxIter=STEPS).fit(vectors.transform(data))
+        matrix, bias = fit.coefficientMatrix.toArray(), fit.interceptVector.toArray()
+        matrix, self.bias = matrix[:-1] - matrix[-1], (bias[:-1] - bias[-1]).tolist()
+        self.weights = {g: matrix[:, i].tolist() for i, g in enumerate(VOCABULARY) if (np.abs(matrix[:, i]) > 1e-3).any()}
+        # How many lines of other text have which margin, in steps of 1/1000, where it is above that of an even chance.
+        raw = vector_to_array("rawPrediction")
+        margins = fit.transform(vectors.transform(patterns)).select("weight", F.posexplode(F.transform(F.slice(raw, 1, len(FAMILIES)), lambda x: x - F.get(raw, F.lit(len(FAMILIES))))).alias("k", "margin"))
+        passed = margins.where("margin > 0").groupBy("k", F.ceil(F.col("margin") * 1000).alias("step")).agg(F.sum("weight").alias("n")).collect()
+        self.need = []
         for k in range(len(FAMILIES)):
-            a, c = fit_sigmoid(margin[k], (y == k).astype(float))
-            none = np.sort(margin[k][y == -1])
-            high = none[int(np.ceil((1 - FALSE) * len(none))) - 1] if len(none) else 0.0
-            self.slope.append(a)
-            self.shift.append(c)
-            # An even chance, and more than unseen lines of other text have but for the share FALSE of them.
-            self.need.append(float(max(-c / a, high + 1e-6)))
-        common = Counter(w for x in lines for w in set(x))
+            of = [sum(self.weights[g][k] for g in x if g in self.weights) + self.bias[k] for x in generic]
+            need, beyond = max(0.0, max(of) + 1e-6), 0
+            for r in sorted((r for r in passed if r.k == k), key=lambda r: -r.step):
+                beyond += r.n
+                if beyond > FALSE * total:
+                    need = max(need, r.step / 1000 + 1e-6)
+                    break
+            self.need.append(need)
         self.charge = self._charges(common)
         #: Words that few other lines have: only these tell that a line may be part of a longer notice.
-        self.rare = [w for w in self.charge if common[w] <= COMMON * len(lines)]
+        self.rare = [w for w in self.charge if common.get(w, 0) <= COMMON * total]
 
-    def _charges(self, common: Counter) -> dict[str, float]:
+    def _charges(self, common: dict[str, int]) -> dict[str, float]:
         """What a word can add to a line at most, as a share of what a family needs: each n-gram counts for its rarest word."""
         room = [max(n - b, 1e-3) for n, b in zip(self.need, self.bias)]
         sums: dict[str, np.ndarray] = {}
         for g, weights in self.weights.items():
-            word = min(g.split(" "), key=lambda w: (common[w], w))
+            word = min(g.split(" "), key=lambda w: (common.get(w, 0), w))
             sums[word] = sums.get(word, np.zeros(len(room))) + np.maximum(weights, 0) / room
         return {w: float(x.max()) for w, x in sums.items() if x.max() > 0}
 
@@ -214,9 +226,7 @@ def _joined(words: Column, starts: Column, k: int) -> Column:
 
 
 def fit_licenses(docs: DataFrame) -> LicenseModel:
-    """Other lines are OTHER_LINES of the corpus, by a hash of their places."""
-    lines = hash_sample(_lines(docs).where(F.length("line") > 0), OTHER_LINES, "doc_id", "line_no")
-    return LicenseModel(sorted({r.line for r in lines.select("line").collect()}))
+    return LicenseModel(_lines(docs).where(F.length("line") > 0).select("line"))
 
 
 def _scored(paragraphs: DataFrame, model: LicenseModel, reaches: Column | None = None) -> DataFrame:
@@ -230,13 +240,15 @@ def _scored(paragraphs: DataFrame, model: LicenseModel, reaches: Column | None =
     zero = F.lit([0.0] * len(FAMILIES))
     total = F.aggregate(F.col("_hits"), zero, lambda acc, g: F.zip_with(acc, F.get(matrix, (F.array_position(place, g) - 1).cast("int")), lambda x, y: x + y))
     out = paragraphs.withColumn("_hits", hits).withColumn("_sums", F.explode(F.array(total)))
+    power = [F.exp(F.least(F.get("_sums", k) + model.bias[k], F.lit(300.0))) for k in range(len(FAMILIES))]
+    out = out.withColumn("_all", F.explode(F.array(sum(power, F.lit(1.0)))))
 
     def chance(k: int) -> Column:
-        margin = F.get("_sums", k) + model.bias[k]
-        p = 1 / (1 + F.exp(-(margin * model.slope[k] + model.shift[k])))
-        return F.struct((margin >= model.need[k]).alias("sure"), p.alias("p"), F.lit(FAMILIES[k]).alias("family"))
+        p = power[k] / F.col("_all")
+        sure = (F.get("_sums", k) + model.bias[k] >= model.need[k]) & (p >= 0.5)
+        return F.struct(sure.alias("sure"), p.alias("p"), F.lit(FAMILIES[k]).alias("family"))
 
-    return out.withColumn("best", F.array_max(F.array(*[chance(k) for k in range(len(FAMILIES))]))).drop("_hits", "_sums")
+    return out.withColumn("best", F.array_max(F.array(*[chance(k) for k in range(len(FAMILIES))]))).drop("_hits", "_sums", "_all")
 
 
 def scan(docs: DataFrame, model: LicenseModel) -> DataFrame:

@@ -155,6 +155,16 @@ def test_notices_without_cue(spark):
     assert got == {(i, 1): "proprietary" for i in range(60)} | {(100 + i, 1): f for i, f in enumerate(notices.values())}
 
 
+def test_licences_see_all_lines(spark):
+    """Counts of words are those of all lines, beyond what the lines weigh together; cues and lines near a template don't count."""
+    n = 2 * licenses.OTHER_LINES
+    lines = spark.range(n).selectExpr("concat('the river of line ', id, if(id % 2 = 0, ' in source', '')) AS line")
+    lines = lines.unionByName(spark.createDataFrame([("All rights reserved.",), ("the license",), ("",)], "line string"))
+    got = {tuple(r.grams): r.weight for r in licenses._patterns(lines).collect()}
+    assert sum(w for g, w in got.items() if "in source" in g) == n // 2
+    assert sum(got.values()) == n
+
+
 @pytest.mark.parametrize("parts,part", [(3, 1), (4, 2)])
 def test_folds(spark, parts, part):
     import zlib
