@@ -106,10 +106,13 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str | list[str], size: s
     """rows left-joined with groups (one row a key, `size` = how many rows have that key), safe for hot keys.
 
     The groups above HOT_SHARE of all rows number 1 / HOT_SHARE at most, whatever the data, and are broadcast; every
-    other key is small, so a plain shuffled join spreads it. Null keys match nothing and stay.
+    other key is small, so a plain shuffled join spreads it. Without such groups that join is all: a broadcast costs the
+    driver threads and memory. Null keys match nothing and stay.
     """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    least = max(1000, math.ceil(total * HOT_SHARE))
+    total, most = groups.agg(F.sum(size), F.max(size)).first()
+    least = max(1000, math.ceil((total or 0) * HOT_SHARE))
+    if (most or 0) < least:
+        return rows.join(groups, key, "left")
     others = [c for c in groups.columns if c not in ([key] if isinstance(key, str) else key)]
     hot = groups.where(F.col(size) >= least).withColumn("_hot", F.lit(True))
     marked = rows.join(F.broadcast(hot), key, "left")

@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpus_pipeline import STAGES, run
 from sixfold.llm import near_copies
+from sixfold.llm.common import with_group
 from sixfold.llm.registry import ORACLES
 
 from .test_contamination_sharding_packing import words
@@ -177,6 +179,21 @@ def reached(i, links, n):
     return seen
 
 
+def test_lookups_without_hot_keys(spark):
+    """Groups that are all small are joined plainly, without a broadcast that the driver would have to hold; hot ones still get theirs."""
+    rows = spark.range(4000).selectExpr("id", "if(id % 5 = 0, null, id % 50) AS k")
+    for hot in (False, True):
+        many = rows.unionByName(spark.range(3000).selectExpr("-id - 1 AS id", "7L AS k")) if hot else rows
+        groups = many.where("k is not null").groupBy("k").count().withColumn("x", F.col("k") * 2)
+        got = with_group(many, groups, "k", "count")
+        assert got.columns == ["k", "id", "count", "x"]
+        size = {k: 80 + 3000 * (hot and k == 7) for k in range(50)}
+        want = {(r.id, r.k, r.k and size[r.k], r.k and 2 * r.k) for r in many.collect()}
+        assert {(r.id, r.k, r["count"], r.x) for r in got.collect()} == want and got.count() == many.count()
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == hot
+
+
 def test_sizes_of_a_bucket(spark):
     """A bucket is kept if two of its members can reach the similarity by size and place, and always if they do."""
     from pyspark.sql import functions as F
