@@ -115,6 +115,31 @@ _WORDS = [g for g in VOCABULARY if " " not in g]
 _TEMPLATE_WORDS = [list(dict.fromkeys(tokens(t))) for ts in TEMPLATES.values() for t in ts]
 
 
+def _tree(words: list[str]) -> str:
+    """A regular expression for these words, by their letters: most other words are told by the first one."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    if not heads:
+        return ""
+    return "(?:" + "|".join(re.escape(c) + _tree(rest) for c, rest in heads.items()) + ")" + "?" * ("" in words)
+
+
+#: Between blanks, a word that is neither of the vocabulary nor a cue.
+UNKNOWN = rf"(?<= )(?!{_tree(sorted({*_WORDS, *CUES}))} )[^ ]+"
+
+
+def _runs(lines: DataFrame) -> DataFrame:
+    """runs (the different ones of neighbouring known words) and weight (how many lines have just these) of all lines with words.
+
+    Regular expressions are compiled with the pass over the lines; functions on an array's elements aren't, so only the groups get those.
+    """
+    blanks = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col("line")), SPLIT, " "), F.lit(" "))
+    known = lines.select(F.explode(F.array(blanks)).alias("words")).where(F.trim("words") != "").select(F.trim(F.regexp_replace("words", UNKNOWN, "")).alias("known"))
+    return known.groupBy(F.sort_array(F.array_distinct(F.split("known", " {2,}"))).alias("runs")).agg(F.count("*").alias("weight"))
+
+
 def _patterns(lines: DataFrame) -> DataFrame:
     """grams (those of the vocabulary) and weight (how many lines have just these) of all lines that stand for other text.
 
@@ -129,9 +154,10 @@ def _patterns(lines: DataFrame) -> DataFrame:
         threes = F.transform(F.filter(two, lambda i: at(i, 2) != ""), lambda i: F.concat_ws(" ", at(i, 0), at(i, 1), at(i, 2)))
         return F.sort_array(F.array_distinct(F.concat(F.array_remove(words, ""), F.filter(F.concat(pairs, threes), lambda g: g.isin(VOCABULARY)))))
 
-    words = lines.select(F.explode(F.array(_words(F.col("line")))).alias("words")).where((F.size("words") > 0) & ~F.exists("words", lambda w: w.isin(CUES)))
-    known = F.transform("words", lambda w: F.when(w.isin(_WORDS), w).otherwise(""))
-    each = words.select(let(known, of).alias("grams")).groupBy("grams").agg(F.count("*").alias("weight"))
+    apart = F.split(F.array_join("runs", "  "), " ")  # an empty word between runs
+    words = _runs(lines).select("weight", F.explode(F.array(apart)).alias("words")).where(~F.arrays_overlap("words", F.lit(CUES)))
+    # Out of a generator, since the filters below would else be put before the sums, each with an expression of its own for the grams.
+    each = words.select("weight", F.explode(F.array(let(F.col("words"), of))).alias("grams")).groupBy("grams").agg(F.sum("weight").alias("weight"))
     longest = F.exists("grams", lambda g: F.length(g) - F.length(F.replace(g, F.lit(" "))) == ORDER - 1)
     shared = [F.size(F.array_intersect("grams", F.lit(t))) >= CONFIRMED * len(t) for t in _TEMPLATE_WORDS]
     return each.where(~longest).where(~F.exists(F.array(*shared), lambda x: x))

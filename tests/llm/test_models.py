@@ -165,6 +165,26 @@ def test_licences_see_all_lines(spark):
     assert sum(got.values()) == n
 
 
+def test_patterns_of_odd_lines(spark):
+    """The patterns are those of a plain version, also of odd separators and letters; no function on elements runs on each line."""
+    rng = np.random.default_rng(12)
+    words = [*licenses._WORDS, *licenses.CUES, *"river them ofx xof é ß Ⅷ İn ½ 2.0 By-NC of_the \U0001d400the the\U0001d400 !!! work\u0301".split()]
+    lines = ["".join(str(x) for w in rng.choice(words, rng.integers(0, 14)) for x in (w, rng.choice([" ", "  ", "-", ", ", "_", "\t", "\u00a0"]))) for _ in range(2000)]
+    lines += ["", " ", "!!!", "the", " the ", "the river " * 20_000]
+    lines += [x.upper() for x in lines[:200]]
+    want = {}
+    for line in lines:
+        own = licenses.tokens(line)
+        found = licenses.grams(own) & {*licenses.VOCABULARY}
+        near = any(g.count(" ") == 2 for g in found) or any(len(found & {*t}) >= licenses.CONFIRMED * len(t) for t in licenses._TEMPLATE_WORDS)
+        if own and not near and not {*own} & {*licenses.CUES}:
+            want[tuple(sorted(found))] = want.get(tuple(sorted(found)), 0) + 1
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert {tuple(r.grams): r.weight for r in licenses._patterns(df).collect()} == want
+    plan = licenses._patterns(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan.rpartition("Aggregate")[2]  # the innermost one groups the lines
+
+
 @pytest.mark.parametrize("parts,part", [(3, 1), (4, 2)])
 def test_folds(spark, parts, part):
     import zlib
