@@ -56,11 +56,16 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Whether the files that a session reads are kept in its cache of listings.
+LISTINGS = "spark.sql.hive.manageFilesourcePartitions"
+
+
 class Scratch:
     """Tables of the shared folder that are deleted when the computation is over; its result must be stored outside.
 
     tidy: on a cluster the driver's JVM collects its garbage after each table. Spark removes shuffle files and broadcasts of
-    finished queries only then, and a computation of very many small queries otherwise keeps those of dozens.
+    finished queries only then, and a computation of very many small queries otherwise keeps those of dozens. Nor do the
+    names of a table's files go to the session's cache of listings, which holds up to 250 MB of tables that are long deleted.
     """
 
     def __init__(self, spark: SparkSession, tidy: bool = False):
@@ -71,9 +76,15 @@ class Scratch:
         self.count += 1
         path = f"{self.path}/{self.count}-{tag}"
         df.write.parquet(path)
-        if self.tidy:
-            self.spark._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
+        if not self.tidy:
+            return self.spark.read.schema(df.schema).parquet(path)
+        self.spark._jvm.System.gc()
+        kept = self.spark.conf.get(LISTINGS)
+        self.spark.conf.set(LISTINGS, "false")
+        try:
+            return self.spark.read.schema(df.schema).parquet(path)
+        finally:
+            self.spark.conf.set(LISTINGS, kept)
 
     def drop(self, *tags: str) -> None:
         """Deletes the tables that were stored under these tags so far, or all of them."""

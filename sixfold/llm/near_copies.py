@@ -44,6 +44,8 @@ CROWD, CROWDED_MOST, ROUNDS = 256, 500_000, 3
 FEW, TURNS = 4, 1
 #: Members of a bucket that meet in one task; larger buckets are dealt to several.
 PART = 500
+#: Edges whose components a task finds at once (some 100 bytes each).
+FOREST = 500_000
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -339,17 +341,16 @@ def _most(opened: DataFrame) -> int:
     return opened.agg(F.max("others").alias("m")).first().m or 0
 
 
-def _pivoted(parted: DataFrame, opened: DataFrame) -> DataFrame:
+def _pivoted(parted: DataFrame, opened: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b): in each opened bucket, one member outside the main component with all that are in other components.
 
     The member is the one whose opened buckets hold most in all, the least row among equals.
     """
-    inside = with_group(parted, opened, "g", "size").where("main is not null")
+    inside = scratch.stored(with_group(parted, opened.select("g", "main", "size"), "g", "size").where("main is not null"), "inside")
     weight = inside.groupBy("row").agg(F.sum("size").alias("weight"))
     apart = inside.where("component <> main").join(weight, "row")
-    pivot = apart.groupBy("g").agg(F.max_by(F.struct("row", "n", "at", "component"), F.struct("weight", -F.col("row"))).alias("pivot"))
-    pivot = pivot.join(opened.select("g", "size"), "g")
-    each = with_group(parted, pivot, "g", "size").where(F.col("pivot").isNotNull() & (F.col("component") != F.col("pivot.component")))
+    pivot = apart.groupBy("g", "size").agg(F.max_by(F.struct("row", "n", "at", "component"), F.struct("weight", -F.col("row"))).alias("pivot"))
+    each = with_group(inside.drop("main", "size"), scratch.stored(pivot, "pivots"), "g", "size").where(F.col("pivot").isNotNull() & (F.col("component") != F.col("pivot.component")))
     each = each.where(_possible(F.col("n"), F.col("at"), F.col("pivot.n"), F.col("pivot.at")))
     return each.select(F.least("row", "pivot.row").alias("a"), F.greatest("row", "pivot.row").alias("b")).distinct()
 
@@ -379,6 +380,70 @@ def _by_prints(prefixes: DataFrame) -> DataFrame:
     return across.unionByName(same)
 
 
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b), sorted, and the least node that each reaches by them."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while len(i):
+        least = np.minimum(root[i], root[j])
+        for end in (i, j):
+            np.minimum.at(root, root[end], least)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    return nodes, nodes[root]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and root (the least node that it reaches) by the edges of each FOREST in a task: a node comes once for each."""
+
+    def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+        nodes, roots = _roots(*np.concatenate(held, axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
+
+    held: list[np.ndarray] = []
+    for b in batches:
+        held.append(np.stack([column(b, "a").to_numpy(), column(b, "b").to_numpy()]))
+        if sum(x.shape[1] for x in held) >= FOREST:
+            yield rows(held)
+            held = []
+    if held:
+        yield rows(held)
+
+
+def _joined(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """node and component (the least node that it reaches) of every node of the edges (a, b).
+
+    Tasks make forests of the edges that they read, and a node's roots in different forests are the edges that are left.
+    A node has a row for each forest at most, however many edges it has, so no key is hot. Where edges hardly grow fewer
+    that way (long chains dealt over many tasks), alternating stars do the rest.
+    """
+    levels, left = [], None
+    while True:
+        found = edges.mapInArrow(light(_forests), "node long, root long").groupBy("node").agg(F.min("root").alias("component"), F.collect_set("root").alias("roots"))
+        levels.append(scratch.stored(found.withColumn("roots", F.when(F.size("roots") > 1, F.col("roots"))), "forests"))
+        several = levels[-1].where("roots is not null")
+        edges = several.select(F.explode("roots").alias("a"), F.col("component").alias("b")).where("a <> b")
+        before, left = left, edges.count()
+        if not left:
+            break
+        if before is not None and 2 * left > before:
+            levels.append(scratch.stored(components(edges, scratch.stored), "forests"))
+            break
+    out = levels.pop().select("node", "component")
+    while levels:
+        roots, below = out.select(F.col("node").alias("component"), F.col("component").alias("to")), levels.pop()
+        if out.count() <= BROADCAST_ROWS:
+            out = below.join(F.broadcast(roots), "component", "left")
+        else:
+            sizes = below.groupBy("component").agg(F.count("*").alias("size"))
+            out = with_group(below, scratch.stored(roots.join(sizes, "component"), "forests"), "component", "size")
+        out = out.select("node", F.coalesce("to", "component").alias("component"))
+    return out
+
+
 def _united(part: DataFrame | None, found: DataFrame, scratch: Scratch) -> DataFrame | None:
     """row and component of all that part, the components so far, and the pairs found link."""
     if found.isEmpty():
@@ -386,7 +451,9 @@ def _united(part: DataFrame | None, found: DataFrame, scratch: Scratch) -> DataF
     edges = found.select("a", "b")
     if part is not None:
         edges = edges.unionByName(part.where("row <> component").select(F.col("component").alias("a"), F.col("row").alias("b")))
-    return scratch.stored(components(edges, scratch.stored).select(F.col("node").alias("row"), "component"), "part")
+    part = scratch.stored(_joined(edges, scratch).select(F.col("node").alias("row"), "component"), "part")
+    scratch.drop("forests", "stars")
+    return part
 
 
 def _near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -407,7 +474,8 @@ def _near_copies(docs: DataFrame, scratch: Scratch) -> DataFrame:
         for more in range(TURNS):
             if _most(opened) <= FEW:
                 break
-            found = _linked(_pivoted(parted, opened.where(F.col("others") > FEW)), docs, maps, scratch)
+            found = _linked(_pivoted(parted, opened.where(F.col("others") > FEW), scratch), docs, maps, scratch)
+            scratch.drop("inside", "pivots")
             if found.isEmpty():
                 break
             part = _united(part, found, scratch)

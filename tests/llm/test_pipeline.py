@@ -257,3 +257,33 @@ def test_nothing(spark, nothing, sf):
 def test_null_labels(spark, docs, tmp_path):
     spark.createDataFrame([(1, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert dict(STAGES)["quality"](spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_joined(spark, monkeypatch):
+    """Forests, and stars where these don't help, give the components of plain Python."""
+    rng = random.Random(5)
+    chain = list(range(100, 160))
+    edges = list(zip(chain, chain[1:])) + [(1, k) for k in range(200, 260)] + [(k, 260 - k) for k in range(1, 40)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(90)]
+    rng.shuffle(edges)
+    least = {x: x for e in edges for x in e}
+    while any(least[a] != least[b] for a, b in edges):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    for forest in (1, 7, 10**6):
+        monkeypatch.setattr(near_copies, "FOREST", forest)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+        df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+        for most in (0, 10**6):
+            monkeypatch.setattr(near_copies, "BROADCAST_ROWS", most)
+            with near_copies.Scratch(spark) as scratch:
+                assert sorted(map(tuple, near_copies._joined(df, scratch).collect())) == sorted(least.items())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def test_few_jobs(spark, docs):
+    """The driver keeps what it knows of finished jobs and tasks, so a near stage must not run hundreds of them."""
+    sc = spark.sparkContext
+    sc.setJobGroup("few-jobs", "near copies")
+    near_copies.near_copies(docs.select(F.monotonically_increasing_id().alias("row"), "text")).count()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("few-jobs")) < 100
