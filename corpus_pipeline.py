@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sixfold.llm.common import ascii_lower, stored, table, with_group
+from sixfold.llm.common import ascii_lower, stored, table, tidy_driver, with_group
 from sixfold.llm.decontaminate import contamination
 from sixfold.llm.exact_dedup import exact_dedup
 from sixfold.llm.near_copies import near_copies
@@ -30,7 +30,9 @@ ARROW_ROWS = 1000
 
 
 def _light(spark: SparkSession) -> None:
+    """Sets that, and gives back what the driver has freed in the stages before."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    tidy_driver(spark)
 
 
 def _without(docs: DataFrame, dropped: DataFrame, on: list[Column]) -> DataFrame:
@@ -47,6 +49,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _light(spark)
     model = fit_quality(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     own = docs.withColumnRenamed("score", KEY) if "score" in docs.columns else docs
+    tidy_driver(spark)  # of the sample
     kept = score_quality(own, model).where("score >= 0.5").drop("score")
     return kept.withColumnRenamed(KEY, "score").select(docs.columns)
 

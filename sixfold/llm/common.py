@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,32 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim_jvm(spark: SparkSession) -> str:
+    """Has the driver's JVM give the free memory of its C library back to the system; what it says, or nothing if it can't.
+
+    The C library keeps what threads have freed, each in a place of its own, and a session of very many small queries has
+    hundreds of threads. Only the interface of a bean server is open to calls from outside the JVM, not its class.
+    """
+    java, array = spark._jvm.java.lang, spark.sparkContext._gateway.new_array
+    of, kinds = java.Class.forName, array(java.Class, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = of(kind)
+    values = array(java.Object, 4)
+    values[0], values[1] = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        return of("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(java.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:  # older JVMs, or another C library
+        return ""
+
+
+def tidy_driver(spark: SparkSession) -> None:
+    """On a cluster, gives the memory that the driver has freed back to the system: the heap's and C library's of its JVM, and Python's."""
+    if not spark.sparkContext.master.startswith("local["):
+        spark._jvm.System.gc()
+        trim_jvm(spark)
+        trim()
+
+
 #: Whether the files that a session reads are kept in its cache of listings.
 LISTINGS = "spark.sql.hive.manageFilesourcePartitions"
 
@@ -64,7 +91,8 @@ class Scratch:
     """Tables of the shared folder that are deleted when the computation is over; its result must be stored outside.
 
     tidy: on a cluster the driver's JVM collects its garbage after each table. Spark removes shuffle files and broadcasts of
-    finished queries only then, and a computation of very many small queries otherwise keeps those of dozens. Nor do the
+    finished queries only then, and a computation of very many small queries otherwise keeps those of dozens. What the
+    driver has freed then goes back to the system. Nor do the
     names of a table's files go to the session's cache of listings, which holds up to 250 MB of tables that are long deleted.
     """
 
@@ -78,7 +106,7 @@ class Scratch:
         df.write.parquet(path)
         if not self.tidy:
             return self.spark.read.schema(df.schema).parquet(path)
-        self.spark._jvm.System.gc()
+        tidy_driver(self.spark)
         kept = self.spark.conf.get(LISTINGS)
         self.spark.conf.set(LISTINGS, "false")
         try:
@@ -132,16 +160,21 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str | list[str], size: s
     return near.unionByName(far)
 
 
+def trim() -> None:
+    """Gives this process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def light(run):
     """A function for mapInArrow that gives free memory back to the system when a task is over, since Python workers live on."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trim()
 
     return wrapped
 

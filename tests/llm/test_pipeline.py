@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpus_pipeline import STAGES, run
-from sixfold.llm import near_copies
+from sixfold.llm import common, near_copies
 from sixfold.llm.common import with_group
 from sixfold.llm.registry import ORACLES
 
@@ -287,3 +288,17 @@ def test_few_jobs(spark, docs):
     near_copies.near_copies(docs.select(F.monotonically_increasing_id().alias("row"), "text")).count()
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert len(sc.statusTracker().getJobIdsForGroup("few-jobs")) < 100
+
+
+def test_driver_gives_back(spark, nothing, sf, monkeypatch):
+    """The driver's JVM gives back what its C library has freed, behind each scratch table on a cluster and before each stage."""
+    assert common.trim_jvm(spark).startswith("Trim native heap")
+    calls = []
+    for where in (common, corpus_pipeline):
+        monkeypatch.setattr(where, "tidy_driver", calls.append)
+    with common.Scratch(spark, tidy=True) as scratch:
+        assert not scratch.tidy  # a local session
+        scratch.tidy = True
+        assert scratch.stored(nothing, "none").count() == 0 and len(calls) == 1
+    dict(STAGES)["packing"](spark, nothing, sf)
+    assert calls == [spark, spark]
