@@ -114,7 +114,7 @@ def embed_documents(spark, sf_dir):
 def node_signature(spark, sf_dir):
     n = coded(spark, sf_dir)
     bits = F.array(*[F.shiftright("hex_id", i).bitwiseAND(1).cast("double") for i in range(6)])
-    return n.select("id", F.concat(bits, F.transform("embedding", lambda x: F.round(x, 6))).alias("signature"), (1 - F.col("hex_id").bitwiseAND(1)).alias("south"))
+    return n.select("id", F.concat(bits, F.transform("embedding", vectors.rounded)).alias("signature"), (1 - F.col("hex_id").bitwiseAND(1)).alias("south"))
 
 
 @query(f"with {SQL_GRAPH} select b.item_id, n.id, n.label from benchmark b join nodes n on contains(lower(n.label), lower('v' || (b.item_id * 7)))")
