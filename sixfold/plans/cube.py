@@ -141,7 +141,7 @@ def q6_spectrum(spark, sf_dir):
 @query("with n as (select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), m as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as l from n) select id, round(l, 6) as norm, list_transform(v, lambda x: round(x / case when l = 0 then 1 else l end, 6)) as unit, list_concat(v, [0.0, 0, 0, 0, 0, 0])[1:6] as six from m")
 def vec_normalize(spark, sf_dir):
     v = F.col("embedding")
-    return nodes(spark, sf_dir).select("id", F.round(vectors.norm(v), 6).alias("norm"), F.transform(vectors.normalize(v), lambda x: F.round(x, 6)).alias("unit"), vectors.padded(v).alias("six"))
+    return nodes(spark, sf_dir).select("id", F.round(vectors.norm(v), 6).alias("norm"), F.transform(vectors.normalize(v), vectors.rounded).alias("unit"), vectors.padded(v).alias("six"))
 
 
 @query("""with n as (select vec_id as id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), u as (select id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from n),
