@@ -57,7 +57,7 @@ def octagram_signature(spark, sf_dir):
     """Every node's eight-pointed star: its 16 numbers, skeleton, main axis, whether it is flat, and the sum of its tips' heights."""
     r = F.col("rays")
     height = F.aggregate(geo.octagram_vertices(r), F.lit(0.0), lambda a, p: a + p["z"])
-    return _octagrams(spark, sf_dir).select("id", F.transform(geo.octagram_vector(r), lambda x: F.round(x, 6)).alias("v"), geo.octagram_skeleton(r).alias("skeleton"), geo.octagram_axis(r).alias("axis"), geo.octagram_flat(r).alias("flat"), F.round(height, 6).alias("height"))
+    return _octagrams(spark, sf_dir).select("id", F.transform(geo.octagram_vector(r), vectors.rounded).alias("v"), geo.octagram_skeleton(r).alias("skeleton"), geo.octagram_axis(r).alias("axis"), geo.octagram_flat(r).alias("flat"), vectors.rounded(height).alias("height"))
 
 
 @query(f"with {SQL_NODES}, {_OCT}, p as (select id, list_concat(l, e) as v, lead(list_concat(l, e)) over (partition by topic order by id) as u from oc) select id, round(sqrt(list_sum(list_transform(range(1, 17), lambda i: (v[i] - u[i]) ** 2))), 6) as distance from p where u is not null")

@@ -21,7 +21,7 @@ def test_rounded(spark):
     assert list(map(repr, got)) == list(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["node_signature", "vec_normalize"])
+@pytest.mark.parametrize("name", ["node_signature", "octagram_signature", "vec_normalize"])
 def test_signs(spark, tmp_path, name):
     """Vectors of 64 numbers, some of which are too small for six decimals."""
     rows = [(i, [TINY[(i + k) % 8] if k % 3 == 0 else math.sin(7 * i + k) / 8 for k in range(64)], i % 10) for i in range(40)]
