@@ -83,26 +83,29 @@ def held(texts: DataFrame, vocabulary: DataFrame, most: int, part: int = PART) -
     return found.withColumn("hits", F.transform("hits", lambda x: x["phrase"]))
 
 
-def partly(tokens: DataFrame, vocabulary: DataFrame, part: int = PART) -> DataFrame:
-    """token, ord: for each different token the least ord of a phrase that holds it or that it holds, if there is one.
+def first(tokens: list[str], machine, phrases: list[tuple[str, int]]) -> list[int | None]:
+    """For each of different tokens the least ord of a phrase that holds it or that it holds; phrases come in the order of ords.
 
-    The part's automaton runs over the tokens for phrases inside them; for tokens inside phrases, the automaton of a batch
-    of tokens runs over the part's phrases.
+    The automaton of phrases runs over the tokens for phrases inside them; for tokens inside phrases, an automaton of the
+    tokens runs over the phrases.
     """
+    inside = automaton([(t, i) for i, t in enumerate(tokens)])
+    holds: dict[int, int] = {}
+    for phrase, ord_ in phrases if inside is not None else []:
+        for _, (i, _) in inside.iter(phrase):
+            holds.setdefault(i, ord_)
+    return [min([v for _, (v, _) in machine.iter(t)] + ([holds[i]] if i in holds else []), default=None) for i, t in enumerate(tokens)]
+
+
+def partly(tokens: DataFrame, vocabulary: DataFrame, part: int = PART) -> DataFrame:
+    """token, ord: for each different token the least ord of a phrase that holds it or that it holds, if there is one."""
 
     def step(b: pd.DataFrame, machine, phrases) -> pd.DataFrame:
         if machine is None:
             return b
-        tokens = b["token"].tolist()
-        best = [None if pd.isna(x) else int(x) for x in b["ord"]]
-        inside = automaton([(t, i) for i, t in enumerate(tokens)])
-        first: dict[int, int] = {}
-        for phrase, ord_ in phrases if inside is not None else []:
-            for _, (i, _) in inside.iter(phrase):
-                first.setdefault(i, ord_)
-        for i, t in enumerate(tokens):
-            found = [v for _, (v, _) in machine.iter(t)] + ([first[i]] if i in first else []) + ([best[i]] if best[i] is not None else [])
-            best[i] = min(found) if found else None
+        before = [[] if pd.isna(x) else [int(x)] for x in b["ord"]]
+        now = first(b["token"].tolist(), machine, phrases)
+        best = [min([*x, *([] if o is None else [o])], default=None) for x, o in zip(before, now)]
         return b.assign(ord=pd.array(best, dtype="Int64"))
 
     found = _through(tokens.select("token").distinct().withColumn("ord", F.lit(None).cast("long")), vocabulary, part, step)

@@ -1,9 +1,21 @@
-"""Embedding of texts by a vocabulary of phrases, given as a table (phrase, ord, v) with unit vectors."""
+"""Embedding of texts by a vocabulary of phrases, given as a table (phrase, ord, v) with unit vectors.
+
+A vocabulary of bounded size is broadcast, and each text is embedded inside its row, without a shuffle. A larger one is
+joined with the texts' positions.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors
 from . import phrases
@@ -15,27 +27,149 @@ TOKEN = r"[а-яёa-z0-9]+"
 HELD, SEED_FACTOR = 0.6, 2654435761
 #: The name of the texts' key while they are embedded.
 KEY = "_text"
+#: Phrases of a vocabulary that may be broadcast whole, and numbers in all their vectors.
+WHOLE, NUMBERS = 100_000, 4_000_000
+#: Tokens of texts that a task works on at once, and different ones that it keeps from one time to the next.
+AT_ONCE, KEPT = 1 << 18, 200_000
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def embed(texts: DataFrame, key: str, vocabulary: DataFrame, partly: bool = False) -> DataFrame:
+@dataclass
+class Whole:
+    """A whole vocabulary: its phrases by rank in the order of ords, and where runs of one, two and three words lead.
+
+    words numbers the words of such phrases; a run is the number that its words' numbers make as digits.
+    """
+
+    phrases: list[tuple[str, int]]
+    vectors: np.ndarray
+    machine: object
+    words: dict[str, int]
+    runs: list[tuple[np.ndarray, np.ndarray]]
+
+
+def whole(vocabulary: DataFrame, most: int = WHOLE) -> Whole | None:
+    """A vocabulary (phrase, ord, v) of phrases and vectors of one length without nulls; None for others, and for too large ones."""
+    size = F.size("v")
+    n, least, longest, holes = vocabulary.agg(F.count("*"), F.min(size), F.max(size), F.max(F.coalesce(F.col("phrase") == "", F.lit(True)) | F.col("ord").isNull() | F.col("v").isNull() | F.exists("v", lambda x: x.isNull()))).first()
+    if not 0 < n <= most or holes is not False or not least == longest > 0 or n * longest > NUMBERS:
+        return None
+    rows = vocabulary.toArrow().sort_by([("ord", "ascending"), ("phrase", "ascending")]).combine_chunks()
+    known = rows.column("phrase").to_pylist()
+    split = [p.split(" ") for p in known]
+    words: dict[str, int] = {}
+    for parts in split:
+        for w in parts if len(parts) <= 3 else []:
+            words.setdefault(w, len(words))
+    runs = []
+    for length in (1, 2, 3):
+        of = sorted((sum(words[w] * len(words) ** (length - 1 - i) for i, w in enumerate(parts)), rank) for rank, parts in enumerate(split) if len(parts) == length)
+        runs.append((np.array([k for k, _ in of], np.int64), np.array([rank for _, rank in of], np.int64)))
+    ranked = [(p, rank) for rank, p in enumerate(known)]
+    v = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    return Whole(ranked, v, phrases.automaton(ranked), words, runs)
+
+
+class _Numbers(dict):
+    """token: number. A token that isn't there gets the next one."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self)
+        return n
+
+
+def _longest(t: np.ndarray, left: np.ndarray, w: Whole) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the rank of the longest phrase that begins there, or -1, and its size; left: tokens to the text's end."""
+    n = len(w.words)
+    rank, size, run = np.full(len(t), -1), np.zeros(len(t)), np.zeros(len(t), np.int64)
+    at = np.arange(len(t))
+    for length, (keys, ranks) in enumerate(w.runs, 1):
+        at = at[left[at] >= length]
+        at = at[t[at + length - 1] < n]
+        run[at] = run[at] * n + t[at + length - 1]
+        if len(keys):
+            place = np.minimum(np.searchsorted(keys, run[at]), len(keys) - 1)
+            hit = keys[place] == run[at]
+            rank[at[hit]] = ranks[place[hit]]
+            size[at[hit]] = np.where(left[at[hit]] == length, 3, length)
+    return rank, size
+
+
+def _inside(known, partly: bool):
+    """Key, hits, mean vector (null without a hit) and, without a hit, the text, for rows of key and lower-cased text."""
+    token = re.compile(TOKEN)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w: Whole = known.value
+        numbers, held = _Numbers(w.words), np.zeros(0, np.int64)
+
+        def embedded(keys: pa.Array, texts: list[str | None], found: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal numbers, held
+            n, lengths = len(texts), np.array([len(f) for f in found])
+            t, text = np.concatenate(found), np.repeat(np.arange(n), lengths)
+            rank, size = _longest(t, np.repeat(np.cumsum(lengths), lengths) - np.arange(len(t)), w)
+            if partly:
+                new = phrases.first(list(islice(numbers, len(held), None)), w.machine, w.phrases)
+                held = np.append(held, np.array([-1 if r is None else r for r in new], np.int64))
+                missing = rank < 0
+                rank[missing], size[missing] = held[t[missing]], HELD
+                if len(numbers) > max(KEPT, 2 * len(w.words)):
+                    numbers, held = _Numbers(w.words), held[: len(w.words)]
+            hit = rank >= 0
+            text, rank, size = text[hit], rank[hit], size[hit]
+            hits, total = np.bincount(text, minlength=n), np.bincount(text, size, n)
+            some = hits > 0
+            sums = [np.bincount(text, size * of[rank], n)[some] / total[some] for of in w.vectors.T]
+            starts = np.append(0, np.cumsum(some * len(sums))).astype(np.int32)
+            v = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.stack(sums, 1).ravel()), mask=pa.array(~some))
+            rest = pa.array([None if h else x for x, h in zip(texts, some)], pa.string())
+            return pa.RecordBatch.from_arrays([keys, pa.array(hits.astype(np.int64)), v, rest], names=[KEY, "hits", "v", "text"])
+
+        for b in batches:
+            keys, low, texts, found, n = b.column(0), 0, [], [], 0
+            for i, x in enumerate(b.column(1), 1):
+                texts.append(x.as_py())
+                of = token.findall(texts[-1] or "")
+                found.append(np.fromiter(map(numbers.__getitem__, of), np.int64, len(of)))
+                n += len(of)
+                if n >= AT_ONCE or i == len(b):
+                    yield embedded(keys.slice(low, i - low), texts, found)
+                    low, texts, found, n = i, [], [], 0
+
+    return run
+
+
+def _own(low: Column) -> Column:
+    """A unit vector of six numbers that the characters of a lower-cased text seed; a null text counts as empty."""
+    total = F.aggregate(F.filter(F.split(F.coalesce(low, F.lit("")), ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c))
+    seed = ((total % (1 << 31)) * (SEED_FACTOR % (1 << 32))).bitwiseAND(F.lit(vectors.MASK))
+    return vectors.normalize(vectors.generated(seed))
+
+
+def embed(texts: DataFrame, key: str, vocabulary: DataFrame, partly: bool = False, most: int = WHOLE) -> DataFrame:
     """key, hits, v: the weighted mean of the phrases found, made a unit vector; null without a hit.
 
     At each token the longest phrase of three, two or one tokens counts its size (at a text's end a shorter one counts
     the size it was looked up with, so the last tokens weigh up to three).
 
     partly: a token without a phrase counts HELD for the first phrase (by ord) that holds it or that it holds, and a text
-    without any hit gets a vector of six numbers that its characters seed. Different tokens are looked up once, by the
-    automaton of phrases.partly(), whatever the vocabulary's size. A phrase stands once in the vocabulary; without partly
-    it needs no ord.
+    without any hit gets a vector of six numbers that its characters seed. A phrase stands once in the vocabulary; without
+    partly it needs no ord. A vocabulary of more than `most` phrases is joined instead of broadcast.
     """
     texts = texts.select(F.col(key).alias(KEY), "text")
     if "ord" not in vocabulary.columns:
         vocabulary = vocabulary.withColumn("ord", F.xxhash64("phrase"))
     vocabulary = cut(vocabulary.select("phrase", F.col("ord").cast("long").alias("ord"), "v"))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    unit = F.transform(F.array(F.when(size == 0, F.lit(1.0)).otherwise(size)), lambda n: F.transform("v", lambda x: x / n))[0]
+    if (w := whole(vocabulary, most)) is not None:
+        schema = T.StructType([*texts.select(KEY).schema.fields, *T.StructType.fromDDL("hits long, v array<double>, text string").fields])
+        rows = texts.select(KEY, F.lower("text").alias("text")).mapInArrow(_inside(texts.sparkSession.sparkContext.broadcast(w), partly), schema)
+        v = F.when(F.col("hits") > 0, unit).otherwise(_own(F.col("text"))) if partly else unit
+        return rows.select(F.col(KEY).alias(key), "hits", v.alias("v"))
     ords = vocabulary.select("phrase", "ord")
 
     def tries(w: Column) -> Column:
@@ -59,11 +193,7 @@ def embed(texts: DataFrame, key: str, vocabulary: DataFrame, partly: bool = Fals
     sums = parts.groupBy(KEY, "k").agg((F.sum(F.col("x") * F.col("size")) / F.sum("size")).alias("m"), F.sum("n").alias("hits"))
     v = F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"])
     out = sums.groupBy(KEY).agg(F.max("hits").alias("hits"), v.alias("v"))
-    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.transform(F.array(F.when(size == 0, F.lit(1.0)).otherwise(size)), lambda n: F.transform("v", lambda x: x / n))[0]
     if not partly:
         return texts.select(KEY).join(out, KEY, "left").select(F.col(KEY).alias(key), F.coalesce("hits", F.lit(0)).alias("hits"), unit.alias("v"))
-    total = F.aggregate(F.filter(F.split(F.lower("text"), ""), lambda c: c != ""), F.lit(0).cast("long"), lambda a, c: a + F.ascii(c))
-    seed = ((total % (1 << 31)) * (SEED_FACTOR % (1 << 32))).bitwiseAND(F.lit(vectors.MASK))
-    own = texts.select(KEY, vectors.normalize(vectors.generated(seed)).alias("own"))
+    own = texts.select(KEY, _own(F.lower("text")).alias("own"))
     return own.join(out, KEY, "left").select(F.col(KEY).alias(key), F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce(unit, F.col("own")).alias("v"))

@@ -107,7 +107,7 @@ def embed_partly(spark, sf_dir):
 def embed_documents(spark, sf_dir):
     """Whole documents by the phrases of the items, parts of words counted too, and by their characters where none is found."""
     e = vocabulary.embed(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", phrases_of_items(spark, sf_dir), partly=True)
-    return e.select("doc_id", "hits", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+    return e.select("doc_id", "hits", F.transform("v", vectors.rounded).alias("v"))
 
 
 @query(f"with {SQL_NODES} select id, list_concat([cast((hex_id >> i) & 1 as double) for i in range(0, 6)], list_transform(v, lambda x: round(x, 6))) as signature, 1 - (hex_id & 1) as south from nodes")
