@@ -94,7 +94,8 @@ def first(tokens: list[str], machine, phrases: list[tuple[str, int]]) -> list[in
     for phrase, ord_ in phrases if inside is not None else []:
         for _, (i, _) in inside.iter(phrase):
             holds.setdefault(i, ord_)
-    return [min([v for _, (v, _) in machine.iter(t)] + ([holds[i]] if i in holds else []), default=None) for i, t in enumerate(tokens)]
+    least = [min((v for _, (v, _) in machine.iter(t)), default=None) for t in tokens]
+    return [holds.get(i) if v is None else min(v, holds.get(i, v)) for i, v in enumerate(least)]
 
 
 def partly(tokens: DataFrame, vocabulary: DataFrame, part: int = PART) -> DataFrame:

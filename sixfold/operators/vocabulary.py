@@ -6,13 +6,13 @@ joined with the texts' positions.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,15 +22,15 @@ from . import phrases
 from .graph import cut
 from .lookup import looked_up
 
-TOKEN = r"[а-яёa-z0-9]+"
+TOKEN, BETWEEN = r"[а-яёa-z0-9]+", r"[^а-яёa-z0-9]+"
 #: What a token counts that a phrase only holds, or that holds a phrase, and the factor of the fallback's seed.
 HELD, SEED_FACTOR = 0.6, 2654435761
 #: The name of the texts' key while they are embedded.
 KEY = "_text"
 #: Phrases of a vocabulary that may be broadcast whole, and numbers in all their vectors.
 WHOLE, NUMBERS = 100_000, 4_000_000
-#: Tokens of texts that a task works on at once, and different ones that it keeps from one time to the next.
-AT_ONCE, KEPT = 1 << 18, 200_000
+#: Bytes of texts that a task works on at once, and different tokens that it keeps from one time to the next.
+AT_ONCE, KEPT = 1 << 21, 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -39,7 +39,8 @@ def tokens(text: Column) -> Column:
 
 @dataclass
 class Whole:
-    """A whole vocabulary: its phrases by rank in the order of ords, and where runs of one, two and three words lead.
+    """A whole vocabulary: its phrases by rank in the order of ords, an automaton of those that may be the first inside a
+    token, and where runs of one, two and three words lead.
 
     words numbers the words of such phrases; a run is the number that its words' numbers make as digits.
     """
@@ -70,7 +71,10 @@ def whole(vocabulary: DataFrame, most: int = WHOLE) -> Whole | None:
         runs.append((np.array([k for k, _ in of], np.int64), np.array([rank for _, rank in of], np.int64)))
     ranked = [(p, rank) for rank, p in enumerate(known)]
     v = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-    return Whole(ranked, v, phrases.automaton(ranked), words, runs)
+    # A phrase that holds an earlier one is never the first that a token holds.
+    every = phrases.automaton(ranked)
+    least = phrases.automaton([(p, rank) for p, rank in ranked if min(r for _, (r, _) in every.iter(p)) == rank])
+    return Whole(ranked, v, least, words, runs)
 
 
 class _Numbers(dict):
@@ -100,17 +104,20 @@ def _longest(t: np.ndarray, left: np.ndarray, w: Whole) -> tuple[np.ndarray, np.
 
 def _inside(known, partly: bool):
     """Key, hits, mean vector (null without a hit) and, without a hit, the text, for rows of key and lower-cased text."""
-    token = re.compile(TOKEN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w: Whole = known.value
         numbers, held = _Numbers(w.words), np.zeros(0, np.int64)
 
-        def embedded(keys: pa.Array, texts: list[str | None], found: list[np.ndarray]) -> pa.RecordBatch:
+        def embedded(keys: pa.Array, texts: pa.Array) -> pa.RecordBatch:
             nonlocal numbers, held
-            n, lengths = len(texts), np.array([len(f) for f in found])
-            t, text = np.concatenate(found), np.repeat(np.arange(n), lengths)
-            rank, size = _longest(t, np.repeat(np.cumsum(lengths), lengths) - np.arange(len(t)), w)
+            n, parts = len(texts), pc.split_pattern_regex(texts, BETWEEN)
+            of = parts.flatten().dictionary_encode()
+            t = np.array([numbers[x] if x else -1 for x in of.dictionary.to_pylist()], np.int64)[of.indices.to_numpy()]
+            text = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(parts), 0).to_numpy())[t >= 0]
+            t = t[t >= 0]
+            ends = np.cumsum(np.bincount(text, minlength=n))
+            rank, size = _longest(t, ends[text] - np.arange(len(t)), w)
             if partly:
                 new = phrases.first(list(islice(numbers, len(held), None)), w.machine, w.phrases)
                 held = np.append(held, np.array([-1 if r is None else r for r in new], np.int64))
@@ -125,19 +132,16 @@ def _inside(known, partly: bool):
             sums = [np.bincount(text, size * of[rank], n)[some] / total[some] for of in w.vectors.T]
             starts = np.append(0, np.cumsum(some * len(sums))).astype(np.int32)
             v = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.stack(sums, 1).ravel()), mask=pa.array(~some))
-            rest = pa.array([None if h else x for x, h in zip(texts, some)], pa.string())
+            rest = texts.take(pa.array(np.arange(n), mask=some))
             return pa.RecordBatch.from_arrays([keys, pa.array(hits.astype(np.int64)), v, rest], names=[KEY, "hits", "v", "text"])
 
         for b in batches:
-            keys, low, texts, found, n = b.column(0), 0, [], [], 0
-            for i, x in enumerate(b.column(1), 1):
-                texts.append(x.as_py())
-                of = token.findall(texts[-1] or "")
-                found.append(np.fromiter(map(numbers.__getitem__, of), np.int64, len(of)))
-                n += len(of)
-                if n >= AT_ONCE or i == len(b):
-                    yield embedded(keys.slice(low, i - low), texts, found)
-                    low, texts, found, n = i, [], [], 0
+            # Whole texts of AT_ONCE bytes or so.
+            block = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy()) // AT_ONCE
+            cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(b)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low < high:
+                    yield embedded(b.column(0).slice(low, high - low), b.column(1).slice(low, high - low))
 
     return run
 
